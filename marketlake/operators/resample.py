@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketlake import schemas
@@ -39,11 +37,27 @@ def arrival_order(ts: Column, seq: Column) -> Column:
     return F.unix_micros(ts).cast(wide) * F.lit(2**62).cast(wide) + seq.cast(wide)
 
 
+def tick_columns(ts: str, price: str, seq: str) -> list[Column]:
+    """What the fold of ticks into bars reads: the price and its place in the arrival order."""
+    order = arrival_order(F.col(ts), F.coalesce(F.col(seq), F.lit(0)))
+    return [F.col(price).cast("double").alias("price"), order.alias("arrival")]
+
+
+def bar_folds() -> list[Column]:
+    """Ticks of one bar, as ``tick_columns`` gives them, to its prices and its volume."""
+    return [
+        F.min_by("price", "arrival").alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", "arrival").alias("close"),
+        F.count("*").cast("double").alias("volume"),
+    ]
+
+
 def resample_bars(
     ticks: DataFrame,
     timeframe: str,
     provider: str | None = None,
-    keys: Sequence[str] = ("symbol",),
     ts: str = "ts",
     price: str = "price",
     seq: str = "seq",
@@ -54,24 +68,12 @@ def resample_bars(
     shuffle, of at most one row per bar and map task: a hot symbol is folded before it moves.
     ``provider`` is a constant, or None to carry the ticks' own ``provider`` column.
     """
-    carried = [k for k in keys if k != "provider"] + ([] if provider else ["provider"])
-    order = arrival_order(F.col(ts), F.coalesce(F.col(seq), F.lit(0)))
+    keys = ["symbol"] if provider else ["symbol", "provider"]
     bars = (
         ticks.where(F.col(price).isNotNull() & F.col(ts).isNotNull())
-        .select(
-            *carried,
-            bar_start(F.col(ts), timeframe).alias("timestamp"),
-            F.col(price).cast("double").alias("price"),
-            order.alias("arrival"),
-        )
-        .groupBy(*carried, "timestamp")
-        .agg(
-            F.min_by("price", "arrival").alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", "arrival").alias("close"),
-            F.count("*").cast("double").alias("volume"),
-        )
+        .select(*keys, bar_start(F.col(ts), timeframe).alias("timestamp"), *tick_columns(ts, price, seq))
+        .groupBy(*keys, "timestamp")
+        .agg(*bar_folds())
         .withColumn("timeframe", F.lit(timeframe))
     )
     if provider:

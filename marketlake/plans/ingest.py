@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,12 +22,12 @@ from marketlake.sources.lake import read_canonical, read_catalog
 
 @dataclass(frozen=True)
 class Request:
-    """What a run ingests. ``now`` is a column, so that a run repeats with equal results."""
+    """What a run ingests. ``now`` is one moment: it dates the rows and the registry entries alike."""
 
     data_type: str
     root: str
     run: str
-    now: Column
+    now: datetime
     start: str | None = None
     end: str | None = None
     layout: str = "symbol"
@@ -55,21 +56,21 @@ def ingest(raw: DataFrame, request: Request, calendar: DataFrame | None = None)
     The canonical rows are written first. Checks and counts then read the stored run: the raw feed is
     parsed once for the data, and a lost executor costs a scan, not the run.
     """
-    r, spark = request, raw.sparkSession
+    r, spark, now = request, raw.sparkSession, F.lit(request.now)
     keys = schemas.SERIES_KEYS[r.data_type]
-    write_canonical(normalize(raw, r.data_type, r.now), r.data_type, r.root, r.run, r.now, r.start, r.end, r.layout)
+    write_canonical(normalize(raw, r.data_type, now), r.data_type, r.root, r.run, now, r.start, r.end, r.layout)
 
     stored = read_canonical(spark, r.root, r.data_type, run=r.run, layout=r.layout)
     canonical = stored.select(*schemas.CANONICAL[r.data_type].fieldNames())
-    summary = quality_of(canonical, r.data_type, r.now, calendar)
-    registered = register_datasets(canonical, r.data_type, r.now, r.root, r.start, r.end, summary)
+    summary = quality_of(canonical, r.data_type, now, calendar)
+    registered = register_datasets(canonical, r.data_type, now, r.root, r.start, r.end, summary)
     part = f"{r.data_type}-{r.run}"
     write_catalog(registered, "registry", r.root, part)
 
     registered = read_catalog(spark, r.root, "registry", part)
     upper = [F.upper("series").alias("series") if k == "series" else F.col(k) for k in keys]
     fetched = raw.groupBy(*upper).agg(F.count("*").alias("rows_fetched"))
-    log = ingestion_log(r.data_type, fetched, registered, r.now, r.now)
+    log = ingestion_log(r.data_type, fetched, registered, now, now)
     write_catalog(log, "ingestion_log", r.root, part)
 
     log = read_catalog(spark, r.root, "ingestion_log", part)

@@ -16,7 +16,7 @@ def stored_schema(data_type: str, layout: str = "symbol") -> T.StructType:
     """Canonical columns, the version columns, and the folder columns that are not among them."""
     schema = T.StructType(list(schemas.CANONICAL[data_type].fields))
     schema = schema.add("hash", "string").add("created_at", "timestamp")
-    for name, kind in (("year", "int"), ("symbol_bucket", "int"), ("run", "string")):
+    for name, kind in (("year", "integer"), ("symbol_bucket", "integer"), ("run", "string")):
         if name in partition_columns(data_type, layout):
             schema = schema.add(name, kind)
     return schema
