@@ -21,6 +21,7 @@ def spark():
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")
     yield session
     session.stop()
 
