@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Java accepts a trailing type letter ("1.0d", "2f") as part of a number; a feed must not.
-_TYPE_LETTER = r"(?i)[0-9.]\s*[df]\s*$"
+_NOT_A_NUMBER = r"(?i)[0-9.][df]\s*$"
+_MISSING = r"(?i)([0-9.][df]|nan)\s*$"
 
 
 def safe_double(c: Column) -> Column:
     """Any value to double; what is not a number becomes null. NaN stays NaN."""
     text = c.cast("string")
-    return F.when(~text.rlike(_TYPE_LETTER), text.try_cast("double"))
+    return F.when(~text.rlike(_NOT_A_NUMBER), text.try_cast("double"))
 
 
 def to_double(c: Column) -> Column:
     """As :func:`safe_double`, and NaN counts as missing."""
-    value = safe_double(c)
-    return F.when(~F.isnan(value), value)
+    text = c.cast("string")
+    return F.when(~text.rlike(_MISSING), text.try_cast("double"))
 
 
 def numeric_column(df: DataFrame, name: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketlake.operators.series import BAR_KEYS
 
@@ -19,90 +19,48 @@ def weekday_calendar(
     return days if holidays is None else days.join(holidays.select("day"), "day", "left_anti")
 
 
-def _dense_ordinals(calendar: DataFrame) -> DataFrame:
-    """Every date from the first to the last trading day, with the number of trading days up to it.
-
-    One row per calendar date, so at most a few hundred a year: the single-partition window and the
-    broadcasts of this table are bounded by the calendar, whatever the size of the bars.
-    """
-    trading = calendar.select("day").distinct().withColumn("trading", F.lit(1))
-    dates = trading.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    upto = F.sum("trading").over(Window.orderBy("day"))
-    return (
-        dates.join(trading, "day", "left")
-        .select("day", F.coalesce("trading", F.lit(0)).alias("trading"))
-        .select("day", "trading", upto.alias("ordinal"))
-    )
-
-
 def present_days(bars: DataFrame, keys: Sequence[str] = BAR_KEYS, ts: str = "timestamp") -> DataFrame:
     """Distinct (series, day). Folded per map task before the shuffle."""
     return bars.where(F.col(ts).isNotNull()).select(*keys, F.to_date(ts).alias("day")).distinct()
 
 
-def day_gaps(
-    bars: DataFrame, calendar: DataFrame, keys: Sequence[str] = BAR_KEYS, ts: str = "timestamp"
+def _with_missing(
+    bars: DataFrame, calendar: DataFrame, keys: Sequence[str], ts: str
 ) -> DataFrame:
-    """Per (series, present day): the trading days lacking since the present day before.
+    """Per series ``missing``: the sorted trading days between its first and last day that it lacks.
 
-    ``first_missing`` and ``n_missing`` count in trading-day ordinals. Work is one row per present
-    day; the expected days are never spelled out per series. A series has at most one row per date
-    here, so the window is bounded by the calendar.
+    Rows fold to distinct (series, day) in each map task, and only those days are gathered per series:
+    an array with at most one entry per calendar date, as is the calendar's own. Bars are never
+    joined to the calendar.
     """
-    ordinals = _dense_ordinals(calendar)
-    edge = ordinals.agg(F.min("day").alias("lo"), F.max("ordinal").alias("total"))
-    lo, total = edge.select("lo").scalar(), edge.select("total").scalar()
-    outside = F.when(F.col("day") < lo, F.lit(0)).otherwise(total)
-    before = F.lag("ordinal").over(Window.partitionBy(*keys).orderBy("day"))
-    return (
+    trading = calendar.agg(F.sort_array(F.collect_set("day")).alias("days")).scalar()
+    per_series = (
         present_days(bars, keys, ts)
-        .join(F.broadcast(ordinals), "day", "left")
-        .select(
-            *keys,
-            "day",
-            F.coalesce("trading", F.lit(0)).alias("trading"),
-            F.coalesce("ordinal", outside).alias("ordinal"),
-        )
-        .withColumn("first_missing", before + 1)
-        .withColumn(
-            "n_missing", F.coalesce(F.col("ordinal") - F.col("trading") - before, F.lit(0)).cast("long")
-        )
-    )
-
-
-def _name_days(gaps: DataFrame, calendar: DataFrame, keys: Sequence[str]) -> DataFrame:
-    ordinals = _dense_ordinals(calendar).where("trading = 1").select(F.col("ordinal").alias("o"), "day")
-    last = F.col("first_missing") + F.col("n_missing") - 1
-    return (
-        gaps.where("n_missing > 0")
-        .select(*keys, F.explode(F.sequence("first_missing", last)).alias("o"))
-        .join(F.broadcast(ordinals), "o")
-        .select(*keys, "day")
+        .groupBy(*keys)
+        .agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.collect_list("day").alias("present"))
+        .withColumn("trading", trading)
     )
+    expected = F.filter("trading", lambda d: (d >= F.col("lo")) & (d <= F.col("hi")))
+    # No calendar rows at all leave nothing to miss.
+    missing = F.array_except(F.coalesce(expected, F.array().cast("array<date>")), F.col("present"))
+    return per_series.select(*keys, missing.alias("missing"))
 
 
 def missing_days(
     bars: DataFrame, calendar: DataFrame, keys: Sequence[str] = BAR_KEYS, ts: str = "timestamp"
 ) -> DataFrame:
     """Trading days between a series' first and last day on which it has no row."""
-    return _name_days(day_gaps(bars, calendar, keys, ts), calendar, keys)
+    return _with_missing(bars, calendar, keys, ts).select(*keys, F.explode("missing").alias("day"))
 
 
 def gap_summary(
     bars: DataFrame, calendar: DataFrame, keys: Sequence[str] = BAR_KEYS, ts: str = "timestamp", sample: int = 5
 ) -> DataFrame:
     """Per series: the number of missing days and the first few of them (``array<string>``)."""
-    gaps = day_gaps(bars, calendar, keys, ts)
-    counts = gaps.groupBy(*keys).agg(F.sum("n_missing").alias("n_missing"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("day"))
-    firsts = (
-        _name_days(gaps, calendar, keys)
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= sample)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.date_format("day", "yyyy-MM-dd"))).alias("sample"))
+    first = F.transform(F.slice("missing", 1, sample), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return _with_missing(bars, calendar, keys, ts).select(
+        *keys, F.size("missing").cast("long").alias("n_missing"), first.alias("sample")
     )
-    return counts.join(firsts, list(keys), "left")
 
 
 def coverage(bars: DataFrame, keys: Sequence[str] = BAR_KEYS, ts: str = "timestamp") -> DataFrame:

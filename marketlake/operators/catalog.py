@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlake import schemas
+from marketlake.operators.resample import arrival_order
 from marketlake.functions import count_if, dataset_hash, default_provider, iso_created_at, storage_uri, ttl_seconds
 
 # What a pre-warm run asks for.
@@ -75,15 +76,21 @@ def request_manifest(
     return with_request_hash(manifest.withColumns({"start": F.lit(start), "end": F.lit(end)}))
 
 
+def mark_known(requests: DataFrame, registry: DataFrame) -> DataFrame:
+    """Requests with ``known``: does the registry hold the dataset, by hash."""
+    held = registry.select("hash").distinct().withColumn("known", F.lit(True))
+    return requests.join(held, "hash", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def plan_ingestion(requests: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(requests still to ingest, requests the registry already holds), by hash."""
-    known = registry.select("hash").distinct()
-    return requests.join(known, "hash", "left_anti"), requests.join(known, "hash", "left_semi")
+    """(requests still to ingest, requests the registry already holds)."""
+    held = registry.select("hash").distinct()
+    return requests.join(held, "hash", "left_anti"), requests.join(held, "hash", "left_semi")
 
 
-def resolve(requests: DataFrame, registry: DataFrame, as_of: Column, tombstones: DataFrame | None = None) -> DataFrame:
+def resolve(requests: DataFrame, registry: DataFrame, as_of: Column, invalidated: DataFrame | None = None) -> DataFrame:
     """Where each request is stored, with ``status`` fresh, stale or missing at ``as_of``."""
-    current = latest_version(registry, tombstones).select("hash", "storage_uri", "created_at")
+    current = latest_version(registry, invalidated).select("hash", "storage_uri", "created_at")
     age = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds("created_at")
     ttl = ttl_seconds(F.col("data_type"), F.col("timeframe"))
     status = F.when(F.col("created_at").isNull(), "missing").when(age < ttl, "fresh").otherwise("stale")
@@ -166,17 +173,22 @@ def versions(registry: DataFrame, hash_: str) -> DataFrame:
     return registry.where(F.col("hash") == hash_).orderBy(F.desc("created_at"))
 
 
-def latest_version(registry: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+def latest_version(registry: DataFrame, invalidated: DataFrame | None = None) -> DataFrame:
     """The newest version per hash that was not invalidated after it was made."""
     newest = F.max_by(F.struct(*registry.columns), F.struct("created_at", "storage_uri"))
     rows = registry.groupBy("hash").agg(newest.alias("r")).select("r.*")
-    if tombstones is None:
+    if invalidated is None:
         return rows
-    ends = tombstones.groupBy("hash").agg(F.max("invalidated_at").alias("invalidated_at"))
+    ends = invalidated.groupBy("hash").agg(F.max("invalidated_at").alias("invalidated_at"))
     alive = F.col("invalidated_at").isNull() | (F.col("created_at") > F.col("invalidated_at"))
     return rows.join(ends, "hash", "left").where(alive).select(*registry.columns)
 
 
+def tombstones(datasets: DataFrame, at: Column) -> DataFrame:
+    """Tombstones for all datasets of which the given registry rows hold a version."""
+    return datasets.select("hash").distinct().withColumn("invalidated_at", at.cast("timestamp"))
+
+
 def invalidate(
     registry: DataFrame, at: Column, hashes: DataFrame | None = None, symbol: str | None = None
 ) -> DataFrame:
@@ -187,7 +199,7 @@ def invalidate(
         hit = registry.join(hashes.select("hash").distinct(), "hash", "left_semi")
     else:
         hit = registry.where(F.col("storage_uri").contains(f"/{symbol.upper()}/"))
-    return hit.select("hash").distinct().withColumn("invalidated_at", at.cast("timestamp"))
+    return tombstones(hit, at)
 
 
 def refresh(registry: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
@@ -195,12 +207,12 @@ def refresh(registry: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
     return invalidate(registry, at, hashes=with_request_hash(requests))
 
 
-def freshness_stats(registry: DataFrame, as_of: Column, tombstones: DataFrame | None = None) -> DataFrame:
+def freshness_stats(registry: DataFrame, as_of: Column, invalidated: DataFrame | None = None) -> DataFrame:
     """Fresh and stale datasets per data type at ``as_of``."""
     age = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds("created_at")
     fresh = age < ttl_seconds(F.col("data_type"), F.col("timeframe"))
     return (
-        latest_version(registry, tombstones)
+        latest_version(registry, invalidated)
         .groupBy("data_type")
         .agg(count_if(fresh).alias("n_fresh"), count_if(~fresh).alias("n_stale"))
     )
@@ -260,12 +272,15 @@ def ingestion_summary(log: DataFrame) -> DataFrame:
     return counted.select(F.col("d").alias("data_type"), F.col("s").alias("status"), "n")
 
 
-def provider_health(log: DataFrame, as_of: Column, window: str = "1 day", order: Sequence[str] = ()) -> DataFrame:
-    """Per provider: attempts and failures in the window before ``as_of``, and whether the last succeeded."""
+def provider_health(log: DataFrame, as_of: Column, window: str = "1 day", seq: str | None = None) -> DataFrame:
+    """Per provider: attempts and failures in the window before ``as_of``, and whether the last succeeded.
+
+    ``seq`` names a number that orders attempts of one moment.
+    """
     since = as_of.cast("timestamp") - F.expr(f"INTERVAL {window}")
     recent = log.where((F.col("completed_at") > since) & (F.col("completed_at") <= as_of.cast("timestamp")))
     return recent.groupBy("provider").agg(
         F.count("*").alias("n_attempts"),
         count_if(F.col("status") == "failed").alias("n_failed"),
-        F.max_by(F.col("status") == "success", F.struct("completed_at", *order)).alias("healthy"),
+        F.max_by(F.col("status") == "success", arrival_order(F.col("completed_at"), seq)).alias("healthy"),
     )

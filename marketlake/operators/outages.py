@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from marketlake.operators.series import time_slice
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Failures that open an outage, and the pause (seconds) that forgets them.
 FAILURE_THRESHOLD = 5
@@ -23,28 +21,39 @@ def _starts_run(failed: str, at: str, before_failed: str, before_at: str, gap_se
     return F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
 
 
+def _slice_width(log: DataFrame, rows_per_slice: int) -> Column:
+    """Microseconds that hold so many rows on average: exact, so equal wherever it is evaluated."""
+    at = F.unix_micros("completed_at")
+    span, n = F.max(at) - F.min(at), F.count("*")
+    width = F.ceil(span / F.greatest(n, F.lit(1)) * rows_per_slice)
+    return log.agg(F.greatest(width, F.lit(1).cast("long")).alias("width")).scalar()
+
+
 def outages(
     log: DataFrame,
     keys: Sequence[str] = ("provider", "data_type", "symbol"),
     order: Sequence[str] = (),
     threshold: int = FAILURE_THRESHOLD,
     gap_seconds: int = RESET_SECONDS,
-    slice_days: float = 1.0,
+    rows_per_slice: int = 1_000_000,
 ) -> DataFrame:
     """Runs of at least ``threshold`` failures: ``(keys…, started_at, ended_at, n_failures)``.
 
     Gaps and islands in two levels, so that a provider with a third of all attempts is not one task:
     runs are found inside (keys, time slice), then only the runs that touch a slice's edge (at most
-    two per slice) are ordered per key and joined up.
+    two per slice) are ordered per key and joined up. The slice width comes from the density of the
+    log: ``rows_per_slice`` attempts, of all keys, in a slice on average.
     """
     keys = list(keys)
-    attempts = log.where(F.col("completed_at").isNotNull()).select(
+    finished = log.where(F.col("completed_at").isNotNull())
+    attempts = finished.select(
         *keys,
         *order,
         F.col("completed_at").alias("at"),
         (F.col("status") == "failed").alias("failed"),
-        time_slice(F.col("completed_at"), slice_days).alias("slice"),
+        F.floor(F.unix_micros("completed_at") / _slice_width(finished, rows_per_slice)).alias("slice"),
     )
+    so_far = (Window.unboundedPreceding, Window.currentRow)
     in_slice = Window.partitionBy(*keys, "slice").orderBy("at", *order)
     runs = (
         attempts.withColumns(
@@ -55,7 +64,7 @@ def outages(
             }
         )
         .withColumn("new", _starts_run("failed", "at", "before_failed", "before_at", gap_seconds))
-        .withColumn("run", F.sum("new").over(in_slice))
+        .withColumn("run", F.sum("new").over(in_slice.rowsBetween(*so_far)))
         .groupBy(*keys, "slice", "run")
         .agg(
             F.first("failed").alias("failed"),
@@ -85,7 +94,7 @@ def outages(
                 _starts_run("failed", "started_at", "before_failed", "before_at", gap_seconds)
             ),
         )
-        .withColumn("run", F.sum("new").over(over_slices))
+        .withColumn("run", F.sum("new").over(over_slices.rowsBetween(*so_far)))
         .groupBy(*keys, "run")
         .agg(
             F.first("failed").alias("failed"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marketlake import schemas
 from marketlake.functions import iso_day, iso_seconds, iso_seconds_z, nan_to_null
+from marketlake.operators.resample import arrival_order
 
 # The range a read covers when none is given.
 DEFAULT_START = "2020-01-01"
@@ -74,17 +75,18 @@ def get_news(
     )
 
 
-def latest_fundamentals(
-    fundamentals: DataFrame, tie_break: Sequence[str] = (), typed: bool = False
-) -> DataFrame:
-    """The newest snapshot of every symbol; ties by the given columns, highest first.
+def latest_fundamentals(fundamentals: DataFrame, seq: str | None = None, typed: bool = False) -> DataFrame:
+    """The newest snapshot of every symbol; of one moment, the one with the highest ``seq``.
 
-    ``max_by`` instead of a ranking window: it folds in each map task before the shuffle.
+    Folded by ``max_by`` over fixed-width values instead of a ranking window: a hash aggregate that
+    combines in each map task before the shuffle.
     """
-    newest = F.max_by(F.struct("as_of", *schemas.METRICS), F.struct("as_of", *tie_break))
-    rows = nan_to_null(fundamentals.groupBy("symbol").agg(newest.alias("s")).select("symbol", "s.*"))
+    ordered = fundamentals.withColumn("arrival", arrival_order(F.col("as_of"), seq))
+    newest = ordered.groupBy("symbol").agg(
+        *(F.max_by(m, "arrival").alias(m) for m in schemas.METRICS), F.max("as_of").alias("as_of")
+    )
     time = F.col("as_of") if typed else iso_day(F.col("as_of"))
-    return rows.select("symbol", *schemas.METRICS, time.alias("as_of"))
+    return nan_to_null(newest).select("symbol", *schemas.METRICS, time.alias("as_of"))
 
 
 def get_macro(

@@ -27,20 +27,20 @@ def bar_start(ts: Column, timeframe: str) -> Column:
     return F.date_trunc(_TRUNCATIONS[timeframe], ts)
 
 
-def arrival_order(ts: Column, seq: Column) -> Column:
-    """(ts, seq) as one sortable decimal.
+def arrival_order(ts: Column, seq: str | None = None) -> Column:
+    """(ts, seq) as one sortable decimal; ``seq`` names a BIGINT column, and its nulls come first.
 
     A struct would do as an ordering, but it cannot live in a hash-aggregation buffer: the
     aggregate would sort all its input. A decimal keeps it a hash aggregate.
     """
     wide = "decimal(20,0)"
-    return F.unix_micros(ts).cast(wide) * F.lit(2**62).cast(wide) + seq.cast(wide)
+    moment = F.unix_micros(ts).cast(wide) * F.lit(2**62).cast(wide)
+    return moment if seq is None else moment + F.coalesce(seq, F.lit(0)).cast(wide)
 
 
 def tick_columns(ts: str, price: str, seq: str) -> list[Column]:
     """What the fold of ticks into bars reads: the price and its place in the arrival order."""
-    order = arrival_order(F.col(ts), F.coalesce(F.col(seq), F.lit(0)))
-    return [F.col(price).cast("double").alias("price"), order.alias("arrival")]
+    return [F.col(price).cast("double").alias("price"), arrival_order(F.col(ts), seq).alias("arrival")]
 
 
 def bar_folds() -> list[Column]:

@@ -28,9 +28,8 @@ def request_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    todo, done = catalog.plan_ingestion(views.requests(spark, sf_dir), views.registry(spark, sf_dir))
-    marked = todo.withColumn("todo", F.lit(True)).unionByName(done.withColumn("todo", F.lit(False)))
-    return marked.select("hash", "data_type", "todo")
+    marked = catalog.mark_known(views.requests(spark, sf_dir), views.registry(spark, sf_dir))
+    return marked.select("hash", "data_type", (~F.col("known")).alias("todo"))
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,17 +51,15 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hash", "rows", "quality_passed", iso_created_at(F.col("created_at")).alias("created_at"))
 
 
-def _unsound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tombstones for every dataset of which some version failed its checks, set at mid-month."""
-    registry = views.registry(spark, sf_dir)
-    return catalog.invalidate(
-        registry, F.lit("2024-01-30 12:00:00"), hashes=registry.where(~F.col("quality_passed"))
-    )
+def _unsound(registry: DataFrame) -> DataFrame:
+    """Tombstones for every dataset of which some version failed its checks."""
+    return catalog.tombstones(registry.where(~F.col("quality_passed")), F.lit("2024-01-30 12:00:00"))
 
 
 def invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions in force after the invalidation."""
-    rows = catalog.latest_version(views.registry(spark, sf_dir), _unsound(spark, sf_dir))
+    registry = views.registry(spark, sf_dir)
+    rows = catalog.latest_version(registry, _unsound(registry))
     return rows.select("hash", "data_type", iso_created_at(F.col("created_at")).alias("created_at"))
 
 
@@ -86,14 +83,12 @@ def ingestion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.provider_health(views.attempts(spark, sf_dir), views.as_of(), "7 days", order=["log_id"])
+    return catalog.provider_health(views.attempts(spark, sf_dir), views.as_of(), "7 days", seq="log_id")
 
 
 def outage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per provider, with pauses of twelve hours, cut into slices of a quarter day."""
-    runs = outages(
-        views.attempts(spark, sf_dir), keys=["provider"], order=["log_id"], gap_seconds=43_200, slice_days=0.25
-    )
+    """Per provider, with pauses of twelve hours."""
+    runs = outages(views.attempts(spark, sf_dir), keys=["provider"], order=["log_id"], gap_seconds=43_200)
     return runs.select(
         "provider", iso_created_at(F.col("started_at")).alias("started_at"),
         iso_created_at(F.col("ended_at")).alias("ended_at"), "n_failures",

@@ -65,7 +65,7 @@ def _snapshots(fundamentals: DataFrame) -> DataFrame:
 
 
 def newest_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = latest_fundamentals(views.fundamentals(spark, sf_dir), tie_break=["seq"])
+    rows = latest_fundamentals(views.fundamentals(spark, sf_dir), seq="seq")
     return rows.select("symbol", "as_of", "market_cap", "eps")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marketlake.functions import dataset_hash, storage_uri
 from marketlake.operators.normalize import normalize_bars, normalize_macro, normalize_news
 from marketlake.operators.resample import resample_bars
+from marketlake.schemas import struct
 from marketlake.session import configure
 
 ROOT = "s3://lake"
@@ -21,11 +22,24 @@ def as_of() -> F.Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
+# Declared, so that no job has to read footers first; naive timestamps are UTC.
+_TABLES = {
+    "events": struct(
+        event_id="long", ts="timestamp", user_id="long", event_type="string", value="double", props="string"
+    ),
+    "documents": struct(doc_id="long", text="string", lang="string", source="string", n_chars="long"),
+    "orders": struct(
+        o_orderkey="long", o_custkey="long", o_orderstatus="string", o_totalprice="double", o_orderdate="timestamp",
+        o_orderpriority="string",
+    ),
+    "customer": struct(
+        c_custkey="long", c_name="string", c_nationkey="integer", c_acctbal="double", c_mktsegment="string"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; naive timestamps are UTC."""
-    df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
+    return configure(spark).read.schema(_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _label(prefix: str, number: str) -> F.Column:

@@ -19,7 +19,8 @@ RUNTIME = {
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that somebody else built."""
     for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -31,6 +32,8 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call sites of every column expression, for error messages: most of the time to build a query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

@@ -54,9 +54,9 @@ def read_canonical(
     return df
 
 
-def current_rows(stored: DataFrame, registry: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+def current_rows(stored: DataFrame, registry: DataFrame, invalidated: DataFrame | None = None) -> DataFrame:
     """Rows of the version in force of every dataset."""
-    live = latest_version(registry, tombstones).select("hash", "created_at")
+    live = latest_version(registry, invalidated).select("hash", "created_at")
     return stored.join(live, ["hash", "created_at"], "left_semi")
 
 

@@ -129,8 +129,8 @@ def test_register_and_log(spark):
     assert all(r.storage_uri is None for r in catalog.lineage(log, reg.limit(0)).collect())
     tally = {(r.data_type, r.status): r.n for r in catalog.ingestion_summary(log).collect()}
     assert tally == {("ohlcv", "success"): 1, ("ohlcv", "failed"): 2, ("ohlcv", "all"): 3, ("all", "all"): 3}
-    health = catalog.provider_health(log, at("2024-02-01 12:00:00"), order=["symbol"]).first()
-    assert (health.n_attempts, health.n_failed, health.healthy) == (3, 2, False)
+    health = catalog.provider_health(log, at("2024-02-01 12:00:00"), seq="rows_fetched").first()
+    assert (health.n_attempts, health.n_failed, health.healthy) == (3, 2, True)
 
 
 def test_events(spark):

@@ -122,7 +122,7 @@ class TestReads:
     def test_latest_fundamentals(self, spark):
         rows = [("A", datetime(2024, 1, d, h), *[float(d)] * 6, "yahoo", d * 10 + h) for d, h in ((1, 0), (3, 0), (3, 5), (2, 0))]
         df = spark.createDataFrame(rows, schemas.struct(**{f.name: f.dataType for f in schemas.FUNDAMENTALS}, seq="long"))
-        row = latest_fundamentals(df, ["seq"]).first()
+        row = latest_fundamentals(df, "seq").first()
         assert (row.as_of, row.pe_ratio) == ("2024-01-03", 3.0)
         assert latest_fundamentals(df, typed=True).first().as_of == datetime(2024, 1, 3, 5)
         assert list(row.asDict()) == ["symbol", *schemas.METRICS, "as_of"]
