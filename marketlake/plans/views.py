@@ -42,12 +42,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.schema(_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files."""
+    reader = configure(spark).readStream.schema(_TABLES[name]).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf_dir)
+
+
 def _label(prefix: str, number: str) -> F.Column:
     return F.concat(F.lit(prefix), F.expr(number).cast("string"))
 
 
 def ticks(spark: SparkSession, sf_dir: str, symbol: str = "user_id % 20") -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return as_ticks(table(spark, sf_dir, "events"), symbol)
+
+
+def as_ticks(events: DataFrame, symbol: str = "user_id % 20") -> DataFrame:
+    return events.select(
         _label("S", symbol).alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price")
     )
 
@@ -59,8 +69,12 @@ def bars(spark: SparkSession, sf_dir: str, timeframe: str = "1d") -> DataFrame:
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A string feed with many copies per (symbol, hour) and defects: unusable prices, no volume,
     high and low swapped, close outside of the range."""
+    return as_raw_bars(table(spark, sf_dir, "events"))
+
+
+def as_raw_bars(events: DataFrame) -> DataFrame:
     swapped, price = "event_id % 97 = 0", "value"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("Date"),
         F.expr(f"if(event_id % 101 = 0, 'n/a', cast({price} as string))").alias("Open"),
         F.expr(f"cast(if({swapped}, {price} - 1, {price} + 1) as string)").alias("High"),
@@ -76,7 +90,11 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw bars with types but with all their copies."""
-    return raw_bars(spark, sf_dir).select(
+    return as_typed_bars(raw_bars(spark, sf_dir))
+
+
+def as_typed_bars(raw: DataFrame) -> DataFrame:
+    return raw.select(
         F.to_timestamp("Date").alias("timestamp"),
         *(F.col(c).try_cast("double").alias(c.lower()) for c in ("Open", "High", "Low", "Close", "Volume")),
         "symbol",
@@ -201,8 +219,12 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_attempts(table(spark, sf_dir, "events"))
+
+
+def as_attempts(events: DataFrame) -> DataFrame:
     """The events as ingestion attempts; only a purchase is a success."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         _label("P", "user_id % 3").alias("provider"),
         F.expr("elt(1 + user_id % 4, 'ohlcv', 'news', 'fundamentals', 'macro')").alias("data_type"),
         _label("S", "user_id % 20").alias("symbol"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Runtime settings. The number of shuffle partitions is left to the cluster's own setting:
@@ -42,6 +45,14 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
     return configure(spark)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as the cluster names it; None where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that every executor can reach, as the cluster names it.
+
+    Only a local session, as in tests, falls back to a temporary folder of its own machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="marketlake-")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
