@@ -18,9 +18,9 @@ def default_provider(data_type: Column) -> Column:
 
 
 def _json_string(c: Column) -> Column:
-    """The value as a JSON string literal. ``to_json`` escapes it inside a one-element array."""
-    literal = F.to_json(F.array(c))
-    return F.substring(literal, F.lit(2), F.length(literal) - 2)
+    """The value as a JSON string literal. Two replacements: ``to_json`` per row costs far more."""
+    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
 def dataset_hash(
@@ -34,7 +34,7 @@ def dataset_hash(
 ) -> Column:
     """SHA-256 (hex) of the request as key-sorted JSON; an absent or null parameter has no key.
 
-    Keys and values are ASCII: symbols, series and dates.
+    Values are printable ASCII: symbols, series and dates.
     """
     params = {
         "data_type": data_type, "provider": provider, "symbol": symbol, "timeframe": timeframe,

@@ -73,17 +73,20 @@ def write_canonical(
     """Store a canonical table as zstd Parquet, foldered, in time order inside each file.
 
     ``rebalance`` lets adaptive execution merge small folders and split a hot one over several tasks.
+    The version columns are added after that shuffle, so that it does not carry them.
     """
     ts = schemas.TIME_COLUMN[data_type]
     folders = partition_columns(data_type, layout)
-    out = with_version(df, data_type, created_at, start, end).withColumn("run", F.lit(run))
+    out = df
     if "year" in folders:
         out = out.withColumn("year", F.year(ts))
     if "symbol_bucket" in folders:
         out = out.withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), buckets))
     inside = [c for c in schemas.SERIES_KEYS[data_type] if c not in folders]
+    out = out.hint("rebalance", *(c for c in folders if c != "run"))
     (
-        out.hint("rebalance", *folders)
+        with_version(out, data_type, created_at, start, end)
+        .withColumn("run", F.lit(run))
         .sortWithinPartitions(*folders, *inside, ts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -171,6 +171,25 @@ class TestStore:
         assert {(r.run, r["count"]) for r in stored.groupBy("run").count().collect()} == {("r1", 5), ("r2", 3)}
 
 
+    def test_a_hot_symbol_is_written_by_several_tasks(self, spark, folder):
+        """`rebalance` splits what one folder holds over tasks, and merges small folders."""
+        hours = spark.range(0, 200_000, 1, 8).select(
+            F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).alias("timestamp"),
+            *(F.rand(i).alias(c) for i, c in enumerate((*schemas.PRICES, "volume"))),
+            F.when(F.col("id") % 10 < 9, "HOT").otherwise(F.concat(F.lit("S"), (F.col("id") % 50).cast("string"))).alias("symbol"),
+            F.lit("5m").alias("timeframe"), F.lit("p").alias("provider"),
+        )
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        try:
+            write_canonical(hours, "ohlcv", folder, "r1", F.lit(NOW))
+        finally:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        files = [f.path for f in lake.stored_files(spark, folder, "ohlcv").collect()]
+        hot = sum("symbol=HOT" in f for f in files)
+        assert hot > 3
+        assert lake.read_canonical(spark, folder, "ohlcv").count() == 200_000
+
+
 class TestIngest:
     def run(self, spark, folder, run="r1", now=NOW, raw=None, **options):
         raw = feed(spark) if raw is None else raw
