@@ -23,6 +23,21 @@ def _json_string(c: Column) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
+def _ascii(json: Column) -> Column:
+    """JSON text with every character beyond ASCII as ``\\uXXXX``, a surrogate pair where it needs two."""
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        high = F.lit(0xD800) + F.shiftright(code - 0x10000, 10)
+        low = F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
+        return F.when(code < 0x80, c).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+    return F.when(json.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(json, ""), escaped), "")).otherwise(json)
+
+
 def dataset_hash(
     data_type: Column,
     provider: Column,
@@ -34,7 +49,7 @@ def dataset_hash(
 ) -> Column:
     """SHA-256 (hex) of the request as key-sorted JSON; an absent or null parameter has no key.
 
-    Values are printable ASCII: symbols, series and dates.
+    Values are free of control characters: symbols, series and dates.
     """
     params = {
         "data_type": data_type, "provider": provider, "symbol": symbol, "timeframe": timeframe,
@@ -45,7 +60,7 @@ def dataset_hash(
         for name, value in sorted(params.items())
         if value is not None
     ]
-    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}")), 256)
+    return F.sha2(_ascii(F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))), 256)
 
 
 def date_tag(day: Column) -> Column:

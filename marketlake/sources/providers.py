@@ -50,8 +50,8 @@ class Provider:
 
 
 class _Request(InputPartition):
-    def __init__(self, name: str, start: date, end: date, first_seq: int) -> None:
-        self.name, self.start, self.end, self.first_seq = name, start, end, first_seq
+    def __init__(self, names: list[str], start: date, end: date, first_seq: int) -> None:
+        self.names, self.start, self.end, self.first_seq = names, start, end, first_seq
 
 
 #: Rows of one request are numbered inside a block of this size, so that `seq` follows the range.
@@ -70,6 +70,7 @@ class _ProviderReader(DataSourceReader):
         self.provider = provider
         self.data_type = options["datatype"]
         self.names = options["names"].split(",")
+        self.per_task = int(options.get("namespertask", "1"))
         self.timeframe = options.get("timeframe", "1d")
         self.start = date.fromisoformat(options.get("start", "2020-01-01"))
         self.end = date.fromisoformat(options.get("end", "2025-01-01"))
@@ -79,26 +80,29 @@ class _ProviderReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         ranges = [(self.start, self.end)] if self.data_type == "fundamentals" else _by_year(self.start, self.end)
         return [
-            _Request(name, start, end, i * _SEQ_BLOCK)
-            for name in self.names
+            _Request(self.names[first : first + self.per_task], start, end, i * _SEQ_BLOCK)
+            for first in range(0, len(self.names), self.per_task)
             for i, (start, end) in enumerate(ranges)
         ]
 
     def read(self, partition: _Request) -> Iterator[tuple]:
-        provider, p = self.provider, partition
+        for name in partition.names:
+            yield from self._rows(name, partition)
+
+    def _rows(self, name: str, p: _Request) -> Iterator[tuple]:
+        provider = self.provider
         if self.data_type == "ohlcv":
-            rows = provider.download_bars(p.name, self.timeframe, p.start, p.end)
-            for i, row in enumerate(rows):
-                yield (*row, p.name, self.timeframe, provider.name, p.first_seq + i)
-        elif self.data_type == "news":
-            for row in provider.download_news(p.name, p.start, p.end):
-                yield (*row, p.name, provider.name)
-        elif self.data_type == "fundamentals":
-            for row in provider.download_fundamentals(p.name):
-                yield (*row, p.name, provider.name)
-        else:
-            for row in provider.download_macro(p.name, p.start, p.end):
-                yield (*row, p.name, provider.name)
+            rows = provider.download_bars(name, self.timeframe, p.start, p.end)
+            for seq, row in enumerate(rows, p.first_seq):
+                yield (*row, name, self.timeframe, provider.name, seq)
+            return
+        downloads = {
+            "news": lambda: provider.download_news(name, p.start, p.end),
+            "fundamentals": lambda: provider.download_fundamentals(name),
+            "macro": lambda: provider.download_macro(name, p.start, p.end),
+        }
+        for row in downloads[self.data_type]():
+            yield (*row, name, provider.name)
 
 
 _registered: dict[str, type[Provider]] = {}
@@ -145,10 +149,12 @@ def read_provider(
     end: str,
     timeframe: str = "1d",
     provider: str | None = None,
+    names_per_task: int = 1,
 ) -> DataFrame:
-    """Raw rows of the given symbols (or series), one Spark partition per name and year."""
+    """Raw rows of the given symbols (or series): a Spark partition per year and ``names_per_task`` names."""
     return (
         spark.read.format(provider_for(data_type, provider))
         .options(datatype=data_type, names=",".join(names), start=start, end=end, timeframe=timeframe)
+        .option("namespertask", names_per_task)
         .load()
     )

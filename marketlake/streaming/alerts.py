@@ -1,6 +1,7 @@
 """Stateful alerts: outages and price spikes across micro-batches.
 
-The state of a key is a few numbers; rows of a key are taken batch by batch as Arrow-backed frames.
+The state of a key is a few numbers. Rows of a key are ordered and folded by micro-batch, so the source's
+own limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds what one task holds.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marketlake import schemas
 from marketlake.operators import catalog
 from marketlake.operators.calendar import weekday_calendar
+from marketlake.operators.normalize import normalize_bars
 from marketlake.operators.reads import get_bars, get_macro, get_news, latest_fundamentals
 from marketlake.plans.ingest import Request, ingest
 from marketlake.sinks.store import write_canonical
@@ -283,8 +284,8 @@ class TestProviders:
         assert df.count() == 2 * ((date(2024, 1, 2) - date(2022, 12, 30)).days + 1)
         rows = df.where("symbol = 'A'").orderBy("seq").collect()
         assert [r.timestamp for r in rows] == sorted(r.timestamp for r in rows)
-        from marketlake.operators.normalize import normalize_bars
-
+        fewer = providers.read_provider(spark, "ohlcv", ["A", "B"], "2022-12-30", "2024-01-02", provider="steady", names_per_task=2)
+        assert fewer.rdd.getNumPartitions() == 3 and fewer.exceptAll(df).count() == 0
         assert normalize_bars(df).count() == df.count()
 
     def test_macro_and_unsupported(self, spark):
