@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlake import schemas
-from marketlake.operators.resample import arrival_order
 from marketlake.functions import count_if, dataset_hash, default_provider, iso_created_at, storage_uri, ttl_seconds
+from marketlake.operators.resample import TIMEFRAMES, arrival_order
 
 # What a pre-warm run asks for.
 DEFAULT_SYMBOLS = (
@@ -76,6 +76,19 @@ def request_manifest(
     return with_request_hash(manifest.withColumns({"start": F.lit(start), "end": F.lit(end)}))
 
 
+def split_supported(
+    requests: DataFrame, series: Sequence[str] = DEFAULT_MACRO_SERIES
+) -> tuple[DataFrame, DataFrame]:
+    """(requests that can be served, the others): known data types, timeframes and series."""
+    known = (
+        F.when(F.col("data_type") == "ohlcv", F.col("timeframe").isin(*TIMEFRAMES))
+        .when(F.col("data_type") == "macro", F.upper("series").isin(*series))
+        .otherwise(F.col("data_type").isin("news", "fundamentals"))
+    )
+    ok = F.coalesce(known, F.lit(False))
+    return requests.where(ok), requests.where(~ok)
+
+
 def mark_known(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Requests with ``known``: does the registry hold the dataset, by hash."""
     held = registry.select("hash").distinct().withColumn("known", F.lit(True))
@@ -108,10 +121,12 @@ def register_datasets(
     start: str | None = None,
     end: str | None = None,
     quality: DataFrame | None = None,
+    location: Column | None = None,
 ) -> DataFrame:
     """One registry row per series of a canonical table, in one grouped count.
 
-    ``start`` and ``end`` are those of the request; ``quality`` is a summary per series.
+    ``start`` and ``end`` are those of the request; ``quality`` is a summary per series; ``location``
+    is where the series is stored, by default the storage key of its request.
     """
     keys = schemas.SERIES_KEYS[data_type]
     rows = canonical.groupBy(*keys).agg(F.count("*").alias("rows"))
@@ -127,15 +142,10 @@ def register_datasets(
     rows = rows.withColumns({"hash": key, "created_at": created_at.cast("timestamp"), "columns": F.lit(len(canonical.columns))})
     passed = F.coalesce("quality_passed", F.lit(True)) if quality is not None else F.lit(True)
     issues = F.when(F.size("quality_issues") > 0, F.col("quality_issues")) if quality is not None else F.lit(None)
-    rows = rows.withColumns(
-        {
-            "storage_uri": storage_uri(
-                root, F.col("data_type"), F.col("symbol"), F.col("timeframe"), F.col("series"), day, F.col("hash")
-            ),
-            "quality_passed": passed,
-            "quality_issues": issues,
-        }
-    )
+    if location is None:
+        names = (F.col(c) for c in ("data_type", "symbol", "timeframe", "series"))
+        location = storage_uri(root, *names, day, F.col("hash"))
+    rows = rows.withColumns({"storage_uri": location, "quality_passed": passed, "quality_issues": issues})
     return schemas.conform(rows, schemas.REGISTRY)
 
 
@@ -192,13 +202,14 @@ def tombstones(datasets: DataFrame, at: Column) -> DataFrame:
 def invalidate(
     registry: DataFrame, at: Column, hashes: DataFrame | None = None, symbol: str | None = None
 ) -> DataFrame:
-    """Tombstones for the given hashes, or for every dataset stored under a symbol's folder."""
+    """Tombstones for the given hashes, or for every dataset of a symbol."""
     if (hashes is None) == (symbol is None):
         raise ValueError("give either hashes or a symbol")
     if hashes is not None:
         hit = registry.join(hashes.select("hash").distinct(), "hash", "left_semi")
     else:
-        hit = registry.where(F.col("storage_uri").contains(f"/{symbol.upper()}/"))
+        name = symbol.upper()
+        hit = registry.where((F.col("symbol") == name) | F.col("storage_uri").contains(f"/{name}/"))
     return tombstones(hit, at)
 
 

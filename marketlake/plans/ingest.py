@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlake import schemas
 from marketlake.operators import events, quality
@@ -16,10 +16,14 @@ from marketlake.operators.normalize import (
     normalize_macro,
     normalize_news,
 )
-from marketlake.sinks.store import write_canonical, write_catalog
+from marketlake.sinks.store import stored_folder, write_canonical, write_catalog
 from marketlake.sources.lake import read_canonical, read_catalog
 
 
+# Failed fundamentals and macro feeds are logged but not announced.
+_ANNOUNCED_FAILURES = ("ohlcv", "news")
+
+
 @dataclass(frozen=True)
 class Request:
     """What a run ingests. ``now`` is one moment: it dates the rows and the registry entries alike."""
@@ -51,11 +55,19 @@ def quality_of(stored: DataFrame, data_type: str, now: Column, calendar: DataFra
 
 
 def ingest(raw: DataFrame, request: Request, calendar: DataFrame | None = None) -> DataFrame:
-    """Run one request and return its registry rows, as stored.
+    """Run one request and return its registry rows, as stored. A run that fails is logged, then raised.
 
     The canonical rows are written first. Checks and counts then read the stored run: the raw feed is
     parsed once for the data, and a lost executor costs a scan, not the run.
     """
+    try:
+        return _ingest(raw, request, calendar)
+    except Exception as error:
+        _record_failure(raw.sparkSession, request, str(error))
+        raise
+
+
+def _ingest(raw: DataFrame, request: Request, calendar: DataFrame | None) -> DataFrame:
     r, spark, now = request, raw.sparkSession, F.lit(request.now)
     keys = schemas.SERIES_KEYS[r.data_type]
     write_canonical(normalize(raw, r.data_type, now), r.data_type, r.root, r.run, now, r.start, r.end, r.layout)
@@ -63,7 +75,8 @@ def ingest(raw: DataFrame, request: Request, calendar: DataFrame | None = None)
     stored = read_canonical(spark, r.root, r.data_type, run=r.run, layout=r.layout)
     canonical = stored.select(*schemas.CANONICAL[r.data_type].fieldNames())
     summary = quality_of(canonical, r.data_type, now, calendar)
-    registered = register_datasets(canonical, r.data_type, now, r.root, r.start, r.end, summary)
+    location = stored_folder(r.data_type, r.root, r.run, r.layout)
+    registered = register_datasets(canonical, r.data_type, now, r.root, r.start, r.end, summary, location)
     part = f"{r.data_type}-{r.run}"
     write_catalog(registered, "registry", r.root, part)
 
@@ -75,8 +88,21 @@ def ingest(raw: DataFrame, request: Request, calendar: DataFrame | None = None)
 
     log = read_catalog(spark, r.root, "ingestion_log", part)
     announced = events.ingested_events(registered)
-    # Failed fundamentals and macro feeds are logged but not announced.
-    if r.data_type in ("ohlcv", "news"):
+    if r.data_type in _ANNOUNCED_FAILURES:
         announced = announced.unionByName(events.failed_events(log))
     write_catalog(announced, "events", r.root, part)
     return registered
+
+
+def _record_failure(spark: SparkSession, r: Request, error: str) -> None:
+    """One log row, and event, for a run that raised; its series are not known."""
+    part = f"{r.data_type}-{r.run}-failed"
+    columns = {"data_type": r.data_type, "status": "failed", "error": error}
+    log = spark.range(1).select(
+        *(F.lit(columns.get(f.name)).cast(f.dataType).alias(f.name) for f in schemas.INGESTION_LOG if not f.name.endswith("ed_at")),
+        *(F.lit(r.now).alias(c) for c in ("started_at", "completed_at")),
+        F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    write_catalog(log, "ingestion_log", r.root, part)
+    if r.data_type in _ANNOUNCED_FAILURES:
+        write_catalog(events.failed_events(log), "events", r.root, part)

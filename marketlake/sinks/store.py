@@ -59,6 +59,26 @@ def with_version(
     return df.withColumns({"hash": key, "created_at": created_at.cast("timestamp")})
 
 
+# Characters that Spark escapes in folder names, the escape sign first.
+_ESCAPED = "%\"#'*/:=?\\{[]^"
+
+
+def _folder_name(value: Column) -> Column:
+    for c in _ESCAPED:
+        value = F.replace(value, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return value
+
+
+def stored_folder(data_type: str, root: str, run: str, layout: str = "symbol", buckets: int = BUCKETS) -> Column:
+    """Where a run stores a series, as a path that ``spark.read.parquet`` takes (``year=*`` for all years)."""
+    values = {"year": F.lit("*"), "run": _folder_name(F.lit(run)), "symbol_bucket": symbol_bucket(F.col("symbol"), buckets).cast("string")}
+    levels = [
+        F.concat(F.lit(f"{c}="), values[c] if c in values else _folder_name(F.col(c)))
+        for c in partition_columns(data_type, layout)
+    ]
+    return F.concat_ws("/", F.lit(table_path(root, data_type)), *levels)
+
+
 def write_canonical(
     df: DataFrame,
     data_type: str,

@@ -130,6 +130,16 @@ def registered_providers() -> tuple[str, ...]:
     return tuple(_registered)
 
 
+def list_providers(spark: SparkSession, health: DataFrame) -> DataFrame:
+    """Every registered provider, its timeframes, and whether its last attempt succeeded (null: none seen).
+
+    ``health`` is what :func:`marketlake.operators.catalog.provider_health` gives.
+    """
+    names = [(name, list(cls.supported_timeframes)) for name, cls in sorted(_registered.items())]
+    known = spark.createDataFrame(names, "provider STRING, supported_timeframes ARRAY<STRING>")
+    return known.join(health.select("provider", "healthy"), "provider", "left")
+
+
 def provider_for(data_type: str, name: str | None = None) -> str:
     """The named provider, or the data type's default one; an unknown one is an error."""
     if name is None:

@@ -43,6 +43,12 @@ def test_manifest_and_hashes(spark):
     assert catalog.request_manifest(symbols, "a", "b", news=False, macro=False).count() == 2
 
 
+def test_supported_requests(spark):
+    rows = [("ohlcv", "1d", None), ("ohlcv", "2d", None), ("ohlcv", None, None), ("news", None, None), ("macro", None, "cpi"), ("macro", None, "M2"), ("x", None, None)]
+    ok, rejected = catalog.split_supported(spark.createDataFrame(rows, "data_type STRING, timeframe STRING, series STRING"))
+    assert {tuple(r) for r in ok.collect()} == {rows[0], rows[3], rows[4]} and rejected.count() == 4
+
+
 def test_plan_and_resolve(spark):
     reg = registry(spark, [("h1", "2024-01-01 00:00:00"), ("h2", "2024-01-02 12:00:00", "ohlcv", "1h")])
     requests = spark.createDataFrame(

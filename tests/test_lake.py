@@ -211,6 +211,21 @@ class TestIngest:
         lost, unknown = lake.reconcile(reg.where("symbol = 'AAPL'"), stored.where("symbol = 'MSFT'"))
         assert lost.count() == 1 and unknown.count() == 1
 
+    @pytest.mark.parametrize("layout", ["symbol", "bucket"])
+    def test_registered_locations_can_be_read(self, spark, folder, layout):
+        reg = self.run(spark, folder, "r=1", raw=feed(spark, symbols=("^GSPC", "EUR=X", "BRK-B")), layout=layout)
+        for row in reg.collect():
+            assert spark.read.schema(lake.stored_schema("ohlcv", layout)).parquet(row.storage_uri).count() >= row.rows == 5
+
+    def test_a_failed_run_is_logged_announced_and_raised(self, spark, folder):
+        raw = feed(spark).withColumn("Open", F.raise_error(F.lit("feed broke")).cast("double"))
+        with pytest.raises(Exception, match="feed broke"):
+            self.run(spark, folder, raw=raw)
+        row = lake.read_catalog(spark, folder, "ingestion_log").first()
+        assert (row.status, row.data_type, row.completed_at) == ("failed", "ohlcv", NOW) and "feed broke" in row.error
+        assert [r.event for r in lake.read_catalog(spark, folder, "events").collect()] == ["IngestionFailed"]
+        assert self.run(spark, folder).count() == 2
+
     def test_a_second_run_is_a_new_version(self, spark, folder):
         self.run(spark, folder)
         self.run(spark, folder, "r2", NOW + timedelta(days=1), feed(spark, 3))
@@ -299,6 +314,8 @@ class TestProviders:
 
     def test_lookup(self, spark):
         providers.register_provider(spark, Steady)
+        health = spark.createDataFrame([("steady", True), ("gone", False)], "provider STRING, healthy BOOLEAN")
+        assert [tuple(r) for r in providers.list_providers(spark, health).collect()] == [("steady", ["1d"], True)]
         assert "steady" in providers.registered_providers()
         with pytest.raises(KeyError):
             providers.provider_for("ohlcv", "nobody")
