@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from marketlake.operators.series import even_slices
 
 # Failures that open an outage, and the pause (seconds) that forgets them.
 FAILURE_THRESHOLD = 5
@@ -21,14 +23,6 @@ def _starts_run(failed: str, at: str, before_failed: str, before_at: str, gap_se
     return F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
 
 
-def _slice_width(log: DataFrame, rows_per_slice: int) -> Column:
-    """Microseconds that hold so many rows on average: exact, so equal wherever it is evaluated."""
-    at = F.unix_micros("completed_at")
-    span, n = F.max(at) - F.min(at), F.count("*")
-    width = F.ceil(span / F.greatest(n, F.lit(1)) * rows_per_slice)
-    return log.agg(F.greatest(width, F.lit(1).cast("long")).alias("width")).scalar()
-
-
 def outages(
     log: DataFrame,
     keys: Sequence[str] = ("provider", "data_type", "symbol"),
@@ -51,7 +45,7 @@ def outages(
         *order,
         F.col("completed_at").alias("at"),
         (F.col("status") == "failed").alias("failed"),
-        F.floor(F.unix_micros("completed_at") / _slice_width(finished, rows_per_slice)).alias("slice"),
+        even_slices(finished, "completed_at", rows_per_slice).alias("slice"),
     )
     so_far = (Window.unboundedPreceding, Window.currentRow)
     in_slice = Window.partitionBy(*keys, "slice").orderBy("at", *order)

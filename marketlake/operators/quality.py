@@ -71,7 +71,7 @@ def bar_counts(
     checks: Sequence[str] = BAR_CHECKS,
     threshold: float = SPIKE_THRESHOLD,
     keys: Sequence[str] = BAR_KEYS,
-    days: float = SLICE_DAYS,
+    days: float | Column = SLICE_DAYS,
 ) -> DataFrame:
     """The wanted bar checks as one wide row of counts per series; only what they need is computed.
 
@@ -80,7 +80,8 @@ def bar_counts(
     table that ``dedup_bars`` just made. Spikes then work inside (series, time slice), and a last step
     over one row per slice compares the first bar of a slice with the close before it.
 
-    Spikes are measured on the series as it would be stored, the first row per timestamp.
+    Spikes are measured on the series as it would be stored, the first row per timestamp. ``days`` is
+    the slice width; for bars off their grid, ``even_slices(bars, "timestamp")`` fits it to the data.
     """
     row_counts = _row_counts(checks)
     add_up = [F.sum(c).alias(c) for c in row_counts]
@@ -136,7 +137,7 @@ def check_bars(
     threshold: float = SPIKE_THRESHOLD,
     keys: Sequence[str] = BAR_KEYS,
     gap_timeframes: Sequence[str] = GAP_TIMEFRAMES,
-    days: float = SLICE_DAYS,
+    days: float | Column = SLICE_DAYS,
 ) -> DataFrame:
     """Long report of the wanted bar checks. Gaps are checked when a calendar is given."""
     wide = bar_counts(bars, checks, threshold, keys, days)

@@ -17,11 +17,26 @@ SLICE_DAYS = 30
 BAR_KEYS = schemas.SERIES_KEYS["ohlcv"]
 
 
-def time_slice(ts: Column, days: float = SLICE_DAYS) -> Column:
-    """Number of the fixed-width time slice that holds ``ts``."""
+def time_slice(ts: Column, days: float | Column = SLICE_DAYS) -> Column:
+    """Number of the fixed-width time slice that holds ``ts``; a given slice column stands as it is."""
+    if isinstance(days, Column):
+        return days
     return F.floor(F.unix_seconds(ts) / F.lit(int(days * 86_400))).cast("long")
 
 
+def even_slices(df: DataFrame, ts: str, rows_per_slice: int = 1_000_000) -> Column:
+    """A slice column whose width follows the density of ``df``: so many rows, of all series, on average.
+
+    One narrow pass for count, first and last time. These are exact, so the slices are the same
+    wherever and however often they are evaluated.
+    """
+    at = F.unix_micros(ts)
+    span, n = F.max(at) - F.min(at), F.count("*")
+    width = F.ceil(span / F.greatest(n, F.lit(1)) * rows_per_slice)
+    micros = df.agg(F.greatest(width, F.lit(1).cast("long")).alias("width")).scalar()
+    return F.floor(at / micros).cast("long")
+
+
 SEQ_OR_LAST = "coalesce(seq, 9223372036854775807L)"
 
 
@@ -41,7 +56,7 @@ def dedup_bars(df: DataFrame, keys: Sequence[str] = BAR_KEYS) -> DataFrame:
 
 
 def with_prior_close(
-    bars: DataFrame, keys: Sequence[str] = BAR_KEYS, days: float | None = SLICE_DAYS
+    bars: DataFrame, keys: Sequence[str] = BAR_KEYS, days: float | Column | None = SLICE_DAYS
 ) -> DataFrame:
     """Add ``prior_close``: the close of the bar before, in time order, within its series.
 
@@ -49,6 +64,7 @@ def with_prior_close(
     (series, slice), for both the join and the window. ``days=None`` takes a series as one slice, in
     one pass: right for bars on their timeframe's grid (as ``resample_bars`` makes them), where the
     covered time bounds a series (20 years of 5m bars are 2 million rows) however hot its symbol is.
+    Off the grid, ``days=even_slices(bars, "timestamp")`` fits the slices to the data.
     """
     if days is None:
         return bars.withColumn(

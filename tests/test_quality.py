@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlake import schemas
 from marketlake.operators import calendar, expectations, quality
+from marketlake.operators.series import even_slices
 from tests import samples
 
 def as_of():
@@ -78,7 +79,7 @@ class TestBarChecks:
         weekly = holed.withColumn("timeframe", F.lit("1w"))
         assert samples.passed(report(weekly, "check_gaps", calendar=days))
 
-    @pytest.mark.parametrize("days", [0.5, 3, 30, 400])
+    @pytest.mark.parametrize("days", [0.5, 3, 30, 400, "even"])
     def test_slices_do_not_change_the_counts(self, spark, days):
         rng = random.Random(7)
         rows = [
@@ -96,6 +97,7 @@ class TestBarChecks:
                 for i, c in enumerate(schemas.PRICES, 1):
                     p = before[4]
                     spikes[c] += p == 0 or abs((bar[i] - p) / p) > 0.2
+        days = even_slices(df, "timestamp", rows_per_slice=20) if days == "even" else days
         counts = quality.bar_counts(df, days=days).groupBy().sum().first()
         assert {c: counts[f"sum(spike_{c})"] for c in schemas.PRICES} == spikes
         assert counts["sum(duplicates)"] == len(rows) - len(firsts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlake import schemas
 from marketlake.operators.outages import outages
 from marketlake.operators.resample import TIMEFRAMES, resample_bars
-from marketlake.operators.series import dedup_bars, with_prior_close
+from marketlake.operators.series import dedup_bars, even_slices, with_prior_close
 from tests import samples
 
 
@@ -73,14 +73,17 @@ def test_dedup_keeps_the_first_by_seq(spark):
     assert [r.open for r in dedup_bars(later.unionAll(no_seq).unionAll(df)).orderBy("timestamp").collect()] == [185.0, 186.0]
 
 
-@pytest.mark.parametrize("days", [None, 0.25, 2, 30])
+@pytest.mark.parametrize("days", [None, 0.25, 2, 30, "even"])
 def test_prior_close_across_slices(spark, days):
     rng = random.Random(2)
     rows = []
     for symbol, n in (("A", 200), ("B", 1), ("C", 40)):
         hours = sorted(rng.sample(range(3000), n))
         rows += [(datetime(2024, 1, 1) + timedelta(hours=h), 1.0, 1.0, 1.0, float(rng.randrange(50)), 1.0, symbol, "1h", "p") for h in hours]
-    got = with_prior_close(spark.createDataFrame(rows, schemas.BARS), days=days).collect()
+    bars = spark.createDataFrame(rows, schemas.BARS)
+    if days == "even":
+        days = even_slices(bars, "timestamp", rows_per_slice=10)
+    got = with_prior_close(bars, days=days).collect()
     assert len(got) == len(rows)
     by_series = {}
     expected = {}
