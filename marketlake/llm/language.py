@@ -6,6 +6,7 @@ goes to the language whose dictionaries encode it in the fewest bytes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +17,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 from marketlake.llm.common import pieces, stored, utf8_bytes
 
 #: Bounds of what is learned: documents read per language, bytes of one dictionary, dictionaries per language, languages.
-SAMPLE_DOCS, DICTIONARY_BYTES, DICTIONARIES, LANGUAGES = 600, 48 << 10, 3, 64
-LEVEL = 3
+SAMPLE_DOCS, DICTIONARY_BYTES, DICTIONARIES, LANGUAGES = 600, 112 << 10, 1, 64
+LEVEL = 6
 UNDECIDED = "und"
 
 
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
 def plain(text: str) -> str:
     """Lower-case letters with single spaces between and around: what the languages differ in."""
-    return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    return f" {_BETWEEN.sub(' ', text.lower()).strip()} "
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, dictionaries: int = DICTIONARIES) -> dict[str, list[bytes]]:
-    """Language to dictionaries, from rows (doc_id, text, lang) with a text and a lang.
+    """Language to dictionaries, most frequent language first, from rows (doc_id, text, lang) with a text and a lang.
 
     Fitted on a bounded sample: the ``sample_docs`` documents of each language with the smallest hash of doc_id, for the
     ``LANGUAGES`` most frequent languages. The ids are ranked first, without texts, and the texts of the sample alone
@@ -44,7 +48,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes:
     most = dictionaries * dictionary_bytes
     texts = rows.where(within).select("lang", "h", "doc_id", F.substring("text", 1, most).alias("text")).collect()
     out: dict[str, list[bytes]] = {}
-    for lang in sorted(r["lang"] for r in last):
+    for lang in (r["lang"] for r in sorted(last, key=lambda r: (-r["n"], r["lang"]))):
         own = [plain(r["text"]) for r in sorted((r for r in texts if r["lang"] == lang), key=lambda r: (r["h"], str(r["doc_id"]), r["text"]))]
         out[lang] = [_dictionary(own[k::dictionaries] or own, dictionary_bytes) for k in range(dictionaries)]
     return out
@@ -63,7 +67,7 @@ def _dictionary(texts: list[str], most: int) -> bytes:
 
 def _identifier(shared, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = sorted(shared.value)
+        languages = list(shared.value)
         coders = []
         for lang in languages:
             own = []
@@ -77,7 +81,7 @@ def _identifier(shared, level: int):
             langs, scores, margins = [], [], []
             for text in batch.column("_bytes").to_pylist():
                 words = plain(text.decode())
-                if not languages or words == "  ":
+                if not languages or not any(map(str.isalpha, words)):
                     langs.append(UNDECIDED)
                     scores.append(0.0)
                     margins.append(0.0)
@@ -103,7 +107,7 @@ def identified(docs: DataFrame, model: dict[str, list[bytes]], min_margin: float
 
     The whole text is encoded. ``lang_pred`` is always the best learned language, or ``und`` for null texts and texts
     without a letter (score and margin 0). ``accepted`` is false for ``und`` and for margins under ``min_margin`` bytes: ties,
-    in effect. Equal sizes go to the first language in code point order. A map: nothing is shuffled, and each row is
+    in effect. Equal sizes go to the language with more learned-from documents. A map: nothing is shuffled, and each row is
     judged alone, so repeated rows agree. Columns with the new names are replaced.
     """
     rest = docs.drop("lang_pred", "score", "margin", "accepted")
