@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# A bare clock time ("12:30") would parse as today; only strings that start with a year count.
-_STARTS_WITH_YEAR = r"^\s*\d{4}"
+# ISO forms, from a year alone to a full date-time. A bare clock time ("12:30") would parse as today, and six digits as a year.
+_ISO = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ].*)?)?)?$"
+# Other forms that feeds use, with the pattern that reads each.
+_OTHER_FORMS = {
+    r"^\d{8}$": "yyyyMMdd",
+    r"^\d{8}T\d{6}$": "yyyyMMdd'T'HHmmss",
+    r"^\d{8}T\d{6}(Z|[+-]\d{4})$": "yyyyMMdd'T'HHmmssXX",
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$": "M/d/yyyy H:mm",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": "M/d/yyyy H:mm:ss",
+}
 # A zone at the end of an ISO date-time: Z, +05, +0530, +05:30, +05:30:15.
 _TRAILING_ZONE = r"(?<=\d{2})(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)$"
 
 
 def utc_timestamp(c: Column) -> Column:
-    """String time to UTC: a naive time is UTC, an offset is converted, a bad one is null."""
-    return F.when(c.rlike(_STARTS_WITH_YEAR), F.try_to_timestamp(F.trim(c)))
+    """String time to UTC: a naive time is UTC, an offset is converted, a bad one is null.
+
+    ISO forms, compact ones (``20240102``, ``20240102T103000``) and month/day/year.
+    """
+    bare = F.trim(c)
+    read = F.when(bare.rlike(_ISO), F.try_to_timestamp(bare))
+    for form, pattern in _OTHER_FORMS.items():
+        read = read.when(bare.rlike(form), F.try_to_timestamp(bare, F.lit(pattern)))
+    return read
 
 
 def to_utc(df: DataFrame, name: str) -> Column:

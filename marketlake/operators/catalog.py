@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from marketlake import schemas
 from marketlake.functions import count_if, dataset_hash, default_provider, iso_created_at, storage_uri, ttl_seconds
@@ -89,18 +89,6 @@ def split_supported(
     return requests.where(ok), requests.where(~ok)
 
 
-def mark_known(requests: DataFrame, registry: DataFrame) -> DataFrame:
-    """Requests with ``known``: does the registry hold the dataset, by hash."""
-    held = registry.select("hash").distinct().withColumn("known", F.lit(True))
-    return requests.join(held, "hash", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-
-
-def plan_ingestion(requests: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(requests still to ingest, requests the registry already holds)."""
-    held = registry.select("hash").distinct()
-    return requests.join(held, "hash", "left_anti"), requests.join(held, "hash", "left_semi")
-
-
 def resolve(requests: DataFrame, registry: DataFrame, as_of: Column, invalidated: DataFrame | None = None) -> DataFrame:
     """Where each request is stored, with ``status`` fresh, stale or missing at ``as_of``."""
     current = latest_version(registry, invalidated).select("hash", "storage_uri", "created_at")
@@ -110,6 +98,15 @@ def resolve(requests: DataFrame, registry: DataFrame, as_of: Column, invalidated
     return requests.join(current, "hash", "left").withColumn("status", status)
 
 
+def plan_ingestion(
+    requests: DataFrame, registry: DataFrame, as_of: Column, invalidated: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(requests to ingest at ``as_of``: missing, invalidated or past their time to live; requests that are served)."""
+    resolved = resolve(requests, registry, as_of, invalidated)
+    due = F.col("status") != "fresh"
+    return resolved.where(due), resolved.where(~due)
+
+
 # Registry -------------------------------------------------------------------------------------
 
 
@@ -185,8 +182,9 @@ def versions(registry: DataFrame, hash_: str) -> DataFrame:
 
 def latest_version(registry: DataFrame, invalidated: DataFrame | None = None) -> DataFrame:
     """The newest version per hash that was not invalidated after it was made."""
-    newest = F.max_by(F.struct(*registry.columns), F.struct("created_at", "storage_uri"))
-    rows = registry.groupBy("hash").agg(newest.alias("r")).select("r.*")
+    # A ranking of one row per hash: map tasks cut to that before the exchange.
+    order = Window.partitionBy("hash").orderBy(F.desc("created_at"), F.desc("storage_uri"))
+    rows = registry.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
     if invalidated is None:
         return rows
     ends = invalidated.groupBy("hash").agg(F.max("invalidated_at").alias("invalidated_at"))

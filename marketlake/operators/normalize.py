@@ -38,6 +38,17 @@ def _pick(df: DataFrame, positions: dict[str, int]) -> DataFrame:
     return by_position.select(*(F.col(f"c{i}").alias(name) for name, i in positions.items()))
 
 
+def split_readable(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of a bar feed whose time can be read, the others), before anything is folded. The columns stay."""
+    at = _first_present(TIME_CANDIDATES, raw.columns)
+    if at is None:
+        return raw, raw.limit(0)
+    # By position: "Date" and "date" may both be there.
+    named = raw.toDF(*(f"c{i}" for i in range(len(raw.columns))))
+    readable = to_utc(named, f"c{at}").isNotNull()
+    return named.where(readable).toDF(*raw.columns), named.where(~readable).toDF(*raw.columns)
+
+
 def _constant_or_carried(df: DataFrame, name: str, constant: str | None) -> Column:
     if constant is not None:
         return F.lit(constant)
@@ -51,12 +62,13 @@ def normalize_bars(
     symbol: str | None = None,
     timeframe: str | None = None,
     provider: str | None = None,
-    strict_time: bool = False,
+    strict_time: bool = True,
 ) -> DataFrame:
     """Canonical bars: names and types fixed, null prices dropped, first row per timestamp kept.
 
-    ``seq`` gives the feed order; without it the rows must already be unique per timestamp. A time
-    that does not parse stays as null (see ``split_valid``), or fails the job if ``strict_time``.
+    ``seq`` gives the feed order; without it the rows must already be unique per timestamp. A time that does not parse
+    fails the job: keep such rows apart first (``split_readable``). Without ``strict_time`` they become null, and rows of
+    one series without a time are one row, as rows of one time are.
     """
     columns = raw.columns
     positions = {"timestamp": _first_present(TIME_CANDIDATES, columns)}
@@ -76,7 +88,8 @@ def normalize_bars(
     typed = picked.select(
         time.alias("timestamp"),
         *(numeric_column(picked, c).alias(c) for c in BAR_ALIASES),
-        *(_constant_or_carried(picked, n, v).alias(n) for n, v in constants.items()),
+        F.upper(_constant_or_carried(picked, "symbol", symbol)).alias("symbol"),
+        *(_constant_or_carried(picked, n, v).alias(n) for n, v in constants.items() if n != "symbol"),
         (F.col("seq").cast("long") if "seq" in positions else F.lit(0).cast("long")).alias("seq"),
     ).dropna(subset=list(schemas.PRICES))
     return schemas.conform(dedup_bars(typed), schemas.BARS)
@@ -93,7 +106,7 @@ def normalize_news(raw: DataFrame, symbol: str | None = None, provider: str | No
         to_utc(filled, "published_at").alias("published_at"),
         "source",
         "url",
-        _constant_or_carried(filled, "symbol", symbol).alias("symbol"),
+        F.upper(_constant_or_carried(filled, "symbol", symbol)).alias("symbol"),
         _constant_or_carried(filled, "provider", provider).alias("provider"),
     )
     return schemas.conform(
@@ -109,7 +122,7 @@ def normalize_fundamentals(
     as_of = as_of_timestamp(F.col("as_of").cast("string"), now) if has_time else now.cast("timestamp")
     return schemas.conform(
         raw.select(
-            _constant_or_carried(raw, "symbol", symbol).alias("symbol"),
+            F.upper(_constant_or_carried(raw, "symbol", symbol)).alias("symbol"),
             as_of.alias("as_of"),
             *((safe_double(F.col(m)) if m in raw.columns else F.lit(None)).alias(m) for m in schemas.METRICS),
             _constant_or_carried(raw, "provider", provider).alias("provider"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketlake import schemas
@@ -28,14 +30,17 @@ def bar_start(ts: Column, timeframe: str) -> Column:
 
 
 def arrival_order(ts: Column, seq: str | None = None) -> Column:
-    """(ts, seq) as one sortable decimal; ``seq`` names a BIGINT column, and its nulls come first.
+    """(ts, seq) as one sortable decimal; ``seq`` names a BIGINT column of any range, and its nulls come first.
 
     A struct would do as an ordering, but it cannot live in a hash-aggregation buffer: the
     aggregate would sort all its input. A decimal keeps it a hash aggregate.
     """
-    wide = "decimal(20,0)"
-    moment = F.unix_micros(ts).cast(wide) * F.lit(2**62).cast(wide)
-    return moment if seq is None else moment + F.coalesce(seq, F.lit(0)).cast(wide)
+    # A moment has 2^64 + 1 places: one for null, then all of BIGINT. Microseconds of the years 1 to 9999 fit 38 digits so.
+    moment = (F.unix_micros(ts).cast("decimal(18,0)") * F.lit(Decimal(2**64 + 1))).cast("decimal(38,0)")
+    if seq is None:
+        return moment
+    place = F.col(seq).cast("decimal(20,0)") + F.lit(Decimal(2**63 + 1))
+    return (moment + F.coalesce(place, F.lit(0))).cast("decimal(38,0)")
 
 
 def tick_columns(ts: str, price: str, seq: str) -> list[Column]:

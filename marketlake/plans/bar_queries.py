@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketlake.functions import abs_pct_change, iso_day, iso_seconds
 from marketlake.operators import calendar, expectations, quality
+from marketlake.operators.normalize import normalize_bars, split_readable
 from marketlake.operators.reads import get_bars
 from marketlake.operators.resample import resample_bars
 from marketlake.operators.series import dedup_bars, with_prior_close
@@ -57,6 +58,17 @@ def quarantined_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("symbol", "seq", F.array_join("reasons", ",").alias("reasons"))
 
 
+def misdated_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per symbol, what became of every row of a feed with times in several forms: folded into bars, or unreadable."""
+    readable, rest = split_readable(views.misdated_bars(spark, sf_dir))
+    symbol = F.upper("symbol").alias("symbol")
+    counts = readable.groupBy(symbol).agg(F.count("*").alias("n_readable"))
+    unread = rest.groupBy(symbol).agg(F.count("*").alias("n_unreadable"))
+    bars = normalize_bars(readable).groupBy("symbol").agg(F.count("*").alias("n_bars"), F.sum("volume").alias("volume"))
+    every = counts.join(unread, "symbol", "full").join(bars, "symbol", "full")
+    return every.select("symbol", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_readable", "n_unreadable", "n_bars")), "volume")
+
+
 def expectation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expectations.count_violations(
         views.typed_bars(spark, sf_dir), ["symbol"], expectations.bar_expectations()
@@ -106,6 +118,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "price_spikes": price_spikes,
     **{f"bars_{t}": _bars(t) for t in ("5m", "15m", "30m", "1h", "1d", "1w", "1m")},
+    "misdated_bars": misdated_bars,
     "normalize_bars": lambda spark, sf_dir: _shown(views.canonical_bars(spark, sf_dir)),
     "dedup_bars": lambda spark, sf_dir: _shown(dedup_bars(views.typed_bars(spark, sf_dir))),
     "prior_close": prior_close,
@@ -184,6 +197,18 @@ ORACLES = {
     "bars_1w": _resampled("date_trunc('week', ts)"),
     "bars_1m": _resampled("date_trunc('month', ts)"),
     "normalize_bars": over(["canonical_bars"], f"SELECT {_BAR} FROM canonical_bars"),
+    "misdated_bars": over(["typed_bars"], """
+        , unread AS (
+            SELECT 'S' || (user_id % 20) AS symbol, count(*) AS n,
+                   count(*) FILTER (WHERE event_id % 31 = 0 OR event_id % 37 = 0 OR event_id % 41 = 0) AS bad
+            FROM events GROUP BY 1),
+        bars AS (
+            SELECT symbol, count(*) AS n_bars, sum(volume) AS volume FROM (
+                SELECT *, row_number() OVER (PARTITION BY symbol, timestamp ORDER BY seq) AS rn FROM typed_bars
+                WHERE seq % 31 <> 0 AND seq % 37 <> 0 AND seq % 41 <> 0)
+            WHERE rn = 1 GROUP BY symbol)
+        SELECT symbol, n - bad AS n_readable, bad AS n_unreadable, coalesce(n_bars, 0) AS n_bars, volume
+        FROM unread LEFT JOIN bars USING (symbol)"""),
     "dedup_bars": over(["canonical_bars"], f"SELECT {_BAR} FROM canonical_bars"),
     "prior_close": over(["canonical_bars"], f"""
         SELECT symbol, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, close, prior_close FROM {_LAGGED}"""),

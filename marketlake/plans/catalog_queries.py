@@ -28,8 +28,10 @@ def request_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = catalog.mark_known(views.requests(spark, sf_dir), views.registry(spark, sf_dir))
-    return marked.select("hash", "data_type", (~F.col("known")).alias("todo"))
+    """What is missing, past its time to live, or invalidated, and what is served."""
+    registry = views.registry(spark, sf_dir)
+    todo, served = catalog.plan_ingestion(views.requests(spark, sf_dir), registry, views.as_of(), _unsound(registry))
+    return todo.withColumn("todo", F.lit(True)).unionByName(served.withColumn("todo", F.lit(False))).select("hash", "data_type", "status", "todo")
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unsound(registry: DataFrame) -> DataFrame:
     """Tombstones for every dataset of which some version failed its checks."""
-    return catalog.tombstones(registry.where(~F.col("quality_passed")), F.lit("2024-01-30 12:00:00"))
+    return catalog.invalidate(registry, F.lit("2024-01-30 12:00:00"), hashes=registry.where(~F.col("quality_passed")))
 
 
 def invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,17 @@ def invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hash", "data_type", iso_created_at(F.col("created_at")).alias("created_at"))
 
 
+def invalidate_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets that an invalidation of one symbol ends."""
+    return catalog.invalidate(views.registry(spark, sf_dir), views.as_of(), symbol="s7").select("hash")
+
+
+def refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets that go back to their provider when everything requested is refreshed."""
+    wanted = views.requests(spark, sf_dir).drop("hash").withColumn("symbol", F.lower("symbol"))
+    return catalog.refresh(views.registry(spark, sf_dir), wanted, views.as_of()).select("hash")
+
+
 def freshness_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.freshness_stats(views.registry(spark, sf_dir), views.as_of())
 
@@ -123,6 +136,8 @@ QUERIES = {
     "list_datasets_page": list_datasets_page,
     "latest_version": latest_version,
     "invalidate": invalidate,
+    "invalidate_symbol": invalidate_symbol,
+    "refresh": refresh,
     "freshness_stats": freshness_stats,
     "lineage": lineage,
     "ingestion_summary": ingestion_summary,
@@ -181,8 +196,20 @@ ORACLES = {
         SELECT data_type, provider, coalesce(symbol, '') AS symbol, coalesce(timeframe, '') AS timeframe,
                coalesce(series, '') AS series, hash
         FROM requests"""),
-    "plan_ingestion": over(["requests", "stored_registry"], """
-        SELECT hash, data_type, hash NOT IN (SELECT hash FROM stored_registry) AS todo FROM requests"""),
+    "plan_ingestion": over(["requests", "latest"], f"""
+        , held AS (
+            SELECT * FROM latest
+            WHERE hash NOT IN (SELECT hash FROM stored_registry WHERE NOT quality_passed) OR created_at > TIMESTAMP '2024-01-30 12:00:00')
+        SELECT *, status <> 'fresh' AS todo FROM (
+            SELECT r.hash, r.data_type,
+                   CASE WHEN created_at IS NULL THEN 'missing'
+                        WHEN {_AGE} < {_TTL.replace('data_type', 'r.data_type').replace('timeframe', 'r.timeframe')} THEN 'fresh'
+                        ELSE 'stale' END AS status
+            FROM requests r LEFT JOIN held l ON l.hash = r.hash)"""),
+    "invalidate_symbol": over(["stored_registry"], """
+        SELECT DISTINCT hash FROM stored_registry WHERE symbol = 'S7' OR storage_uri LIKE '%/S7/%'"""),
+    "refresh": over(["requests", "stored_registry"], """
+        SELECT DISTINCT hash FROM stored_registry WHERE hash IN (SELECT hash FROM requests)"""),
     "resolve": over(["requests", "latest"], f"""
         SELECT r.hash, r.data_type, coalesce(storage_uri, '') AS storage_uri,
                CASE WHEN created_at IS NULL THEN 'missing'

@@ -16,7 +16,7 @@ from marketlake.operators.normalize import (
     normalize_macro,
     normalize_news,
 )
-from marketlake.sinks.store import stored_folder, write_canonical, write_catalog
+from marketlake.sinks.store import run_path, stored_folder, write_canonical, write_catalog
 from marketlake.sources.lake import read_canonical, read_catalog
 
 
@@ -57,8 +57,8 @@ def quality_of(stored: DataFrame, data_type: str, now: Column, calendar: DataFra
 def ingest(raw: DataFrame, request: Request, calendar: DataFrame | None = None) -> DataFrame:
     """Run one request and return its registry rows, as stored. A run that fails is logged, then raised.
 
-    The canonical rows are written first. Checks and counts then read the stored run: the raw feed is
-    parsed once for the data, and a lost executor costs a scan, not the run.
+    The raw rows are landed first, as the run's raw zone: a paid or rate-limited feed is read once, whatever is retried. The
+    canonical rows are written from there, and checks read the stored run: a lost executor costs a scan, not the run.
     """
     try:
         return _ingest(raw, request, calendar)
@@ -67,12 +67,21 @@ def ingest(raw: DataFrame, request: Request, calendar: DataFrame | None = None)
         raise
 
 
+def land(raw: DataFrame, r: Request) -> DataFrame:
+    """The raw rows as they came, stored under the run and read back."""
+    path = run_path(r.root, f"raw_{r.data_type}", r.run)
+    raw = raw.withColumns({c: F.col(c).cast("string") for c, kind in raw.dtypes if kind == "void"})
+    raw.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return raw.sparkSession.read.schema(raw.schema).parquet(path)
+
+
 def _ingest(raw: DataFrame, request: Request, calendar: DataFrame | None) -> DataFrame:
     r, spark, now = request, raw.sparkSession, F.lit(request.now)
     keys = schemas.SERIES_KEYS[r.data_type]
+    raw = land(raw, r)
     write_canonical(normalize(raw, r.data_type, now), r.data_type, r.root, r.run, now, r.start, r.end, r.layout)
 
-    stored = read_canonical(spark, r.root, r.data_type, run=r.run, layout=r.layout)
+    stored = read_canonical(spark, r.root, r.data_type, run=r.run)
     canonical = stored.select(*schemas.CANONICAL[r.data_type].fieldNames())
     summary = quality_of(canonical, r.data_type, now, calendar)
     location = stored_folder(r.data_type, r.root, r.run, r.layout)
@@ -81,7 +90,7 @@ def _ingest(raw: DataFrame, request: Request, calendar: DataFrame | None) -> Dat
     write_catalog(registered, "registry", r.root, part)
 
     registered = read_catalog(spark, r.root, "registry", part)
-    upper = [F.upper("series").alias("series") if k == "series" else F.col(k) for k in keys]
+    upper = [F.upper(k).alias(k) if k in ("series", "symbol") else F.col(k) for k in keys]
     fetched = raw.groupBy(*upper).agg(F.count("*").alias("rows_fetched"))
     log = ingestion_log(r.data_type, fetched, registered, now, now)
     write_catalog(log, "ingestion_log", r.root, part)

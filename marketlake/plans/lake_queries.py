@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marketlake.functions import iso_seconds
 from marketlake.operators import events
 from marketlake.operators.calendar import weekday_calendar
+from marketlake.operators.catalog import invalidate
 from marketlake.operators.reads import get_bars
 from marketlake.plans import views
 from marketlake.plans.ingest import Request, ingest
 from marketlake.plans.oracle_views import over
 from marketlake.schemas import PRICES
 from marketlake.session import shared_folder
-from marketlake.sources.lake import current_rows, read_canonical, read_catalog, reconcile
+from marketlake.sources.lake import current_rows, read_canonical, read_catalog, reconcile, stored_files
 from marketlake.streaming.bars import first_by_seq, tumbling_bars
 from marketlake.streaming.events import running_counts
+from marketlake.streaming.ingest import ingest_stream
 
 _SHOWN = ("symbol", "timestamp", *PRICES, "volume")
 
@@ -41,6 +43,33 @@ def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return get_bars(current_rows(stored, registry), None, "1h", "2024-01-05", "2024-01-20").select(*_SHOWN)
 
 
+def stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds after three overlapping requests, told apart by their volume, of which the last was invalidated."""
+    root, raw = shared_folder(spark), views.raw_bars(spark, sf_dir)
+    calendar = weekday_calendar(spark, views.START, views.END)
+    for run, start, end, volume in (("r1", "2024-01-01", "2024-01-19", "1"), ("r2", "2024-01-10", "2024-01-31", "2"), ("r3", "2024-01-25", "2024-01-31", "3")):
+        part = raw.where(F.substring("Date", 1, 10).between(start, end)).withColumn("Volume", F.lit(volume))
+        ingest(part, Request("ohlcv", root, run, datetime(2024, 2, int(volume), tzinfo=timezone.utc), start, end), calendar)
+    registry = read_catalog(spark, root, "registry")
+    gone = invalidate(registry, F.lit("2024-02-04"), hashes=registry.where("start_date = '2024-01-25'"))
+    rows = current_rows(read_canonical(spark, root, "ohlcv"), registry, gone)
+    return rows.withColumn("timestamp", iso_seconds(F.col("timestamp"))).select(*_SHOWN)
+
+
+def ingest_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds after a stream of files, one per micro-batch, that repeats all it sent before."""
+    root = shared_folder(spark)
+    raw = views.raw_bars(spark, sf_dir)
+    for turn in range(2):
+        raw.repartition(2, "symbol").write.mode("append").parquet(f"{root}/feed")
+    query = ingest_stream(
+        spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed"), "ohlcv", f"{root}/lake", f"{root}/checkpoint"
+    )
+    query.awaitTermination()
+    rows = current_rows(read_canonical(spark, f"{root}/lake", "ohlcv"), read_catalog(spark, f"{root}/lake", "registry"))
+    return rows.withColumn("timestamp", iso_seconds(F.col("timestamp"))).select(*_SHOWN)
+
+
 def ingest_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest the raw news and join its registry, log and event rows."""
     root, registry = _ingested(spark, sf_dir, "news")
@@ -54,10 +83,13 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered versions without stored rows and stored versions that nobody registered, after one side
     lost every series that did not pass its checks."""
     root, registry = _ingested(spark, sf_dir, "news")
-    stored = read_canonical(spark, root, "news")
-    lost, _ = reconcile(registry, stored.join(registry.where("quality_passed"), ["hash", "created_at"], "left_semi"))
-    _, unknown = reconcile(registry.where("quality_passed"), stored)
-    return lost.select(F.lit("lost").alias("side"), "hash").unionByName(unknown.select(F.lit("unknown").alias("side"), "hash"))
+    files = stored_files(spark, root, "news")
+    folder = F.regexp_extract("path", "symbol=([^/]+)", 1)
+    passed = registry.where("quality_passed")
+    lost, _ = reconcile(registry, files.join(passed, folder == F.col("symbol"), "left_semi"))
+    _, unknown = reconcile(passed, files)
+    symbol = F.regexp_extract("place", "symbol=([^/]+)", 1).alias("symbol")
+    return lost.select(F.lit("lost").alias("side"), "symbol").unionByName(unknown.select(F.lit("unknown").alias("side"), symbol))
 
 
 def _run(stream: DataFrame, spark: SparkSession) -> DataFrame:
@@ -98,6 +130,8 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "stored_bars": stored_bars,
+    "stored_versions": stored_versions,
+    "ingest_stream_bars": ingest_stream_bars,
     "ingest_news": ingest_news,
     "reconcile": reconciled,
     "stream_bars": stream_bars,
@@ -120,13 +154,17 @@ ORACLES = {
     "stored_bars": over(["canonical_bars"], f"""
         SELECT {_BAR} FROM canonical_bars
         WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp <= TIMESTAMP '2024-01-20'"""),
+    "stored_versions": over(["canonical_bars"], """
+        SELECT symbol, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, open, high, low, close,
+               CASE WHEN timestamp >= TIMESTAMP '2024-01-10' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS volume
+        FROM canonical_bars"""),
+    "ingest_stream_bars": over(["canonical_bars"], f"SELECT {_BAR} FROM canonical_bars"),
     "ingest_news": over(["news"], f"""{_NEWS_RUN}
         SELECT symbol, rows, rows_fetched, 6 AS columns, passed AS quality_passed, 'success' AS status,
                'DatasetIngested' AS event, {_NEWS_HASH} AS hash
         FROM kept JOIN fetched USING (symbol)"""),
     "reconcile": over(["news"], f"""{_NEWS_RUN}
-        SELECT side, {_NEWS_HASH} AS hash
-        FROM kept CROSS JOIN (VALUES ('lost'), ('unknown')) AS t(side) WHERE NOT passed"""),
+        SELECT side, symbol FROM kept CROSS JOIN (VALUES ('lost'), ('unknown')) AS t(side) WHERE NOT passed"""),
     "stream_bars": over(["bars_1h"], f"""
         SELECT {_BAR} FROM bars_1h
         WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE"""),

@@ -30,7 +30,7 @@ def news_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.from_xml("xml", "title STRING, link STRING, pubDate STRING")
     items = views.rss_items(spark, sf_dir).select("symbol", item.alias("i")).select("symbol", "i.*")
-    return _shown(feeds.parse_rss_items(items, "2024-01-02", "2024-12-31"))
+    return _shown(feeds.parse_rss_items(items, "2024-01-02"))
 
 
 def prefer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +116,13 @@ ORACLES = {
     "news_json": f"""
         SELECT {_NEWS} FROM (
             SELECT CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS headline, {_PUBLISHED} AS published_at, source,
-                   'https://news.example/' || doc_id AS url, upper(lang) AS symbol,
-                   row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS rank
-            FROM documents WHERE doc_id % 11 <> 0)
-        WHERE rank <= 100""",
+                   'https://news.example/' || doc_id AS url, upper(lang) AS symbol
+            FROM documents WHERE doc_id % 11 <> 0)""",
     "rss_items": f"""
         SELECT text AS headline, strftime({_PUBLISHED}, '%Y-%m-%dT%H:%M:%SZ') AS published_at, 'Yahoo Finance' AS source,
                'https://news.example/' || doc_id AS url, upper(lang) AS symbol
         FROM documents
-        WHERE {_PUBLISHED} BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-12-31 23:59:59'""",
+        WHERE {_PUBLISHED} >= TIMESTAMP '2024-01-02'""",
     "prefer_source": over(["news"], """
         , good AS (SELECT symbol, source, url FROM news WHERE length(headline) > 2000)
         SELECT * FROM good

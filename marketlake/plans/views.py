@@ -88,6 +88,14 @@ def as_raw_bars(events: DataFrame) -> DataFrame:
     )
 
 
+def misdated_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw bars in lower case, some dated in other forms, some with a time that nobody can read, or none."""
+    at = F.to_timestamp("Date")
+    dated = F.when(F.expr("seq % 31 = 0"), "soon").when(F.expr("seq % 37 = 0"), None).when(F.expr("seq % 41 = 0"), "202401")
+    dated = dated.when(F.expr("seq % 43 = 0"), F.date_format(at, "yyyyMMdd'T'HHmmss")).when(F.expr("seq % 47 = 0"), F.date_format(at, "M/d/yyyy H:mm:ss"))
+    return raw_bars(spark, sf_dir).withColumns({"Date": dated.otherwise(F.col("Date")), "symbol": F.lower("symbol")})
+
+
 def typed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw bars with types but with all their copies."""
     return as_typed_bars(raw_bars(spark, sf_dir))

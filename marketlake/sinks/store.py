@@ -1,12 +1,13 @@
 """Writing canonical and catalog tables.
 
-Every write belongs to a run. Files of a run land in folders of that run only, so another run's data
-is never replaced, and a retry of the same run replaces just its own files.
+Every write belongs to a run, the outermost folder of every table. Another run's data is never replaced, a retry of the same run
+replaces just its own files, and reading a run lists that run's folder only. ``compact`` folds old runs into one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlake import schemas
 from marketlake.functions import dataset_hash
@@ -21,7 +22,7 @@ CATALOG_TABLES = {
 #: Symbol buckets of the "bucket" layout.
 BUCKETS = 256
 
-# Folder levels of the stored tables, outermost first.
+# Folder levels of the stored tables below the run, outermost first.
 _FOLDERS = {
     "ohlcv": ("symbol", "timeframe", "year"),
     "news": ("symbol", "year"),
@@ -40,7 +41,31 @@ def partition_columns(data_type: str, layout: str = "symbol") -> tuple[str, ...]
     if layout not in ("symbol", "bucket"):
         raise ValueError(f"layout must be 'symbol' or 'bucket', not {layout!r}")
     swap = {"symbol": "symbol_bucket"} if layout == "bucket" else {}
-    return (*(swap.get(c, c) for c in _FOLDERS[data_type]), "run")
+    return ("run", *(swap.get(c, c) for c in _FOLDERS[data_type]))
+
+
+def _layout_path(root: str, data_type: str) -> str:
+    return f"{root.rstrip('/')}/catalog/layout/{data_type}"
+
+
+def stored_layout(spark: SparkSession, root: str, data_type: str) -> tuple[str, int] | None:
+    """(layout, buckets) of a stored table as its first writer noted them; None before that."""
+    try:
+        row = spark.read.schema("layout string, buckets int").parquet(_layout_path(root, data_type)).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row and (row.layout, row.buckets)
+
+
+def _note_layout(spark: SparkSession, root: str, data_type: str, layout: str, buckets: int) -> None:
+    noted = stored_layout(spark, root, data_type)
+    if noted is None:
+        rows = spark.createDataFrame([(layout, buckets)], "layout string, buckets int")
+        rows.coalesce(1).write.mode("overwrite").parquet(_layout_path(root, data_type))
+    elif noted != (layout, buckets):
+        raise ValueError(f"the table is stored with layout {noted[0]!r} and {noted[1]} buckets")
 
 
 def symbol_bucket(symbol: Column, buckets: int = BUCKETS) -> Column:
@@ -69,6 +94,17 @@ def _folder_name(value: Column) -> Column:
     return value
 
 
+def run_path(root: str, table: str, run: str) -> str:
+    """The folder of one run of a table."""
+    return f"{table_path(root, table)}/run={''.join(f'%{ord(c):02X}' if c in _ESCAPED else c for c in run)}"
+
+
+def run_of(location: Column) -> Column:
+    """The run in a location as ``stored_folder`` writes it."""
+    name = F.regexp_extract(location, "/run=([^/]+)", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def stored_folder(data_type: str, root: str, run: str, layout: str = "symbol", buckets: int = BUCKETS) -> Column:
     """Where a run stores a series, as a path that ``spark.read.parquet`` takes (``year=*`` for all years)."""
     values = {"year": F.lit("*"), "run": _folder_name(F.lit(run)), "symbol_bucket": symbol_bucket(F.col("symbol"), buckets).cast("string")}
@@ -97,6 +133,7 @@ def write_canonical(
     """
     ts = schemas.TIME_COLUMN[data_type]
     folders = partition_columns(data_type, layout)
+    _note_layout(df.sparkSession, root, data_type, layout, buckets)
     out = df
     if "year" in folders:
         out = out.withColumn("year", F.year(ts))
@@ -128,3 +165,28 @@ def write_catalog(df: DataFrame, table: str, root: str, run: str) -> None:
         .partitionBy("run")
         .parquet(table_path(root, table))
     )
+
+
+def compact(spark: SparkSession, data_type: str, root: str, into: str, rows: DataFrame) -> None:
+    """Store ``rows`` (current rows with their hash and created_at, from any number of runs) as the one run ``into``.
+
+    Readers of a compacted table read ``run=into`` and the runs after it; the old runs' folders can then be removed by the
+    store's own retention. Small files of many runs become files of about the advisory size.
+    """
+    layout, buckets = stored_layout(spark, root, data_type) or ("symbol", BUCKETS)
+    folders, ts = partition_columns(data_type, layout), schemas.TIME_COLUMN[data_type]
+    out = rows.withColumn("run", F.lit(into))
+    if "year" in folders:
+        out = out.withColumn("year", F.year(ts))
+    if "symbol_bucket" in folders:
+        out = out.withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), buckets))
+    inside = [c for c in schemas.SERIES_KEYS[data_type] if c not in folders]
+    (
+        out.hint("rebalance", *(c for c in folders if c != "run"))
+        .sortWithinPartitions(*folders, *inside, ts)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
+        .partitionBy(*folders)
+        .parquet(table_path(root, data_type))
+    )

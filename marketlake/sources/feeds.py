@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from marketlake import schemas
 from marketlake.functions import iso_day, iso_z_timestamp, rfc2822_timestamp
@@ -18,7 +18,6 @@ RAW_MACRO = schemas.struct(series_id="string", date="string", value="string")
 RSS_ITEM = schemas.struct(title="string", link="string", pubDate="string")
 
 NEWS_RESPONSE = "articles ARRAY<STRUCT<title STRING, publishedAt STRING, source STRUCT<name STRING>, url STRING>>"
-NEWS_PAGE = 100
 
 # Fixed value: the source name of articles that come by RSS.
 RSS_SOURCE = "Yahoo Finance"
@@ -60,23 +59,15 @@ def read_raw_macro(spark: SparkSession, path: str, fmt: str = "csv", **options:
     return _read(spark, path, fmt, RAW_MACRO, **options)
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows per key. Spark cuts every map task's rows to ``limit`` per key first."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+def parse_news_json(responses: DataFrame, body: str = "body", language: str | None = "en") -> DataFrame:
+    """Articles from JSON responses (``symbol, body`` and maybe ``language``): all of every response.
 
-
-def parse_news_json(
-    responses: DataFrame, body: str = "body", language: str | None = "en", limit: int | None = NEWS_PAGE
-) -> DataFrame:
-    """Articles from JSON responses (``symbol, body`` and maybe ``language``).
-
-    Articles without a usable time are skipped, a null title becomes empty, and the ``limit`` newest
-    per symbol are kept, which is the page size of the upstream query.
+    Articles without a usable time are skipped, a null title becomes empty. A response is one page of
+    upstream already, so nothing is cut here.
     """
     if language is not None and "language" in responses.columns:
         responses = responses.where(F.col("language") == language)
-    articles = responses.select(
+    return responses.select(
         "symbol", F.explode(F.from_json(body, NEWS_RESPONSE)["articles"]).alias("a")
     ).select(
         F.coalesce("a.title", F.lit("")).alias("headline"),
@@ -85,26 +76,36 @@ def parse_news_json(
         F.col("a.url").alias("url"),
         "symbol",
     ).where(F.col("published_at").isNotNull())
-    if limit is None:
-        return articles
-    return newest_per_key(articles, ["symbol"], [F.desc("published_at"), F.col("url"), F.col("headline")], limit)
 
 
-def read_news_rss(spark: SparkSession, path: str) -> DataFrame:
-    """RSS files, one row per item."""
-    return spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
+def read_news_rss(spark: SparkSession, path: str, symbol: str | None = r"([^/]+)\.xml$") -> DataFrame:
+    """RSS files of many symbols, one row per item, with the file it is from.
 
+    ``symbol`` is the pattern whose first group takes the symbol out of the file's path (default: the file's name).
+    """
+    items = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
+    items = items.withColumn("path", F.col("_metadata.file_path"))
+    return items if symbol is None else items.withColumn("symbol", F.upper(F.url_decode(F.regexp_extract("path", symbol, 1))))
 
-def parse_rss_items(items: DataFrame, start: str, end: str) -> DataFrame:
-    """Articles from RSS items (``title, link, pubDate`` and ``symbol``) of ``start`` to the end of ``end``."""
-    first, last = F.lit(start).cast("timestamp"), F.lit(f"{end} 23:59:59").cast("timestamp")
+
+def parse_rss_items(items: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Articles from RSS items (``title, link, pubDate`` and ``symbol``) of ``start`` to the end of ``end``.
+
+    A bound of None is open; items without a usable date are in no range.
+    """
+    published = F.col("published_at")
+    within = published.isNotNull()
+    if start is not None:
+        within = within & (published >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        within = within & (published <= F.lit(f"{end} 23:59:59").cast("timestamp"))
     return items.select(
         F.coalesce("title", F.lit("")).alias("headline"),
         rfc2822_timestamp(F.col("pubDate")).alias("published_at"),
         F.lit(RSS_SOURCE).alias("source"),
         F.col("link").alias("url"),
         "symbol",
-    ).where(F.col("published_at").between(first, last))
+    ).where(within)
 
 
 def prefer_source(primary: DataFrame, fallback: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from marketlake import schemas
 from marketlake.operators.catalog import latest_version
-from marketlake.sinks.store import BUCKETS, CATALOG_TABLES, partition_columns, symbol_bucket, table_path
+from marketlake.operators.resample import arrival_order
+from marketlake.sinks.store import BUCKETS, CATALOG_TABLES, partition_columns, run_of, run_path, stored_layout, symbol_bucket, table_path
 
 
 def stored_schema(data_type: str, layout: str = "symbol") -> T.StructType:
@@ -30,14 +31,20 @@ def read_canonical(
     start: str | None = None,
     end: str | None = None,
     run: str | None = None,
-    layout: str = "symbol",
-    buckets: int = BUCKETS,
 ) -> DataFrame:
     """A stored table; symbols (or series), range and run select its folders.
 
-    The time filter itself stays with the range reads: here ``start`` and ``end`` only prune years.
+    The layout is the one the table was written with. The time filter itself stays with the range reads: here ``start`` and
+    ``end`` only prune years. With ``run``, nothing but that run's folder is listed; a run that stored nothing is empty.
     """
-    df = spark.read.schema(stored_schema(data_type, layout)).parquet(table_path(root, data_type))
+    layout, buckets = stored_layout(spark, root, data_type) or ("symbol", BUCKETS)
+    reader = spark.read.schema(stored_schema(data_type, layout)).option("basePath", table_path(root, data_type))
+    try:
+        df = reader.parquet(table_path(root, data_type) if run is None else run_path(root, data_type, run))
+    except AnalysisException as e:
+        if run is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return schemas.empty(spark, stored_schema(data_type, layout))
     folders = partition_columns(data_type, layout)
     key = "series" if data_type == "macro" else "symbol"
     if names is not None:
@@ -49,37 +56,59 @@ def read_canonical(
         df = df.where(F.col("year") >= int(start[:4]))
     if "year" in folders and end is not None:
         df = df.where(F.col("year") <= int(end[:4]))
-    if run is not None:
-        df = df.where(F.col("run") == run)
     return df
 
 
+def live_rows(stored: DataFrame, registry: DataFrame, invalidated: DataFrame | None = None) -> DataFrame:
+    """Rows of the version in force of every dataset. The join holds the run, a folder: other runs' files are pruned."""
+    live = latest_version(registry, invalidated).select("hash", "created_at", run_of(F.col("storage_uri")).alias("run"))
+    return stored.join(live, ["hash", "created_at", "run"], "left_semi")
+
+
 def current_rows(stored: DataFrame, registry: DataFrame, invalidated: DataFrame | None = None) -> DataFrame:
-    """Rows of the version in force of every dataset."""
-    live = latest_version(registry, invalidated).select("hash", "created_at")
-    return stored.join(live, ["hash", "created_at"], "left_semi")
+    """What holds now: canonical columns, one row per (series, moment).
+
+    Datasets of overlapping requests are all in force; where they tell of one moment, the newest version's row
+    wins. An aggregate of fixed-width buffers for bars and macro points; news rows, which have no values but texts, are
+    told apart by all of their columns.
+    """
+    rows = live_rows(stored, registry, invalidated)
+    data_type = next(t for t, c in schemas.TIME_COLUMN.items() if c in stored.columns)
+    names = schemas.CANONICAL[data_type].fieldNames()
+    keys = names if data_type == "news" else [*schemas.SERIES_KEYS[data_type], schemas.TIME_COLUMN[data_type]]
+    values = [c for c in names if c not in keys]
+    if not values:
+        return rows.select(*names).distinct()
+    ordered = rows.withColumn("_hash", F.xxhash64("hash")).withColumn("_age", arrival_order(F.col("created_at"), "_hash"))
+    return ordered.groupBy(*keys).agg(*(F.max_by(c, "_age").alias(c) for c in values)).select(*names)
 
 
 def read_catalog(spark: SparkSession, root: str, table: str, run: str | None = None) -> DataFrame:
     """``registry``, ``ingestion_log``, ``events`` or ``tombstones``; empty where nothing was written."""
     schema = T.StructType(list(CATALOG_TABLES[table].fields)).add("run", "string")
+    reader = spark.read.schema(schema).option("basePath", table_path(root, table))
     try:
-        df = spark.read.schema(schema).parquet(table_path(root, table))
+        df = reader.parquet(table_path(root, table) if run is None else run_path(root, table, run))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return schemas.empty(spark, CATALOG_TABLES[table])
-    return (df if run is None else df.where(F.col("run") == run)).drop("run")
+    return df.drop("run")
+
+
+def _place(path: Column) -> Column:
+    """A series' folder below ``datasets``, whatever the scheme and the years: what a location and its files share."""
+    return F.regexp_replace(F.regexp_extract(path, "/datasets/(.*)$", 1), "(/year=[^/]*)?(/[^/=]*)?$", "")
 
 
-def reconcile(registry: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(registered versions without stored rows, stored versions that nobody registered).
+def reconcile(registry: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registered versions without files, folders (``place``) with files that nobody registered).
 
-    ``stored`` is a canonical table as read from the lake; only its version columns are scanned.
+    ``files`` is a listing as ``stored_files`` gives it: no file is opened.
     """
-    on_disk = stored.select("hash", "created_at").distinct()
-    keys = ["hash", "created_at"]
-    return registry.join(on_disk, keys, "left_anti"), on_disk.join(registry.select(*keys), keys, "left_anti")
+    on_disk = files.select(_place(F.col("path")).alias("place")).distinct()
+    known = registry.withColumn("place", _place(F.col("storage_uri")))
+    return known.join(on_disk, "place", "left_anti").drop("place"), on_disk.join(known, "place", "left_anti")
 
 
 def stored_files(spark: SparkSession, root: str, data_type: str) -> DataFrame:

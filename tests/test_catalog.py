@@ -54,7 +54,7 @@ def test_plan_and_resolve(spark):
     requests = spark.createDataFrame(
         [("h1", "ohlcv", "1d"), ("h2", "ohlcv", "1h"), ("h3", "news", None)], "hash STRING, data_type STRING, timeframe STRING"
     )
-    todo, done = catalog.plan_ingestion(requests, reg)
+    todo, done = catalog.plan_ingestion(requests, reg, at("2024-01-01 12:00:00"))
     assert [r.hash for r in todo.collect()] == ["h3"] and {r.hash for r in done.collect()} == {"h1", "h2"}
 
     def status(now, tombstones=None):

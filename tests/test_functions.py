@@ -101,12 +101,15 @@ class TestTimes:
     def test_utc(self, spark):
         got = column(
             spark,
-            ["2024-01-02", "2024-01-02T14:30:00Z", "2024-01-02 14:30:00+05:00", "2024-01-02T14:30:00.25", "12:30", "soon", "", None],
+            ["2024-01-02", "2024-01-02T14:30:00Z", "2024-01-02 14:30:00+05:00", "2024-01-02T14:30:00.25", "12:30", "soon", "", None,
+             "20240102", "20240102T143000", "20240102T143000Z", "1/2/2024", "01/02/2024 14:30", "202401", "2024-13-01", "20241301", "2024"],
             fn.utc_timestamp,
         )
         assert got == [
             datetime(2024, 1, 2), datetime(2024, 1, 2, 14, 30), datetime(2024, 1, 2, 9, 30),
             datetime(2024, 1, 2, 14, 30, 0, 250_000), None, None, None, None,
+            datetime(2024, 1, 2), datetime(2024, 1, 2, 14, 30), datetime(2024, 1, 2, 14, 30), datetime(2024, 1, 2),
+            datetime(2024, 1, 2, 14, 30), None, None, None, datetime(2024, 1, 1),
         ]
 
     def test_iso_with_z_removed(self, spark):

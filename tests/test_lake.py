@@ -15,7 +15,7 @@ from marketlake.operators.calendar import weekday_calendar
 from marketlake.operators.normalize import normalize_bars
 from marketlake.operators.reads import get_bars, get_macro, get_news, latest_fundamentals
 from marketlake.plans.ingest import Request, ingest
-from marketlake.sinks.store import write_canonical
+from marketlake.sinks.store import compact, write_canonical
 from marketlake.sources import feeds, lake, providers
 from tests import samples
 
@@ -53,12 +53,12 @@ class TestFeeds:
         assert (rows["u1"].headline, rows["u1"].source, rows["u1"].published_at) == ("a", "R", datetime(2024, 1, 2, 14, 30))
         assert (rows["u2"].headline, rows["u2"].source, rows["u2"].published_at) == ("", None, datetime(2024, 1, 3, 9, 30))
 
-    def test_news_json_limit_and_language(self, spark):
+    def test_news_json_keeps_all_of_all_responses_of_the_language(self, spark):
         articles = [{"title": str(i), "publishedAt": f"2024-01-01T{i:02d}:00:00Z", "url": str(i)} for i in range(24)]
-        got = feeds.parse_news_json(self.responses(spark, articles, language="en"), limit=3)
-        assert sorted(r.headline for r in got.collect()) == ["21", "22", "23"]
+        one = self.responses(spark, articles * 6, language="en")
+        assert feeds.parse_news_json(one.unionAll(one)).count() == 288
         assert feeds.parse_news_json(self.responses(spark, articles, language="de")).count() == 0
-        assert feeds.parse_news_json(self.responses(spark, articles, language="de"), language=None, limit=None).count() == 24
+        assert feeds.parse_news_json(self.responses(spark, articles, language="de"), language=None).count() == 24
 
     def test_rss_files(self, spark, folder):
         items = "".join(
@@ -144,10 +144,10 @@ class TestStore:
         old = bars.withColumn("timestamp", F.col("timestamp") - F.expr("INTERVAL 1 YEAR"))
         both = bars.unionAll(old)
         write_canonical(both, "ohlcv", folder, "r1", F.lit(NOW), layout=layout)
-        stored = lake.read_canonical(spark, folder, "ohlcv", layout=layout)
+        stored = lake.read_canonical(spark, folder, "ohlcv")
         back = stored.select(schemas.BARS.fieldNames())
         assert back.exceptAll(both).count() == 0 and both.exceptAll(back).count() == 0
-        one = lake.read_canonical(spark, folder, "ohlcv", ["aapl"], "2024-01-01", "2024-12-31", layout=layout)
+        one = lake.read_canonical(spark, folder, "ohlcv", ["aapl"], "2024-01-01", "2024-12-31")
         read = get_bars(one, "AAPL", "1d", "2024-01-02", "2024-01-04")
         assert read.count() == 3
         plan = read._jdf.queryExecution().executedPlan().toString()
@@ -159,7 +159,7 @@ class TestStore:
 
     def test_layout_on_disk(self, spark, folder):
         write_canonical(samples.bars(spark), "ohlcv", folder, "r1", F.lit(NOW))
-        path = f"{folder}/datasets/ohlcv/symbol=AAPL/timeframe=1d/year=2024/run=r1"
+        path = f"{folder}/datasets/ohlcv/run=r1/symbol=AAPL/timeframe=1d/year=2024"
         files = [f for f in os.listdir(path) if f.endswith(".parquet")]
         assert len(files) == 1 and ".zstd." in files[0]
         assert lake.stored_files(spark, folder, "ohlcv").count() == 1
@@ -205,10 +205,10 @@ class TestIngest:
             ("AAPL", "success", 5, 5), ("MSFT", "success", 5, 5),
         }
         assert {r.event for r in lake.read_catalog(spark, folder, "events").collect()} == {"DatasetIngested"}
-        stored = lake.read_canonical(spark, folder, "ohlcv")
-        lost, unknown = lake.reconcile(reg, stored)
+        files = lake.stored_files(spark, folder, "ohlcv")
+        lost, unknown = lake.reconcile(reg, files)
         assert lost.count() == 0 and unknown.count() == 0
-        lost, unknown = lake.reconcile(reg.where("symbol = 'AAPL'"), stored.where("symbol = 'MSFT'"))
+        lost, unknown = lake.reconcile(reg.where("symbol = 'AAPL'"), files.where("path LIKE '%MSFT%'"))
         assert lost.count() == 1 and unknown.count() == 1
 
     @pytest.mark.parametrize("layout", ["symbol", "bucket"])
@@ -233,6 +233,30 @@ class TestIngest:
         assert reg.count() == 4
         stored = lake.read_canonical(spark, folder, "ohlcv")
         assert stored.count() == 16 and lake.current_rows(stored, reg).count() == 6
+        plan = lake.live_rows(stored, reg)._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in plan.split("PartitionFilters:")[1].split("PushedFilters:")[0]
+
+    def test_overlapping_requests_give_one_row_per_bar(self, spark, folder):
+        calendar = weekday_calendar(spark, "2024-01-01", "2024-01-31")
+        for run, n, days, end in (("r1", 3, 0, "2024-01-15"), ("r2", 5, 1, "2024-01-31")):
+            raw = feed(spark, n).withColumn("Volume", F.lit(str(n)))
+            ingest(raw, Request("ohlcv", folder, run, NOW + timedelta(days=days), "2024-01-01", end), calendar)
+        rows = lake.current_rows(lake.read_canonical(spark, folder, "ohlcv"), lake.read_catalog(spark, folder, "registry"))
+        assert [r.volume for r in rows.collect()] == [5.0] * 10
+        compact(spark, "ohlcv", folder, "c1", lake.live_rows(lake.read_canonical(spark, folder, "ohlcv"), lake.read_catalog(spark, folder, "registry")))
+        assert lake.read_canonical(spark, folder, "ohlcv", run="c1").count() == 16
+
+    def test_a_lower_case_feed_is_found(self, spark, folder):
+        reg = self.run(spark, folder, raw=feed(spark, symbols=("aapl",)))
+        assert [r.symbol for r in reg.collect()] == ["AAPL"]
+        assert lake.read_canonical(spark, folder, "ohlcv", ["aapl"]).count() == 5
+        assert [r.status for r in lake.read_catalog(spark, folder, "ingestion_log").collect()] == ["success"]
+
+    def test_the_layout_is_the_table_s_own(self, spark, folder):
+        write_canonical(samples.bars(spark), "ohlcv", folder, "r1", F.lit(NOW), layout="bucket", buckets=7)
+        assert lake.read_canonical(spark, folder, "ohlcv", ["AAPL"]).count() == samples.bars(spark).count()
+        with pytest.raises(ValueError, match="7 buckets"):
+            write_canonical(samples.bars(spark), "ohlcv", folder, "r2", F.lit(NOW))
 
     def test_unusable_series_is_logged_and_announced(self, spark, folder):
         raw = feed(spark).withColumn("Open", F.when(F.col("symbol") == "AAPL", F.col("Open")))
@@ -268,11 +292,14 @@ class TestIngest:
         reg = self.run(spark, folder)
         symbols = spark.createDataFrame([("AAPL",), ("TSLA",)], "symbol STRING")
         wanted = catalog.request_manifest(symbols, "2024-01-01", "2024-01-31", news=False, macro=False)
-        todo, done = catalog.plan_ingestion(wanted, reg)
+        todo, done = catalog.plan_ingestion(wanted, reg, F.lit(NOW))
         assert [r.symbol for r in todo.collect()] == ["TSLA"] and [r.symbol for r in done.collect()] == ["AAPL"]
         gone = catalog.refresh(reg, wanted.drop("hash"), F.lit(NOW + timedelta(hours=1)))
         status = {r.symbol: r.status for r in catalog.resolve(wanted, reg, F.lit(NOW + timedelta(hours=2)), gone).collect()}
         assert status == {"AAPL": "missing", "TSLA": "missing"}
+        for at, gone_ in ((NOW + timedelta(hours=2), gone), (NOW + timedelta(days=2), None)):  # invalidated; stale
+            todo, done = catalog.plan_ingestion(wanted, reg, F.lit(at), gone_)
+            assert todo.count() == 2 and done.count() == 0
 
 
 class Steady(providers.Provider):

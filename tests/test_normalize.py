@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake import schemas
-from marketlake.operators.normalize import normalize_bars, normalize_fundamentals, normalize_macro, normalize_news
+from marketlake.operators.normalize import normalize_bars, normalize_fundamentals, normalize_macro, normalize_news, split_readable
 from tests import samples
 
 def now():
@@ -43,14 +43,19 @@ class TestBars:
         raw = samples.raw_bars(spark, 2).withColumns(
             {"Volume": F.lit(None).cast("string"), "Date": F.when(F.col("seq") == 0, "never").otherwise(F.col("Date"))}
         )
-        rows = bars(raw).collect()
+        rows = normalize_bars(raw, "AAPL", "1d", "yahoo", strict_time=False).collect()
         assert len(rows) == 2
         assert [r.volume for r in rows] == [None, None] and sum(r.timestamp is None for r in rows) == 1
 
     def test_strict_time_fails_the_job(self, spark):
         raw = samples.raw_bars(spark, 1).withColumn("Date", F.lit("never"))
         with pytest.raises(Exception, match="bad time"):
-            normalize_bars(raw, "AAPL", "1d", "yahoo", strict_time=True).collect()
+            bars(raw).collect()
+
+    def test_unreadable_times_are_kept_apart_row_by_row(self, spark):
+        raw = samples.raw_bars(spark, 5).withColumn("Date", F.when(F.col("seq") < 2, "never").when(F.col("seq") == 2, None).otherwise(F.col("Date")))
+        readable, rest = split_readable(raw)
+        assert readable.columns == rest.columns == raw.columns and bars(readable).count() == 2 and rest.count() == 3
 
     def test_offset_is_converted(self, spark):
         raw = samples.raw_bars(spark, 1).withColumn("Date", F.lit("2024-01-02T05:00:00+05:00"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlake import schemas
 from marketlake.operators.outages import outages
-from marketlake.operators.resample import TIMEFRAMES, resample_bars
+from marketlake.operators.resample import TIMEFRAMES, arrival_order, resample_bars
 from marketlake.operators.series import dedup_bars, even_slices, with_prior_close
 from tests import samples
 
@@ -54,6 +54,15 @@ def test_resample_equals_brute_force(spark, timeframe):
     }
 
 
+def test_arrival_order_over_all_of_bigint(spark):
+    """Time first, then seq over its whole range, nulls before all numbers."""
+    late, early = datetime(2024, 1, 1, 0, 0, 0, 1), datetime(2024, 1, 1)
+    rows = [(early, None), (early, -(2**63)), (early, -1), (early, 0), (early, 2**63 - 1), (late, None), (late, -(2**63)), (late, 2**62 + 5), (datetime(9999, 12, 31), 2**63 - 1)]
+    df = spark.createDataFrame(rows, "ts TIMESTAMP, seq BIGINT").withColumn("o", arrival_order(F.col("ts"), "seq"))
+    got = [r.o for r in df.collect()]
+    assert None not in got and got == sorted(got) and len(set(got)) == len(got)
+
+
 def test_unknown_timeframe(spark):
     with pytest.raises(ValueError, match="unsupported timeframe"):
         resample_bars(samples.bars(spark), "2d", "p")
