@@ -82,10 +82,10 @@ class TestFeeds:
         assert sorted(r.headline for r in feeds.prefer_source(primary, fallback).collect()) == ["f2", "p1", "p2"]
 
     def test_fundamentals_json(self, spark):
-        body = json.dumps({"trailingPE": 28.4, "marketCap": 2850000000000, "other": {"x": 1}})
+        body = json.dumps({"trailingPE": 17.25, "marketCap": 64000000000, "other": {"x": 1}})
         df = spark.createDataFrame([("AAPL", body)], "symbol STRING, body STRING")
         row = feeds.parse_fundamentals_json(df, F.lit("2024-01-02 10:00:00")).first()
-        assert (row.pe_ratio, row.market_cap, row.eps, row.as_of) == ("28.4", "2850000000000", None, "2024-01-02")
+        assert (row.pe_ratio, row.market_cap, row.eps, row.as_of) == ("17.25", "64000000000", None, "2024-01-02")
 
     def test_macro_names(self, spark):
         raw = spark.createDataFrame(
@@ -274,7 +274,7 @@ class TestIngest:
     def test_other_data_types_share_the_catalog(self, spark, folder):
         news = samples.raw_news(spark, ["a", " ", "b"]).withColumns({"symbol": F.lit("AAPL"), "provider": F.lit("news")})
         macro = samples.raw_macro(spark).withColumns({"series": F.lit("cpi"), "provider": F.lit("fred")})
-        facts = spark.createDataFrame([("AAPL", "yahoo", "28.4")], "symbol STRING, provider STRING, pe_ratio STRING")
+        facts = spark.createDataFrame([("AAPL", "yahoo", "17.25")], "symbol STRING, provider STRING, pe_ratio STRING")
         for data_type, raw in (("news", news), ("macro", macro), ("fundamentals", facts)):
             ingest(raw, Request(data_type, folder, "r1", NOW))
         reg = lake.read_catalog(spark, folder, "registry")

@@ -27,7 +27,7 @@ class TestBars:
         assert len(rows) == 5
         assert [r.timestamp for r in rows] == samples.business_days(5)
         assert {(r.symbol, r.timeframe, r.provider) for r in rows} == {("AAPL", "1d", "yahoo")}
-        assert rows[0].volume == 55_000_000.0
+        assert rows[0].volume == 1_200.0
 
     def test_copies_collapse(self, spark):
         assert bars(samples.raw_bars(spark, 3, copies=2)).count() == 3
@@ -86,7 +86,7 @@ class TestNews:
     def test_rows_and_schema(self, spark):
         df = normalize_news(samples.raw_news(spark, ["a", "b", "c"]), "AAPL", "news")
         assert df.schema.simpleString() == schemas.NEWS.simpleString() and df.count() == 3
-        assert df.orderBy("published_at").first().published_at == datetime(2024, 1, 2, 14, 30)
+        assert df.orderBy("published_at").first().published_at == datetime(2024, 1, 3, 9, 5)
 
     def test_blank_and_null_headlines_are_dropped_and_others_kept_untrimmed(self, spark):
         df = normalize_news(samples.raw_news(spark, [" x ", "", " \t", " ", None]), "AAPL", "news")
@@ -110,13 +110,13 @@ class TestNews:
 class TestFundamentals:
     def test_values(self, spark):
         raw = spark.createDataFrame(
-            [("28.4", "4.2", "n/a", 2.85e12, "2024-01-02T10:00:00+05:00")],
+            [("17.25", "3.5", "n/a", 6.4e10, "2024-01-02T10:00:00+05:00")],
             "pe_ratio STRING, pb_ratio STRING, revenue_growth STRING, market_cap DOUBLE, as_of STRING",
         )
         df = normalize_fundamentals(raw, now(), "AAPL", "yahoo")
         row = df.first()
         assert df.schema.simpleString() == schemas.FUNDAMENTALS.simpleString()
-        assert (row.pe_ratio, row.pb_ratio, row.revenue_growth, row.market_cap, row.eps) == (28.4, 4.2, None, 2.85e12, None)
+        assert (row.pe_ratio, row.pb_ratio, row.revenue_growth, row.market_cap, row.eps) == (17.25, 3.5, None, 6.4e10, None)
         assert row.as_of == datetime(2024, 1, 2, 10)
 
     def test_absent_metrics_and_time(self, spark):

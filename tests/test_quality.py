@@ -27,12 +27,12 @@ class TestBarChecks:
         assert samples.passed(rows) and samples.issues(rows) == [] and rows.count() == 13
 
     def test_high_below_low(self, spark):
-        rows = report(samples.bars(spark, high={2: 186.0}, low={2: 188.0}), "check_price_range")
+        rows = report(samples.bars(spark, high={2: 42.0}, low={2: 43.5}), "check_price_range")
         assert not samples.passed(rows)
         assert "check_price_range: 1 rows where high < low" in samples.issues(rows)
 
     def test_close_outside(self, spark):
-        rows = report(samples.bars(spark, 3, close={0: 196.0}), "check_price_range")
+        rows = report(samples.bars(spark, 3, close={0: 55.0}), "check_price_range")
         assert samples.issues(rows) == ["check_price_range: 1 rows where close is outside [low, high]"]
 
     def test_zero_volume_only_warns(self, spark):
@@ -41,7 +41,7 @@ class TestBarChecks:
         assert samples.issues(rows) == ["check_zero_volume: 3 bars with volume=0 (warning only)"]
 
     def test_spike(self, spark):
-        rows = report(samples.bars(spark, close={2: 371.0}), "check_price_spike")
+        rows = report(samples.bars(spark, close={2: 83.0}), "check_price_spike")
         said = samples.issues(rows)
         assert "check_price_spike: 2 close values differ from prior close by >20%" in said
         assert "check_price_spike: 1 open values differ from prior close by >20%" in said
