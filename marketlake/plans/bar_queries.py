@@ -110,6 +110,13 @@ def gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.select("symbol", "n_missing", F.coalesce(F.array_join("sample", ","), F.lit("")).alias("sample"))
 
 
+def exchange_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing days of symbols of two exchanges, each by its own calendar."""
+    ticks = _user_ticks(spark, sf_dir).withColumn("exchange", F.expr("if(substr(symbol, 2) % 2 = 0, 'XNYS', 'XLON')"))
+    days = calendar.missing_days(ticks, views.exchange_days(spark, sf_dir), ["symbol", "exchange"], "ts")
+    return days.select("symbol", "exchange", iso_day(F.col("day")).alias("day"))
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = calendar.coverage(_user_ticks(spark, sf_dir), ["symbol"], "ts")
     return days.select("symbol", iso_day(F.col("first_day")).alias("first_day"), iso_day(F.col("last_day")).alias("last_day"), "n_days")
@@ -134,6 +141,7 @@ QUERIES = {
     "check_bars_report": bar_report,
     "missing_days": missing_days,
     "gap_summary": gap_summary,
+    "exchange_gaps": exchange_gaps,
     "coverage": coverage,
 }
 
@@ -148,12 +156,17 @@ def _resampled(start: str) -> str:
         FROM ticks GROUP BY 1, 2""")
 
 
-_DAYS = """
+# When New York was closed on weekdays of the year the events are of.
+_CLOSED = (
+    "('2024-01-01', '2024-01-15', '2024-02-19', '2024-03-29', '2024-05-27', '2024-06-19', '2024-07-04', '2024-09-02', "
+    "'2024-11-28', '2024-12-25')"
+)
+_DAYS = f"""
     days AS (SELECT DISTINCT 'S' || user_id AS symbol, CAST(ts AS DATE) AS day FROM events),
     calendar AS (
         SELECT CAST(d AS DATE) AS day
         FROM (SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS d FROM events)
-        WHERE isodow(d) < 6),
+        WHERE isodow(d) < 6 AND strftime(d, '%Y-%m-%d') NOT IN {_CLOSED}),
     spans AS (SELECT symbol, min(day) AS lo, max(day) AS hi FROM days GROUP BY symbol),
     missing AS (
         SELECT s.symbol, c.day FROM spans s JOIN calendar c ON c.day BETWEEN s.lo AND s.hi
@@ -245,7 +258,7 @@ ORACLES = {
         , calendar AS (
             SELECT CAST(d AS DATE) AS day FROM (
                 SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS d FROM events)
-            WHERE isodow(d) < 6),
+            WHERE isodow(d) < 6 AND strftime(d, '%Y-%m-%d') NOT IN {_CLOSED}),
         spans AS (SELECT symbol, min(CAST(timestamp AS DATE)) AS lo, max(CAST(timestamp AS DATE)) AS hi FROM canonical_bars GROUP BY symbol),
         missing AS (
             SELECT s.symbol, c.day FROM spans s JOIN calendar c ON c.day BETWEEN s.lo AND s.hi
@@ -277,6 +290,10 @@ ORACLES = {
         FROM (SELECT DISTINCT symbol FROM canonical_bars) b LEFT JOIN found f ON f.symbol = b.symbol
         GROUP BY b.symbol"""),
     "missing_days": f"WITH {_DAYS} SELECT symbol, strftime(day, '%Y-%m-%d') AS day FROM missing",
+    "exchange_gaps": f"""
+        WITH {_DAYS.replace(f"NOT IN {_CLOSED}", "<> '2024-01-01'")}
+        SELECT symbol, CASE WHEN substr(symbol, 2)::INTEGER % 2 = 0 THEN 'XNYS' ELSE 'XLON' END AS exchange, strftime(day, '%Y-%m-%d') AS day
+        FROM missing WHERE exchange = 'XLON' OR strftime(day, '%Y-%m-%d') NOT IN {_CLOSED}""",
     "gap_summary": f"""
         WITH {_DAYS},
         ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS r FROM missing)

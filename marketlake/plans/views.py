@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketlake.functions import dataset_hash, storage_uri
+from marketlake.operators.calendar import exchange_calendar
 from marketlake.operators.normalize import normalize_bars, normalize_macro, normalize_news
 from marketlake.operators.resample import resample_bars
 from marketlake.schemas import struct
@@ -299,6 +300,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All weekdays of the range the events cover."""
-    bounds = table(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
-    return bounds.select(F.explode(F.sequence("lo", "hi")).alias("day")).where(F.weekday("day") < 5)
+    """The trading days of New York in the range the events cover."""
+    return exchange_days(spark, sf_dir).where("exchange = 'XNYS'").select("day")
+
+
+def exchange_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading days per exchange, of the range the events cover."""
+    first, last = table(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).cast("string"), F.to_date(F.max("ts")).cast("string")).first()
+    return exchange_calendar(spark, first or START, last or START)

@@ -177,3 +177,31 @@ class TestCalendar:
     def test_coverage(self, spark):
         row = calendar.coverage(samples.bars(spark)).first()
         assert (row.first_day, row.last_day, row.n_days) == (date(2024, 1, 2), date(2024, 1, 8), 5)
+
+
+def test_exchange_days(spark):
+    """Easter of two centuries against the church's dates by another rule; holidays of known years."""
+
+    def easter(y: int) -> date:  # the first Sunday after the full moon that a table of golden numbers gives
+        golden, century = y % 19 + 1, y // 100 + 1
+        moon = (11 * golden + 20 + (8 * century + 5) // 25 - 5 - (3 * century // 4 - 12)) % 30
+        moon += 1 if moon == 24 or moon == 25 and golden > 11 else 0
+        n = 44 - moon + (30 if 44 - moon < 21 else 0)
+        full = date(y, 3, 1) + timedelta(days=n - 1)
+        return full + timedelta(days=7 - (full.weekday() + 1) % 7)
+
+    good_friday = spark.createDataFrame([("E", "easter", None, 0, None, None, "none", 1900, 2100)], calendar.RULE)
+    got = {r.day for r in calendar.holidays(good_friday, "1901-01-01", "2099-12-31").collect()}
+    assert got == {easter(y) for y in range(1900, 2101)}
+    closed = calendar.holidays(calendar.holiday_rules(spark), "2021-01-01", "2024-12-31").where("day BETWEEN '2021-01-01' AND '2024-12-31'")
+    days = {x: sorted(r.day.isoformat() for r in closed.where(F.col("exchange") == x).collect() if r.day.weekday() < 5) for x in ("XNYS", "XLON")}
+    assert days["XNYS"] == [
+        "2021-01-01", "2021-01-18", "2021-02-15", "2021-04-02", "2021-05-31", "2021-07-05", "2021-09-06", "2021-11-25", "2021-12-24",
+        "2022-01-17", "2022-02-21", "2022-04-15", "2022-05-30", "2022-06-20", "2022-07-04", "2022-09-05", "2022-11-24", "2022-12-26",
+        "2023-01-02", "2023-01-16", "2023-02-20", "2023-04-07", "2023-05-29", "2023-06-19", "2023-07-04", "2023-09-04", "2023-11-23", "2023-12-25",
+        "2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25",
+    ]
+    assert days["XLON"][:8] == ["2021-01-01", "2021-04-02", "2021-04-05", "2021-05-03", "2021-05-31", "2021-08-30", "2021-12-27", "2021-12-28"]
+    assert {"2022-01-03", "2022-12-26", "2022-12-27"} <= set(days["XLON"])
+    open_ = calendar.exchange_calendar(spark, "2024-01-01", "2024-01-07", closures=spark.sql("SELECT 'XLON' AS exchange, DATE '2024-01-03' AS day"))
+    assert {(r.exchange, r.day.day) for r in open_.collect()} == {("XNYS", d) for d in (2, 3, 4, 5)} | {("XLON", d) for d in (2, 4, 5)}
