@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketlake.llm.common import pieces, stored, utf8_bytes
+from marketlake.llm.common import pieces, utf8_bytes
 
 #: Words of the items in one automaton. Longer item tables are scanned in several passes of one automaton each.
 AUTOMATON_WORDS = 200_000
@@ -199,12 +199,12 @@ def _cutter(max_span: int):
         for batch in pieces(batches, "_bytes"):
             texts = []
             for text, runs in zip(batch.column("_bytes").to_pylist(), batch.column("hit_runs").to_pylist(), strict=True):
-                words, kept, at = [m.span() for m in _WORD.finditer(text)], [], 0
+                words, kept, at = [m.span() for m in _WORD.finditer(text)] if runs else [], [], 0
                 for start, end in runs:
                     if end - start > max_span:
                         kept.append(text[at : words[start][0]])
                         at = words[end - 1][1]
-                texts.append(b"".join([*kept, text[at:]]).decode())
+                texts.append(None if text is None else b"".join([*kept, text[at:]]).decode())
             new = {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
@@ -219,7 +219,5 @@ def remove_hits(docs: DataFrame, items: DataFrame, window: int = 10, max_span: i
     among them, stay as they are.
     """
     hits = benchmark_hits(docs, items, window).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    hits = stored(hits.select(*docs.columns, "hit_runs"))
-    touched = hits.where(F.size("hit_runs") > 0).withColumn("_bytes", utf8_bytes())
-    touched = touched.mapInArrow(_cutter(max_span), touched.schema)
-    return hits.where(F.size("hit_runs") == 0).select(*docs.columns).unionByName(touched.select(*docs.columns))
+    hits = hits.withColumn("_bytes", F.col("text").cast("binary"))
+    return hits.mapInArrow(_cutter(max_span), hits.schema).select(*docs.columns)

@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from marketlake.llm.common import pieces, stored, utf8_bytes
+from marketlake.llm.common import pieces, utf8_bytes
 
 #: Bounds of what is learned: documents read per language, bytes of one dictionary, dictionaries per language, languages.
 SAMPLE_DOCS, DICTIONARY_BYTES, DICTIONARIES, LANGUAGES = 600, 112 << 10, 1, 64
@@ -33,23 +33,22 @@ def plain(text: str) -> str:
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, dictionaries: int = DICTIONARIES) -> dict[str, list[bytes]]:
     """Language to dictionaries, most frequent language first, from rows (doc_id, text, lang) with a text and a lang.
 
-    Fitted on a bounded sample: the ``sample_docs`` documents of each language with the smallest hash of doc_id, for the
-    ``LANGUAGES`` most frequent languages. The ids are ranked first, without texts, and the texts of the sample alone
-    come to the driver, each cut where all dictionaries could hold no more.
+    Fitted on a bounded sample, for the ``LANGUAGES`` most frequent languages: of the documents whose hash falls into the
+    share of hashes that one and a half times ``sample_docs`` documents are expected in, the ``sample_docs`` with the smallest.
+    Counting is one aggregate; the texts of the sample alone come to the driver, each cut where all dictionaries could
+    hold no more. The hash is over id and text, so rows of one id don't come in together.
     """
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
-    named = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ranked = rows.select("lang", "h", "doc_id").withColumn("place", place).where(F.col("place") <= sample_docs)
-    last = ranked.groupBy("lang").agg(F.max("h").alias("last")).join(named, "lang").collect()
+    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"))
+    last = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     within = F.lit(False)
     for r in last:
-        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["last"]))
+        share = min(1.0, 1.5 * sample_docs / r["n"])
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= int(share * (2**63 - 1))))
     most = dictionaries * dictionary_bytes
     texts = rows.where(within).select("lang", "h", "doc_id", F.substring("text", 1, most).alias("text")).collect()
     out: dict[str, list[bytes]] = {}
     for lang in (r["lang"] for r in sorted(last, key=lambda r: (-r["n"], r["lang"]))):
-        own = [plain(r["text"]) for r in sorted((r for r in texts if r["lang"] == lang), key=lambda r: (r["h"], str(r["doc_id"]), r["text"]))]
+        own = [plain(r["text"]) for r in sorted((r for r in texts if r["lang"] == lang), key=lambda r: (r["h"], str(r["doc_id"]), r["text"]))][:sample_docs]
         out[lang] = [_dictionary(own[k::dictionaries] or own, dictionary_bytes) for k in range(dictionaries)]
     return out
 
@@ -127,4 +126,4 @@ def held_out():
 def accepted_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` without those whose language is undecided; the columns stay. Rejected margins are ties of short texts."""
     model = learn((docs if labelled is None else labelled).where(~held_out()))
-    return stored(identified(docs, model)).where("accepted").select(*docs.columns)
+    return identified(docs, model).where("accepted").select(*docs.columns)

@@ -100,7 +100,7 @@ def _rounded(cap: float):
     return copies
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, cell_rows: int = 500) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, cell_rows: int = 100) -> DataFrame:
     """The columns of ``docs`` and: size, source_size, target, copies (0 to ``cap``, whole), taken (copies * size).
 
     Rates are rounded per (source, size), whole words carried from larger to smaller sizes, so a source ends within

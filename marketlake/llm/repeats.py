@@ -24,9 +24,9 @@ from marketlake.llm.common import pieces, stored, utf8_bytes
 WINDOW, GRAM = 200, 32
 _SPAN = WINDOW - GRAM + 1  # grams in a window
 #: Bytes that a task scans at a time; longer texts are scanned in overlapping pieces of this size.
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 512 << 10
 #: Bytes of contexts in one suffix array, and different contexts of one gram in one shard.
-SHARD_BYTES, SHARD_CONTEXTS = 2 << 20, 2048
+SHARD_BYTES, SHARD_CONTEXTS = 512 << 10, 1024
 _FIRST = 7  # bytes compared by the first sort
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 

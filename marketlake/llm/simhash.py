@@ -202,7 +202,8 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     of one doc_id become one."""
     ids = near_duplicates(docs, keep=["doc_id"], **how).where("doc_id = component_id")
     ids = stored(ids.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
-    kept = docs.join(ids, docs.doc_id == ids._id)
+    # One plan at every size: the ids grow with the documents, so they are never broadcast.
+    kept = docs.join(ids.hint("merge"), docs.doc_id == ids._id)
     once = kept.where("_n = 1").select(*docs.columns)
     repeated = kept.where("_n > 1").select(*docs.columns).dropDuplicates(["doc_id"])
     return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))

@@ -92,13 +92,16 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.select(F.lit("lost").alias("side"), "symbol").unionByName(unknown.select(F.lit("unknown").alias("side"), symbol))
 
 
-def _run(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """Run a stream over all there is into Parquet files, and read them."""
+def run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+    """Run a stream over all there is into Parquet files, a folder per micro-batch, and read them."""
     root = shared_folder(spark)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
     query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{root}/out")
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(store)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -110,21 +113,21 @@ def _run(stream: DataFrame, spark: SparkSession) -> DataFrame:
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars from a stream of ticks: those whose hour the watermark has passed."""
     ticks = views.as_ticks(views.stream(spark, sf_dir, "events"))
-    bars = _run(tumbling_bars(ticks, "1h", "yahoo", delay="10 minutes"), spark)
+    bars = run_stream(tumbling_bars(ticks, "1h", "yahoo", delay="10 minutes"), spark)
     return bars.withColumn("timestamp", iso_seconds(F.col("timestamp"))).select(*_SHOWN)
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rows per timestamp from a stream of bars, once a day has gone by."""
     typed = views.as_typed_bars(views.as_raw_bars(views.stream(spark, sf_dir, "events")))
-    bars = _run(first_by_seq(typed, delay="1 day"), spark)
+    bars = run_stream(first_by_seq(typed, delay="1 day"), spark)
     return bars.withColumn("timestamp", iso_seconds(F.col("timestamp"))).select(*_SHOWN)
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures per day and data type from a stream of attempts: the days that are over."""
     failed = events.failed_events(views.as_attempts(views.stream(spark, sf_dir, "events")))
-    counts = _run(running_counts(events.parse_events(failed), "1 day", "1 hour"), spark)
+    counts = run_stream(running_counts(events.parse_events(failed), "1 day", "1 hour"), spark)
     return counts.select(iso_seconds(F.col("window_start")).alias("window_start"), "event", "data_type", "n")
 
 
