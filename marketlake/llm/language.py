@@ -42,8 +42,9 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes:
     last = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     within = F.lit(False)
     for r in last:
-        share = min(1.0, 1.5 * sample_docs / r["n"])
-        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= int(share * (2**63 - 1))))
+        # In whole numbers: the largest hash itself is no double.
+        bound = min(2**63 - 1, (3 * sample_docs << 62) // r["n"])
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(bound)))
     most = dictionaries * dictionary_bytes
     texts = rows.where(within).select("lang", "h", "doc_id", F.substring("text", 1, most).alias("text")).collect()
     out: dict[str, list[bytes]] = {}
