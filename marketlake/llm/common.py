@@ -28,6 +28,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that Spark hands to a Python worker at a time: rows here hold whole texts, which a count of rows doesn't bound.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with Arrow batches bounded in bytes; the session keeps that bound."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``most_bytes`` of a binary column, so that long texts don't add up."""
     for batch in batches:

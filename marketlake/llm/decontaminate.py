@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketlake.llm.common import pieces, utf8_bytes
+from marketlake.llm.common import mapped, pieces, utf8_bytes
 
 #: Words of the items in one automaton. Longer item tables are scanned in several passes of one automaton each.
 AUTOMATON_WORDS = 200_000
@@ -186,7 +186,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, automato
     for part in range(max(1, parts)):
         own = named.where(F.pmod(F.xxhash64("id", "body"), F.lit(max(1, parts))) == part)
         shared = docs.sparkSession.sparkContext.broadcast([(r.id, bytes(r.body)) for r in own.collect()])
-        out = out.mapInArrow(_scanner(shared, window), out.schema)
+        out = mapped(out, _scanner(shared, window), out.schema)
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("bigint"), lambda n, r: n + r[1] - r[0])
     return out.drop("_bytes").withColumn("n_hit", n_hit)
 
@@ -220,4 +220,4 @@ def remove_hits(docs: DataFrame, items: DataFrame, window: int = 10, max_span: i
     """
     hits = benchmark_hits(docs, items, window).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
     hits = hits.withColumn("_bytes", F.col("text").cast("binary"))
-    return hits.mapInArrow(_cutter(max_span), hits.schema).select(*docs.columns)
+    return mapped(hits, _cutter(max_span), hits.schema).select(*docs.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from marketlake.llm.common import pieces, utf8_bytes
+from marketlake.llm.common import mapped, pieces, utf8_bytes
 
 #: Bounds of what is learned: documents read per language, bytes of one dictionary, dictionaries per language, languages.
 SAMPLE_DOCS, DICTIONARY_BYTES, DICTIONARIES, LANGUAGES = 600, 112 << 10, 1, 64
@@ -115,7 +115,7 @@ def identified(docs: DataFrame, model: dict[str, list[bytes]], min_margin: float
     schema = rest.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0)}).schema
     for name in ("lang_pred", "score", "margin"):
         schema[name].nullable = True
-    out = rest.withColumn("_bytes", utf8_bytes()).mapInArrow(_identifier(shared, level), schema)
+    out = mapped(rest.withColumn("_bytes", utf8_bytes()), _identifier(shared, level), schema)
     return out.withColumn("accepted", (F.col("lang_pred") != UNDECIDED) & (F.col("margin") >= min_margin))
 
 

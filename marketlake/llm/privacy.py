@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from marketlake.llm.common import pieces, stored, utf8_bytes
+from marketlake.llm.common import mapped, pieces, stored, utf8_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -176,14 +176,14 @@ def find(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, s
     schema = texts.drop("_bytes").withColumns(
         {"base": F.lit(None).cast("array<struct<kind: string, start: bigint, end: bigint>>"), "close": F.lit(None).cast(_TERMS), "entities": F.lit(None).cast("array<bigint>")}
     )
-    found = stored(texts.mapInArrow(_finder(window), schema.schema))
+    found = stored(mapped(texts, _finder(window), schema.schema))
     total = found.count()
     close = found.where(F.size("close") > 0).select("_row", "_th", F.inline("close"))
     pairs = close.groupBy("entity", "term", "_th").agg(F.sum("first").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
     pairs = stored(pairs.where(F.col("texts") >= support))
     bits = pairs.select("term").distinct().mapInArrow(_bits, "bit bigint").distinct()
     wanted = docs.sparkSession.sparkContext.broadcast(_marked(r.bit for r in bits.toLocalIterator()))
-    with_term = docs.select(utf8_bytes().alias("_bytes")).mapInArrow(_term_counter(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("with_term"))
+    with_term = mapped(docs.select(utf8_bytes().alias("_bytes")), _term_counter(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("with_term"))
     with_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     joined = pairs.join(with_term, "term").join(with_entity, "entity")
     disclosure = 1 + F.log(F.col("both") / F.col("with_term")) / F.log(total / F.col("with_entity"))
@@ -216,4 +216,4 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
     found = find(docs, **how)
     clean = found.where((F.size("base") == 0) & (F.size("terms") == 0))
     touched = found.where((F.size("base") > 0) | (F.size("terms") > 0)).withColumn("_bytes", utf8_bytes())
-    return clean.select(*docs.columns).unionByName(touched.mapInArrow(_replacer, touched.drop("_bytes").schema).select(*docs.columns))
+    return clean.select(*docs.columns).unionByName(mapped(touched, _replacer, touched.drop("_bytes").schema).select(*docs.columns))

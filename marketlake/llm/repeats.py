@@ -19,7 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from marketlake.llm.common import pieces, stored, utf8_bytes
+from marketlake.llm.common import mapped, pieces, stored, utf8_bytes
 
 WINDOW, GRAM = 200, 32
 _SPAN = WINDOW - GRAM + 1  # grams in a window
@@ -333,7 +333,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     id is doc_id (null: the least long), digest the text's hash: rows that agree in both are equal texts and fare alike.
     """
-    places = docs.select(*_row_key(), utf8_bytes().alias("_bytes")).where(F.length("_bytes") >= WINDOW).mapInArrow(_anchor_rows, _ANCHORS)
+    places = mapped(docs.select(*_row_key(), utf8_bytes().alias("_bytes")).where(F.length("_bytes") >= WINDOW), _anchor_rows, _ANCHORS)
     places = stored(places)
     grams = places.groupBy("gram").agg(F.count("*").alias("_n"), F.min("context").alias("_low"), F.max("context").alias("_high")).where("_n > 1")
     twice = places.join(grams.withColumn("_one", F.col("_low") == F.col("_high")).select("gram", "_one"), "gram")
@@ -348,12 +348,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = kinds.groupBy("id", "digest").agg(F.collect_list(F.struct("gram", "copies", "start", "n")).alias("wanted"))
     texts = _packed_texts(docs.select(*_row_key(), utf8_bytes().alias("_bytes")).where(F.length("_bytes") >= WINDOW))
     # Equal rows would give the same contexts twice: one of each is enough to read them from.
-    bodies = texts.join(wanted, ["id", "digest"]).mapInArrow(_contexts, "id bigint, digest bigint, gram bigint, copies bigint, start bigint, body binary")
+    bodies = mapped(texts.join(wanted, ["id", "digest"]), _contexts, "id bigint, digest bigint, gram bigint, copies bigint, start bigint, body binary")
     parts = kinds.groupBy("gram").agg(F.ceil(F.count("*") / SHARD_CONTEXTS).alias("parts"))
     sharded = bodies.join(parts, "gram").withColumn("shard", F.xxhash64("gram", F.pmod(F.xxhash64("body"), "parts")))
     sharded = sharded.repartition("shard").sortWithinPartitions("shard", "id", "digest", "start")
     sharded = sharded.select("shard", "id", "digest", "copies", "start", "parts", "body")
-    found = stored(sharded.mapInArrow(_shard_search, _RUNS))
+    found = stored(mapped(sharded, _shard_search, _RUNS))
     windows = found.where("window is not null").select("id", "digest", "start", "end", "window", "single")
     merged = windows.repartition("window").sortWithinPartitions("window").mapInArrow(_merge, "id bigint, digest bigint, start bigint, end bigint")
     spans = alike.unionByName(copies).unionByName(found.where("window is null").select("id", "digest", "start", "end")).unionByName(merged)
@@ -366,7 +366,7 @@ def _row_key() -> list:
 
 def _packed_texts(rows: DataFrame) -> DataFrame:
     schema = rows.drop("_bytes").withColumn("packed", F.lit(b"").cast("binary")).schema
-    return rows.mapInArrow(_packed, schema)
+    return mapped(rows, _packed, schema)
 
 
 def without_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -387,4 +387,4 @@ def without_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     rows = _packed_texts(rows)
     joined = rows.join(spans, (rows._k0 == spans._id) & (rows._k1 == spans._digest), "left").select(*keep, "packed", "spans")
     schema = docs.select(*keep).withColumns({"n_bytes": F.lit(0).cast("bigint"), "removed": F.lit(None).cast("array<array<bigint>>"), "kept": F.lit(b"").cast("binary")}).schema
-    return joined.mapInArrow(_removed, schema)
+    return mapped(joined, _removed, schema)

@@ -16,13 +16,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from marketlake.llm.common import pieces, stored, utf8_bytes
+from marketlake.llm.common import mapped, pieces, stored, utf8_bytes
 from marketlake.llm.components import components
 
 #: Two words that differ in at most this many bits are linked; the block keys below rely on it.
 RADIUS = 2
 _QUARTERS = list(combinations(range(4), 2))
 _PLANES_BETWEEN_CHECKS = 8
+#: Comparisons of one fingerprint with one word of 64 that are held at a time.
+_COMPARED = 1 << 17
 
 
 def fingerprint(words: list[bytes], width: int, seed: int) -> int:
@@ -58,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, keep: list[str
     keep = [c for c in (docs.columns if keep is None else keep) if c != "fp"]
     rows = docs.select(*keep, utf8_bytes().alias("_bytes"))
     schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("bigint")).schema
-    return rows.mapInArrow(_fingerprints(width, seed), schema)
+    return mapped(rows, _fingerprints(width, seed), schema)
 
 
 def _words_of_groups(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -84,8 +86,8 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) ->
     valid, first_row = np.bitwise_or.reduceat(bits, breaks), breaks
     assert len(valid) == n_words
     found_a, found_b = [], []
-    for k in range(0, len(row), 1 << 20):
-        r, w = row[k : k + (1 << 20)], word[k : k + (1 << 20)]
+    for k in range(0, len(row), _COMPARED):
+        r, w = row[k : k + (_COMPARED)], word[k : k + (_COMPARED)]
         ones = twos = np.zeros(len(r), np.uint64)
         over = ~valid[w]
         for b in range(64):

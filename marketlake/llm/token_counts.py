@@ -14,7 +14,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketlake.llm.common import pieces, utf8_bytes
+from marketlake.llm.common import mapped, pieces, utf8_bytes
 
 #: Where the vocabulary lies; the file is read on the driver and broadcast (32,000 pieces, about half a megabyte).
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -106,4 +106,4 @@ def token_counts(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
     rest = docs.drop("n_pretokens", "n_tokens")
     shared = docs.sparkSession.sparkContext.broadcast(scores)
     schema = rest.withColumns({"n_pretokens": F.lit(0).cast("bigint"), "n_tokens": F.lit(0).cast("bigint")}).schema
-    return rest.withColumn("_bytes", utf8_bytes()).mapInArrow(_counter(shared), schema)
+    return mapped(rest.withColumn("_bytes", utf8_bytes()), _counter(shared), schema)
