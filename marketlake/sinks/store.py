@@ -141,10 +141,14 @@ def write_canonical(
         out = out.withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), buckets))
     inside = [c for c in schemas.SERIES_KEYS[data_type] if c not in folders]
     out = out.hint("rebalance", *(c for c in folders if c != "run"))
+    out = with_version(out, data_type, created_at, start, end).withColumn("run", F.lit(run))
+    # The writer keeps this order only where it sees it start with the folder columns as they are. A constant among them
+    # (the run, a feed's one timeframe) would drop out of the sort, and a nullable text be converted after it.
+    for c in folders:
+        if out.schema[c].dataType.typeName() == "string":
+            out = out.withColumn(c, F.coalesce(F.when(F.monotonically_increasing_id() >= 0, F.col(c)), F.lit("")))
     (
-        with_version(out, data_type, created_at, start, end)
-        .withColumn("run", F.lit(run))
-        .sortWithinPartitions(*folders, *inside, ts)
+        out.sortWithinPartitions(*folders, *inside, ts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
