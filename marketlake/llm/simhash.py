@@ -202,7 +202,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, keep: list[
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """One document of each component, its smallest doc_id; the columns stay. Rows without a doc_id stay, repeated rows
     of one doc_id become one."""
-    ids = near_duplicates(docs, keep=["doc_id"], **how).where("doc_id = component_id")
+    return first_of_components(docs, near_duplicates(docs, keep=["doc_id"], **how))
+
+
+def first_of_components(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names its component in ``named`` (doc_id, component_id), and those without a doc_id."""
+    ids = named.where("doc_id = component_id")
     ids = stored(ids.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
     # One plan at every size: the ids grow with the documents, so they are never broadcast.
     kept = docs.join(ids.hint("merge"), docs.doc_id == ids._id)
