@@ -30,7 +30,8 @@ _TERM = re.compile(r"[^\W\d_]+")
 
 #: Words on each side of an identifier that count as close to it.
 WINDOW = 10
-#: A term must come with an entity in so many different texts before it can be said to give the entity away.
+#: A term must come with an entity in so many different texts before its share says that it gives the entity away. Of an
+#: entity in fewer texts, the terms that occur in no document but close to it do.
 SUPPORT = 3
 THRESHOLD = 0.8
 #: Bits of the filter that tells tasks which terms need counting over the corpus: a fixed size; more terms let more others pass.
@@ -75,8 +76,8 @@ def identifiers(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def _close_terms(text: str, base: list[tuple[int, int, int, str]], window: int) -> list[tuple[int, str, int, int, int]]:
-    """(entity, term, start, end, 1 for the first of this pair here) of terms close to an identifier and outside all of them."""
+def _outside(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of the terms outside all identifiers."""
     spans = sorted((a, z) for _, a, z, _ in base)
     words, at = [], 0
     for m in _TERM.finditer(text):
@@ -84,6 +85,12 @@ def _close_terms(text: str, base: list[tuple[int, int, int, str]], window: int)
             at += 1
         if at == len(spans) or m.end() <= spans[at][0]:
             words.append(m.span())
+    return words
+
+
+def _close_terms(text: str, base: list[tuple[int, int, int, str]], window: int) -> list[tuple[int, str, int, int, int]]:
+    """(entity, term, start, end, 1 for the first of this pair here) of terms close to an identifier and outside all of them."""
+    words = _outside(text, base)
     starts = [a for a, _ in words]
     out, seen, done = [], set(), set()
     for kind, a, z, value in base:
@@ -137,7 +144,7 @@ def _term_counter(shared):
 
         for batch in pieces(batches, "_bytes"):
             for raw in batch.column("_bytes").to_pylist():
-                count.update(set(_TERM.findall(raw.decode().lower())))
+                count.update({t.lower() for t in set(_TERM.findall(raw.decode()))})
                 if len(count) > _FLUSH:
                     yield flush()
         yield flush()
@@ -145,6 +152,35 @@ def _term_counter(shared):
     return run
 
 
+def _places(shared):
+    """(text's hashes, term, start, end) of the terms that pass the filter, outside identifiers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, passes = shared.value, {}
+        for batch in pieces(batches, "_bytes"):
+            at, terms, starts, ends = [], [], [], []
+            for i, raw in enumerate(batch.column("_bytes").to_pylist()):
+                text = raw.decode()
+                if len(passes) > _FLUSH:
+                    passes.clear()
+                for word in set(_TERM.findall(text)):
+                    if word not in passes:
+                        passes[word] = bool(wanted[(b := _bit(word.lower())) >> 3] >> (b & 7) & 1)
+                if not any(passes[m[0]] for m in _TERM.finditer(text)):
+                    continue
+                for a, z in _outside(text, identifiers(text)):
+                    if passes[text[a:z]]:
+                        at.append(i)
+                        terms.append(text[a:z].lower())
+                        starts.append(a)
+                        ends.append(z)
+            rows = pa.array(at, pa.int64())
+            new = [pa.array(terms, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("_th").take(rows), batch.column("_th2").take(rows), *new], names=["_th", "_th2", "term", "start", "end"])
+
+    return run
+
+
 def _marked(bits: Iterator[int]) -> bytes:
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for b in bits:
@@ -157,39 +193,56 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique([_bit(t) for t in batch.column("term").to_pylist()]).astype(np.int64))], names=["bit"])
 
 
+def _filter(terms: DataFrame):
+    """The filter of the terms, on all tasks."""
+    bits = terms.select("term").distinct().mapInArrow(_bits, "bit bigint").distinct()
+    return terms.sparkSession.sparkContext.broadcast(_marked(r.bit for r in bits.toLocalIterator()))
+
+
+def _text_hashes():
+    return F.xxhash64("text").alias("_th"), F.xxhash64("text", F.lit("again")).alias("_th2")
+
+
 def find(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` (default: all columns) of ``docs``, ``base`` (kind, start, end: direct identifiers) and ``terms`` (start, end).
 
     Positions are code points, ends exclusive. Direct identifiers are the leftmost non-overlapping matches of each kind's
-    pattern that pass its check. ``terms`` are words within ``window`` words of an identifier whose disclosure of it is at
-    least ``threshold``, over ``support`` different texts or more: a document without an identifier gets none.
+    pattern that pass its check. ``terms`` are all places, in any document, of the words that give an identifier away: those
+    within ``window`` words of it whose disclosure of it is at least ``threshold``, over ``support`` different texts or more.
+    Of an identifier in fewer different texts: the words which no document has without having them close to it.
 
-    Two maps read the texts: one finds identifiers and what stands close to them, one counts the documents of the terms that
-    matter, named by a filter of fixed size. Pairs are folded per task before they move. An entity in every document has
+    Three maps read the texts: one finds identifiers and what stands close to them, one counts the documents of the terms that
+    matter, one finds the places of those that disclose; the terms are named by a filter of fixed size. Pairs are folded per
+    task before they move. An entity in every document has
     no information content and discloses nothing.
 
     Null texts are empty; a text without identifiers has empty arrays. Repeated rows each get their spans and count as
     documents, but as one text for the support. An empty table gives an empty result. Columns with the new names are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "terms")]
-    texts = docs.select(*keep, utf8_bytes().alias("_bytes"), F.xxhash64("text").alias("_th"), F.monotonically_increasing_id().alias("_row"))
+    texts = docs.select(*keep, utf8_bytes().alias("_bytes"), *_text_hashes())
     schema = texts.drop("_bytes").withColumns(
         {"base": F.lit(None).cast("array<struct<kind: string, start: bigint, end: bigint>>"), "close": F.lit(None).cast(_TERMS), "entities": F.lit(None).cast("array<bigint>")}
     )
     found = stored(mapped(texts, _finder(window), schema.schema))
     total = found.count()
-    close = found.where(F.size("close") > 0).select("_row", "_th", F.inline("close"))
+    close = found.where(F.size("close") > 0).select("_th", F.inline("close"))
     pairs = close.groupBy("entity", "term", "_th").agg(F.sum("first").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
-    pairs = stored(pairs.where(F.col("texts") >= support))
-    bits = pairs.select("term").distinct().mapInArrow(_bits, "bit bigint").distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_marked(r.bit for r in bits.toLocalIterator()))
+    # Copies of a text are one text of an entity.
+    in_texts = found.select("_th", F.explode("entities").alias("entity")).groupBy("entity", "_th").agg(F.count("*").alias("n"))
+    with_entity = stored(in_texts.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count("*").alias("entity_texts")))
+    rare = F.col("entity_texts") < support
+    pairs = stored(pairs.join(with_entity, "entity").where(rare | (F.col("texts") >= support)))
+    wanted = _filter(pairs)
     with_term = mapped(docs.select(utf8_bytes().alias("_bytes")), _term_counter(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("with_term"))
-    with_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    joined = pairs.join(with_term, "term").join(with_entity, "entity")
+    joined = pairs.join(with_term, "term")
     disclosure = 1 + F.log(F.col("both") / F.col("with_term")) / F.log(total / F.col("with_entity"))
-    told = stored(joined.withColumn("disclosure", disclosure).where((F.col("disclosure") >= threshold) & (F.col("with_entity") < total)))
-    spans = close.join(told.select("entity", "term"), ["entity", "term"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    out = found.join(spans, "_row", "left")
+    discloses = F.when(rare, F.col("both") == F.col("with_term")).otherwise(disclosure >= threshold)
+    told = stored(joined.where(discloses & (F.col("with_entity") < total)).select("term").distinct())
+    # Where a term stands follows from the text alone, so that places go back to the rows by text.
+    places = mapped(docs.select(utf8_bytes().alias("_bytes"), *_text_hashes()), _places(_filter(told)), "_th bigint, _th2 bigint, term string, start bigint, end bigint")
+    spans = places.join(told, "term").groupBy("_th", "_th2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    out = found.join(spans, ["_th", "_th2"], "left")
     return out.select(*keep, "base", F.coalesce("terms", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("terms"))
 
 
