@@ -144,6 +144,13 @@ def stream_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", iso_day(F.col("timestamp")).alias("day"), "close", "prior_close")
 
 
+def stream_price_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of which any price moved by more than the threshold from the close before, over several micro-batches."""
+    bars = in_files(resample_bars(views.ticks(spark, sf_dir), "1d", "yahoo"), f"{shared_folder(spark)}/in", "timestamp")
+    found = _stateful(spark, alerts.spike_alerts(bars, prices=schemas.PRICES), "append")
+    return found.select("symbol", iso_day(F.col("timestamp")).alias("day"), *schemas.PRICES, "prior_close")
+
+
 QUERIES = {
     **{f"raw_bars_{fmt}": _format(fmt) for fmt in ("csv", "json", "parquet")},
     "nan_prices": nan_prices,
@@ -156,6 +163,7 @@ QUERIES = {
     "stream_event_log": stream_event_log,
     "stream_outages": stream_outages,
     "stream_spikes": stream_spikes,
+    "stream_price_spikes": stream_price_spikes,
 }
 
 _BAR = "symbol, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, open, high, low, close, volume"
@@ -189,6 +197,14 @@ def _oracles() -> dict[str, str]:
             SELECT symbol, strftime(timestamp, '%Y-%m-%d') AS day, close, prior_close
             FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY timestamp) AS prior_close FROM bars_1d)
             WHERE prior_close IS NOT NULL AND CASE WHEN prior_close = 0 THEN true ELSE abs((close - prior_close) / prior_close) > 0.2 END"""),
+        "stream_price_spikes": over(["bars_1d"], """
+            SELECT symbol, strftime(timestamp, '%Y-%m-%d') AS day, open, high, low, close, prior_close
+            FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY timestamp) AS prior_close FROM bars_1d)
+            WHERE prior_close IS NOT NULL AND (
+                CASE WHEN prior_close = 0 THEN true ELSE abs((open - prior_close) / prior_close) > 0.2 END
+                OR CASE WHEN prior_close = 0 THEN true ELSE abs((high - prior_close) / prior_close) > 0.2 END
+                OR CASE WHEN prior_close = 0 THEN true ELSE abs((low - prior_close) / prior_close) > 0.2 END
+                OR CASE WHEN prior_close = 0 THEN true ELSE abs((close - prior_close) / prior_close) > 0.2 END)"""),
     }
 
 

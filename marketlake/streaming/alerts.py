@@ -90,8 +90,8 @@ def outage_alerts(
 class _SpikeProcessor(StatefulProcessor):
     """Keeps the last close of a series."""
 
-    def __init__(self, keys: list[str], threshold: float) -> None:
-        self.keys, self.threshold = keys, threshold
+    def __init__(self, keys: list[str], threshold: float, prices: list[str]) -> None:
+        self.keys, self.threshold, self.prices = keys, threshold, prices
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "close DOUBLE")
@@ -101,27 +101,30 @@ class _SpikeProcessor(StatefulProcessor):
         prior = bars["close"].shift(1)
         if self.last.exists():
             prior.iloc[0] = self.last.get()[0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            moved = np.abs((bars["close"].to_numpy() - prior.to_numpy()) / prior.to_numpy())
-        # No prior close is no spike; a move from a zero close always is one.
-        spiked = prior.notna().to_numpy() & ~(moved <= self.threshold)
+        spiked = np.zeros(len(bars), bool)
+        for price in self.prices:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                moved = np.abs((bars[price].to_numpy() - prior.to_numpy()) / prior.to_numpy())
+            # No prior close is no spike; a move from a zero close always is one. Of a price that isn't there, nothing is known.
+            there = bars[price].notna().to_numpy() | (price == "close")
+            spiked |= prior.notna().to_numpy() & there & ~(moved <= self.threshold)
         self.last.update((float(bars["close"].iloc[-1]),))
-        found = bars.loc[spiked, ["timestamp", "close"]].assign(prior_close=prior[spiked])
-        yield found.assign(**dict(zip(self.keys, key)))[[*self.keys, "timestamp", "close", "prior_close"]]
+        found = bars.loc[spiked, ["timestamp", *self.prices]].assign(prior_close=prior[spiked])
+        yield found.assign(**dict(zip(self.keys, key)))[[*self.keys, "timestamp", *self.prices, "prior_close"]]
 
 
 def spike_alerts(
-    bars: DataFrame, keys: Sequence[str] = BAR_KEYS, threshold: float = SPIKE_THRESHOLD
+    bars: DataFrame, keys: Sequence[str] = BAR_KEYS, threshold: float = SPIKE_THRESHOLD, prices: Sequence[str] = ("close",)
 ) -> DataFrame:
-    """Bars whose close moved by more than the threshold from the close before, across micro-batches.
+    """Bars of which one of ``prices`` moved by more than the threshold from the close before, across micro-batches.
 
-    Bars of a series arrive in time order from batch to batch, as ``tumbling_bars`` in append mode
-    delivers them.
+    The price check's rule is over all four of ``schemas.PRICES``. Bars of a series arrive in time order from batch to
+    batch, as ``tumbling_bars`` in append mode delivers them.
     """
-    names = ", ".join(f"{k} STRING" for k in keys)
-    return bars.select(*keys, "timestamp", F.col("close")).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_SpikeProcessor(list(keys), threshold),
-        outputStructType=f"{names}, timestamp TIMESTAMP, close DOUBLE, prior_close DOUBLE",
+    names, read = ", ".join(f"{k} STRING" for k in keys), dict.fromkeys([*prices, "close"])
+    return bars.select(*keys, "timestamp", *read).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_SpikeProcessor(list(keys), threshold, list(prices)),
+        outputStructType=f"{names}, timestamp TIMESTAMP, {', '.join(f'{c} DOUBLE' for c in prices)}, prior_close DOUBLE",
         outputMode="Append",
         timeMode="None",
     )
