@@ -20,6 +20,11 @@ from marketlake.llm.common import mapped, pieces, utf8_bytes
 SAMPLE_DOCS, DICTIONARY_BYTES, DICTIONARIES, LANGUAGES = 600, 112 << 10, 1, 64
 LEVEL = 6
 UNDECIDED = "und"
+#: A margin is narrow below this share of the encoded size, of which ``MARGIN_BYTES`` count at most: what a dictionary saves
+#: stops growing where a long text refers to itself.
+MIN_SHARE, MARGIN_BYTES = 0.05, 4096
+#: A text is in no learned language if, past what any frame has, a byte of it takes so many times what the language's own text takes.
+MAX_GROWTH, FRAME_BYTES, LEAST_RATIO = 1.6, 24, 0.3
 
 
 _BETWEEN = re.compile(r"[\W\d_]+")
@@ -65,10 +70,10 @@ def _dictionary(texts: list[str], most: int) -> bytes:
     return raw[:most]
 
 
-def _identifier(shared, level: int):
+def _identifier(shared, level: int, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = list(shared.value)
-        coders = []
+        coders, ratios = [], []
         for lang in languages:
             own = []
             for raw in shared.value[lang]:
@@ -77,14 +82,17 @@ def _identifier(shared, level: int):
                 d.precompute_compress(compression_params=params)
                 own.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
             coders.append(own)
+            alone = zstandard.ZstdCompressor(level=level)
+            ratios.append(max([LEAST_RATIO, *(len(alone.compress(raw)) / len(raw) for raw in shared.value[lang] if raw)]))
         for batch in pieces(batches, "_bytes"):
-            langs, scores, margins = [], [], []
+            langs, scores, margins, clear = [], [], [], []
             for text in batch.column("_bytes").to_pylist():
                 words = plain(text.decode())
                 if not languages or not any(map(str.isalpha, words)):
                     langs.append(UNDECIDED)
                     scores.append(0.0)
                     margins.append(0.0)
+                    clear.append(False)
                     continue
                 raw = words.encode()
                 sizes = np.array([sum(len(c.compress(raw)) for c in own) / len(own) for own in coders])
@@ -95,28 +103,30 @@ def _identifier(shared, level: int):
                 langs.append(languages[best])
                 scores.append(float(1 / odds.sum()))
                 margins.append(float(others.min() - sizes[best]) if len(others) else float(sizes[best]))
-            new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())]
-            rest = [n for n in batch.schema.names if n not in ("_bytes", "lang_pred", "score", "margin")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *new], names=[*rest, "lang_pred", "score", "margin"])
+                wide = margins[-1] >= min_share * min(sizes[best], MARGIN_BYTES)
+                clear.append(bool(wide and sizes[best] - FRAME_BYTES <= MAX_GROWTH * ratios[best] * len(raw)))
+            new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(clear, pa.bool_())]
+            rest = [n for n in batch.schema.names if n not in ("_bytes", "lang_pred", "score", "margin", "accepted")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *new], names=[*rest, "lang_pred", "score", "margin", "accepted"])
 
     return run
 
 
-def identified(docs: DataFrame, model: dict[str, list[bytes]], min_margin: float = 0.3, level: int = LEVEL) -> DataFrame:
+def identified(docs: DataFrame, model: dict[str, list[bytes]], min_margin: float = 0.3, level: int = LEVEL, min_share: float = MIN_SHARE) -> DataFrame:
     """The columns of ``docs`` and: lang_pred, score (0 to 1), margin (bytes to the second best, mean over dictionaries), accepted.
 
     The whole text is encoded. ``lang_pred`` is always the best learned language, or ``und`` for null texts and texts
-    without a letter (score and margin 0). ``accepted`` is false for ``und`` and for margins under ``min_margin`` bytes: ties,
-    in effect. Equal sizes go to the language with more learned-from documents. A map: nothing is shuffled, and each row is
+    without a letter (score and margin 0). ``accepted`` is false for ``und``, for margins under ``min_margin`` bytes or
+    under ``min_share`` of the encoded size, and for texts that even the best language encodes much worse than its own text. Equal sizes go to the language with more learned-from documents. A map: nothing is shuffled, and each row is
     judged alone, so repeated rows agree. Columns with the new names are replaced.
     """
     rest = docs.drop("lang_pred", "score", "margin", "accepted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = rest.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0)}).schema
-    for name in ("lang_pred", "score", "margin"):
+    schema = rest.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0), "accepted": F.lit(False)}).schema
+    for name in ("lang_pred", "score", "margin", "accepted"):
         schema[name].nullable = True
-    out = mapped(rest.withColumn("_bytes", utf8_bytes()), _identifier(shared, level), schema)
-    return out.withColumn("accepted", (F.col("lang_pred") != UNDECIDED) & (F.col("margin") >= min_margin))
+    out = mapped(rest.withColumn("_bytes", utf8_bytes()), _identifier(shared, level, min_share), schema)
+    return out.withColumn("accepted", F.col("accepted") & (F.col("margin") >= min_margin))
 
 
 def held_out():
@@ -125,6 +135,6 @@ def held_out():
 
 
 def accepted_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` without those whose language is undecided; the columns stay. Rejected margins are ties of short texts."""
+    """``docs`` without those whose language is undecided; the columns stay. So go narrow margins and texts in no learned language."""
     model = learn((docs if labelled is None else labelled).where(~held_out()))
     return identified(docs, model).where("accepted").select(*docs.columns)
