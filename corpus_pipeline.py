@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, language, mixing, near_copies, sharding
+from marketlake.llm import decontaminate, language, mixing, sharding, simhash
 from marketlake.llm.common import stored, table
 
 SHARDS = 8
@@ -16,8 +16,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
-    return near_copies.deduplicated(docs)
+    """The document with the smallest id of each group whose SimHash words, of 3-word shingles, link within 2 bits."""
+    return simhash.deduplicated(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
