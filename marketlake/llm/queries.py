@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm import chat, decontaminate, language, mixing, privacy, repeats, sharding, simhash, token_counts, topk
+from marketlake.llm import chat, decontaminate, language, mixing, privacy, repeats, sharding, simhash, token_alignment, token_counts, topk
 from marketlake.llm.common import table
 
 
@@ -97,6 +97,13 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    out = token_alignment.link_scores(docs, derived={"groups_sha256": digest}, keep=["doc_id"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -110,6 +117,7 @@ QUERIES = {
         op8_trie_token_counts,
         op9_typed_chat,
         op10_suffix_automaton,
+        op11_token_alignment,
     )
 }
 

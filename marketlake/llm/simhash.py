@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from marketlake.llm.common import mapped, pieces, stored, utf8_bytes
 from marketlake.llm.components import components
@@ -177,6 +177,16 @@ def links(prints: DataFrame, part_rows: int = 4096) -> DataFrame:
     return blocks.repartition("block").sortWithinPartitions("block", "fp").mapInArrow(_links, "a bigint, b bigint").distinct()
 
 
+def _components(docs: DataFrame, width: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (_fp, root, component_id) of every distinct fingerprint."""
+    prints = stored(fingerprints(docs, width, seed, keep=["doc_id"]))
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(classes.select("fp")))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joint = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, stored(rooted.join(joint, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns) of ``docs`` and: fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
@@ -188,29 +198,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, keep: list[
     Columns with the new names are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("fingerprint", "component_id", "fp")]
-    prints = stored(fingerprints(docs, width, seed, keep=["doc_id"]))
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joint = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(joint, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    prints, named = _components(docs, width, seed)
     rows = prints if keep == ["doc_id"] else fingerprints(docs, width, seed, keep)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, rows.fp == named._fp).withColumn("fingerprint", hexed).select(*keep, "fingerprint", "component_id")
 
 
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component, its smallest doc_id; the columns stay. Rows without a doc_id stay, repeated rows
-    of one doc_id become one."""
-    return first_of_components(docs, near_duplicates(docs, keep=["doc_id"], **how))
-
+def deduplicated(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """One document of each component, that with its smallest doc_id; the columns stay.
 
-def first_of_components(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component in ``named`` (doc_id, component_id), and those without a doc_id."""
-    ids = named.where("doc_id = component_id")
-    ids = stored(ids.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
-    # One plan at every size: the ids grow with the documents, so they are never broadcast.
-    kept = docs.join(ids.hint("merge"), docs.doc_id == ids._id)
-    once = kept.where("_n = 1").select(*docs.columns)
-    repeated = kept.where("_n > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    Rows without a doc_id stay. Where a doc_id is repeated, each of its texts is judged on its own: texts of one component become
+    one (that with the smallest fingerprint, then text), others stay. An empty table gives an empty result.
+    """
+    prints, named = _components(docs, width, seed)
+    own = prints.join(named, prints.fp == named._fp).where("doc_id = component_id")
+    first = stored(own.groupBy("doc_id", "root").agg(F.min("fp").alias("_fp")).select(F.col("doc_id").alias("_id"), "_fp"))
+    repeated = stored(prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    # One plan at every size: these tables grow with the documents, so they are never broadcast.
+    single = first.join(repeated.hint("merge"), "_id", "left_anti").select("_id")
+    once = docs.join(single.hint("merge"), docs["doc_id"] == single["_id"], "left_semi")
+    # Whole rows as one column, so that no name clashes.
+    others = docs.join(repeated.hint("merge"), docs["doc_id"] == repeated["_id"], "left_semi")
+    others = fingerprints(others.select(F.struct("*").alias("_row"), "doc_id", "text"), width, seed, ["_row", "doc_id"])
+    others = others.join(first.hint("merge"), (others["doc_id"] == first["_id"]) & (others["fp"] == first["_fp"]), "left_semi")
+    others = others.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy("_row.text"))).where("_rank = 1")
+    return once.unionByName(others.select("_row.*")).unionByName(docs.where("doc_id is null"))
