@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm import chat, decontaminate, language, mixing, privacy, repeats, sharding, simhash, token_alignment, token_counts, topk
+from marketlake.llm import chat, decontaminate, language, lexical_search, mixing, privacy, repeats, sharding, simhash, token_alignment, token_counts, topk
 from marketlake.llm.common import table
 
 
@@ -104,6 +104,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -118,6 +123,7 @@ QUERIES = {
         op9_typed_chat,
         op10_suffix_automaton,
         op11_token_alignment,
+        op12_max_sketch_search,
     )
 }
 
@@ -168,5 +174,28 @@ WITH d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN counts USING (row) LEFT JOIN items USING (row)
+""",
+    "op12_max_sketch_search": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), folded AS (
+    SELECT row, doc_id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM d
+), tf AS (SELECT row, doc_id, term, count(*) AS tf FROM (SELECT row, doc_id, unnest(w) AS term FROM folded) GROUP BY ALL
+), n AS (SELECT row, sum(tf)::BIGINT AS n FROM tf GROUP BY row
+), all_docs AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n
+), q AS (
+    SELECT item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM benchmark
+), asked AS (SELECT item_id, term, count(*) AS c FROM q GROUP BY ALL
+), w AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, all_docs WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scored AS (
+    SELECT item_id, doc_id, row, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN n USING (row), all_docs GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
 """,
 }
