@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.llm import chat, decontaminate, language, lexical_search, mixing, privacy, repeats, sharding, simhash, token_alignment, token_counts, topk
+from marketlake.llm import chat, decontaminate, forest_search, language, lexical_search, mixing, privacy, repeats, sharding, simhash, token_alignment, token_counts, topk
 from marketlake.llm.common import table
 
 
@@ -109,6 +109,11 @@ def op12_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", forest_search.fit_vectors().alias("v"))
+    return forest_search.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -124,6 +129,7 @@ QUERIES = {
         op10_suffix_automaton,
         op11_token_alignment,
         op12_max_sketch_search,
+        op13_projection_forest,
     )
 }
 
