@@ -98,13 +98,18 @@ def resolve(requests: DataFrame, registry: DataFrame, as_of: Column, invalidated
     return requests.join(current, "hash", "left").withColumn("status", status)
 
 
+def planned(requests: DataFrame, registry: DataFrame, as_of: Column, invalidated: DataFrame | None = None) -> DataFrame:
+    """Every request as ``resolve`` gives it, and ``due``: is it to be ingested at ``as_of`` (missing, invalidated or past its
+    time to live)? One frame, so that looking at both sides evaluates it once."""
+    return resolve(requests, registry, as_of, invalidated).withColumn("due", F.col("status") != "fresh")
+
+
 def plan_ingestion(
     requests: DataFrame, registry: DataFrame, as_of: Column, invalidated: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(requests to ingest at ``as_of``: missing, invalidated or past their time to live; requests that are served)."""
-    resolved = resolve(requests, registry, as_of, invalidated)
-    due = F.col("status") != "fresh"
-    return resolved.where(due), resolved.where(~due)
+    """(requests to ingest at ``as_of``, requests that are served), the two sides of ``planned``."""
+    plan = planned(requests, registry, as_of, invalidated)
+    return plan.where("due").drop("due"), plan.where("not due").drop("due")
 
 
 # Registry -------------------------------------------------------------------------------------

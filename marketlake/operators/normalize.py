@@ -117,12 +117,12 @@ def normalize_news(raw: DataFrame, symbol: str | None = None, provider: str | No
 def normalize_fundamentals(
     raw: DataFrame, now: Column, symbol: str | None = None, provider: str | None = None
 ) -> DataFrame:
-    """Canonical fundamentals: absent or unusable metrics are null, a missing time is ``now``."""
+    """Canonical fundamentals: absent or unusable metrics are null, a missing time is ``now``. The symbol stays as it is given."""
     has_time = "as_of" in raw.columns
     as_of = as_of_timestamp(F.col("as_of").cast("string"), now) if has_time else now.cast("timestamp")
     return schemas.conform(
         raw.select(
-            F.upper(_constant_or_carried(raw, "symbol", symbol)).alias("symbol"),
+            _constant_or_carried(raw, "symbol", symbol).alias("symbol"),
             as_of.alias("as_of"),
             *((safe_double(F.col(m)) if m in raw.columns else F.lit(None)).alias(m) for m in schemas.METRICS),
             _constant_or_carried(raw, "provider", provider).alias("provider"),

@@ -30,8 +30,8 @@ def request_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is missing, past its time to live, or invalidated, and what is served."""
     registry = views.registry(spark, sf_dir)
-    todo, served = catalog.plan_ingestion(views.requests(spark, sf_dir), registry, views.as_of(), _unsound(registry))
-    return todo.withColumn("todo", F.lit(True)).unionByName(served.withColumn("todo", F.lit(False))).select("hash", "data_type", "status", "todo")
+    plan = catalog.planned(views.requests(spark, sf_dir), registry, views.as_of(), _unsound(registry))
+    return plan.select("hash", "data_type", "status", F.col("due").alias("todo"))
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,11 +228,11 @@ ORACLES = {
     "freshness_stats": over(["latest"], f"""
         SELECT data_type, count(*) FILTER (WHERE {_AGE} < {_TTL}) AS n_fresh, count(*) FILTER (WHERE {_AGE} >= {_TTL}) AS n_stale
         FROM latest GROUP BY data_type"""),
-    "lineage": over(["stored_registry"], f"""
-        SELECT l.hash, {_iso('l.created_at')}, l.provider, l.data_type, coalesce(r.rows, -1) AS rows,
-               r.storage_uri IS NULL AS orphan
-        FROM stored_registry l
-        LEFT JOIN (SELECT * FROM stored_registry WHERE quality_passed) r ON r.hash = l.hash AND r.created_at = l.created_at"""),
+    # A version is one row of the registry, so its log row needs no join to find it: one pass over each table.
+    "lineage": over(["registry"], f"""
+        SELECT hash, {_iso('created_at')}, provider, data_type, CASE WHEN quality_passed THEN rows ELSE -1 END AS rows,
+               NOT quality_passed AS orphan
+        FROM registry"""),
     "ingestion_summary": over(["attempts"], """
         SELECT coalesce(data_type, 'all') AS data_type, coalesce(status, 'all') AS status, count(*) AS n
         FROM attempts GROUP BY ROLLUP (data_type, status)"""),

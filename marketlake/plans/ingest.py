@@ -40,7 +40,8 @@ class Request:
 def normalize(raw: DataFrame, data_type: str, now: Column) -> DataFrame:
     """A multi-series feed, which carries its series columns, to its canonical table."""
     if data_type == "fundamentals":
-        return normalize_fundamentals(raw, now)
+        # Whoever asks for a dataset names its symbol in upper case; the normalizer itself leaves it alone.
+        return normalize_fundamentals(raw.withColumn("symbol", F.upper("symbol")), now)
     return {"ohlcv": normalize_bars, "news": normalize_news, "macro": normalize_macro}[data_type](raw)
 
 

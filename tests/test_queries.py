@@ -1,12 +1,20 @@
-"""Every registered query against its oracle, and the shape of the plans that matter at scale."""
+"""Every registered query of the lake against its oracle, and the shape of the plans that matter at scale.
+
+The training-data queries, where their package is present, have tests of their own.
+"""
 
 from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from marketlake.plans import bar_queries, catalog_queries, feed_queries, lake_queries, text_queries
 from tests.compare import compare, connect
 
+MODULES = (bar_queries, text_queries, catalog_queries, lake_queries, feed_queries)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+
 
 @pytest.fixture(scope="module")
 def oracle(sf):
@@ -14,16 +22,16 @@ def oracle(sf):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, sf, oracle, name):
-    assert compare(spark, oracle, queries()[name], oracle_sql()[name], sf) is None
+    assert compare(spark, oracle, QUERIES[name], ORACLES[name], sf) is None
 
 
 def plan(spark, sf, name) -> str:
-    df = queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -44,7 +52,7 @@ def test_row_by_row_operators_do_not_group(spark, sf, name):
     assert "Aggregate" not in text and "hashpartitioning(symbol" not in text
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cartesian_product(spark, sf, name):
     text = plan(spark, sf, name)
     assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
@@ -53,7 +61,3 @@ def test_no_python_and_no_cartesian_product(spark, sf, name):
 def test_bars_read_three_columns(spark, sf):
     read = plan(spark, sf, "bars_1d").split("ReadSchema:")[1]
     assert "props" not in read and "event_type" not in read
-
-
-def test_newest_articles_are_cut_before_the_shuffle(spark, sf):
-    assert "WindowGroupLimit" in plan(spark, sf, "news_json") and "Partial" in plan(spark, sf, "news_json")
