@@ -16,7 +16,7 @@ from marketlake.operators.normalize import (
     normalize_macro,
     normalize_news,
 )
-from marketlake.sinks.store import run_path, stored_folder, write_canonical, write_catalog
+from marketlake.sinks.store import commit_runs, run_path, stored_folder, write_canonical, write_catalog
 from marketlake.sources.lake import read_canonical, read_catalog
 
 
@@ -88,6 +88,8 @@ def _ingest(raw: DataFrame, request: Request, calendar: DataFrame | None) -> Dat
     location = stored_folder(r.data_type, r.root, r.run, r.layout)
     registered = register_datasets(canonical, r.data_type, now, r.root, r.start, r.end, summary, location)
     part = f"{r.data_type}-{r.run}"
+    # From here on readers see the run, whole.
+    commit_runs(spark, r.data_type, r.root, r.run, r.now, r.run)
     write_catalog(registered, "registry", r.root, part)
 
     registered = read_catalog(spark, r.root, "registry", part)

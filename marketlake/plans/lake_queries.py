@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketlake.functions import iso_seconds
 from marketlake.operators import events
-from marketlake.operators.calendar import weekday_calendar
+from marketlake.operators.calendar import exchange_calendar
 from marketlake.operators.catalog import invalidate
 from marketlake.operators.reads import get_bars
 from marketlake.plans import views
@@ -19,6 +19,7 @@ from marketlake.plans.ingest import Request, ingest
 from marketlake.plans.oracle_views import over
 from marketlake.schemas import PRICES
 from marketlake.session import shared_folder
+from marketlake.sinks.store import compact, expire
 from marketlake.sources.lake import current_rows, read_canonical, read_catalog, reconcile, stored_files
 from marketlake.streaming.bars import first_by_seq, tumbling_bars
 from marketlake.streaming.events import running_counts
@@ -27,13 +28,18 @@ from marketlake.streaming.ingest import ingest_stream
 _SHOWN = ("symbol", "timestamp", *PRICES, "volume")
 
 
+def _trading_days(spark: SparkSession) -> DataFrame:
+    """The exchange days, without holidays, that the gap check of an ingestion run expects."""
+    return exchange_calendar(spark, views.START, views.END).where("exchange = 'XNYS'").select("day")
+
+
 def _ingested(spark: SparkSession, sf_dir: str, data_type: str) -> tuple[str, DataFrame]:
     """Ingest the raw view of a data type; its folder and its registry rows."""
     root = shared_folder(spark)
     raw = views.raw_bars(spark, sf_dir) if data_type == "ohlcv" else views.raw_news(spark, sf_dir)
     now = datetime(2024, 1, 31, tzinfo=timezone.utc)
     request = Request(data_type, root, "r1", now, views.START, views.END)
-    return root, ingest(raw, request, weekday_calendar(spark, views.START, views.END))
+    return root, ingest(raw, request, _trading_days(spark))
 
 
 def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds after three overlapping requests, told apart by their volume, of which the last was invalidated."""
     root, raw = shared_folder(spark), views.raw_bars(spark, sf_dir)
-    calendar = weekday_calendar(spark, views.START, views.END)
+    calendar = _trading_days(spark)
     for run, start, end, volume in (("r1", "2024-01-01", "2024-01-19", "1"), ("r2", "2024-01-10", "2024-01-31", "2"), ("r3", "2024-01-25", "2024-01-31", "3")):
         part = raw.where(F.substring("Date", 1, 10).between(start, end)).withColumn("Volume", F.lit(volume))
         ingest(part, Request("ohlcv", root, run, datetime(2024, 2, int(volume), tzinfo=timezone.utc), start, end), calendar)
@@ -56,6 +62,39 @@ def stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("timestamp", iso_seconds(F.col("timestamp"))).select(*_SHOWN)
 
 
+def compacted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of three overlapping requests, told apart by their volume, of which the first two were compacted before the
+    third came: with the old runs' folders there, after they went, and as of the moment before the third. And folders that nobody
+    registered, and versions without files: none."""
+    root, raw = shared_folder(spark), views.raw_bars(spark, sf_dir)
+    calendar = _trading_days(spark)
+    day = lambda n: datetime(2024, 2, n, tzinfo=timezone.utc)
+
+    def request(run: str, start: str, volume: str, at: datetime, end: str = "2024-01-31") -> None:
+        part = raw.where(F.substring("Date", 1, 10).between(start, end)).withColumn("Volume", F.lit(volume))
+        ingest(part, Request("ohlcv", root, run, at, start, end), calendar)
+
+    def held(phase: str, as_of: datetime | None = None) -> DataFrame:
+        registry = read_catalog(spark, root, "registry", as_of=as_of)
+        rows = current_rows(read_canonical(spark, root, "ohlcv", as_of=as_of), registry)
+        shown = rows.withColumn("timestamp", iso_seconds(F.col("timestamp"))).select(F.lit(phase).alias("phase"), *_SHOWN)
+        # Written here: what the next phase deletes is read before.
+        path = f"{root}/held/{phase}"
+        shown.write.mode("overwrite").parquet(path)
+        return spark.read.schema(shown.schema).parquet(path)
+
+    request("r1", "2024-01-01", "1", day(1), "2024-01-19")
+    request("r2", "2024-01-10", "2", day(2))
+    compact(spark, "ohlcv", root, "c1", at=day(3))
+    request("r3", "2024-01-25", "3", day(4))
+    out = held("compacted").unionByName(held("as of", day(3)))
+    expire(spark, "ohlcv", root, day(3))
+    out = out.unionByName(held("expired"))
+    lost, unknown = reconcile(read_catalog(spark, root, "registry"), stored_files(spark, root, "ohlcv"))
+    odd = lost.select("symbol").unionByName(unknown.select(F.col("place").alias("symbol"))).withColumn("phase", F.lit("not reconciled"))
+    return out.unionByName(odd, allowMissingColumns=True)
+
+
 def ingest_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds after a stream of files, one per micro-batch, that repeats all it sent before."""
     root = shared_folder(spark)
@@ -134,6 +173,7 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "stored_bars": stored_bars,
     "stored_versions": stored_versions,
+    "compacted_bars": compacted_bars,
     "ingest_stream_bars": ingest_stream_bars,
     "ingest_news": ingest_news,
     "reconcile": reconciled,
@@ -161,6 +201,11 @@ ORACLES = {
         SELECT symbol, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, open, high, low, close,
                CASE WHEN timestamp >= TIMESTAMP '2024-01-10' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS volume
         FROM canonical_bars"""),
+    "compacted_bars": over(["canonical_bars"], """
+        , phases AS (SELECT * FROM (VALUES ('compacted', TIMESTAMP '2024-01-25'), ('as of', NULL), ('expired', TIMESTAMP '2024-01-25')) t(phase, third))
+        SELECT phase, symbol, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, open, high, low, close,
+               CASE WHEN timestamp >= third THEN 3.0::DOUBLE WHEN timestamp >= TIMESTAMP '2024-01-10' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS volume
+        FROM canonical_bars, phases"""),
     "ingest_stream_bars": over(["canonical_bars"], f"SELECT {_BAR} FROM canonical_bars"),
     "ingest_news": over(["news"], f"""{_NEWS_RUN}
         SELECT symbol, rows, rows_fetched, 6 AS columns, passed AS quality_passed, 'success' AS status,

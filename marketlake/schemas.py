@@ -43,6 +43,9 @@ INGESTION_LOG = struct(
 )
 EVENTS = struct(event="string", payload="string", published_at="timestamp")
 
+#: One row per run that a commit added to a table, or replaced by another.
+RUN_CHANGES = struct(run="string", state="string", by="string", made_at="timestamp")
+
 CANONICAL = {"ohlcv": BARS, "news": NEWS, "fundamentals": FUNDAMENTALS, "macro": MACRO}
 
 PRICES = ("open", "high", "low", "close")

@@ -1,13 +1,19 @@
 """Writing canonical and catalog tables.
 
 Every write belongs to a run, the outermost folder of every table. Another run's data is never replaced, a retry of the same run
-replaces just its own files, and reading a run lists that run's folder only. ``compact`` folds old runs into one.
+replaces just its own files, and reading a run lists that run's folder only.
+
+Which runs make up a table is told by its commits: small files, each written as one, that add runs or replace them by another. A
+run that was not committed is not read; ``compact`` writes many runs as one and swaps them in one commit, and the old folders
+stay readable as of an earlier moment until ``expire`` removes them.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from marketlake import schemas
 from marketlake.functions import dataset_hash
@@ -88,7 +94,7 @@ def with_version(
 _ESCAPED = "%\"#'*/:=?\\{[]^"
 
 
-def _folder_name(value: Column) -> Column:
+def folder_name(value: Column) -> Column:
     for c in _ESCAPED:
         value = F.replace(value, F.lit(c), F.lit(f"%{ord(c):02X}"))
     return value
@@ -107,9 +113,9 @@ def run_of(location: Column) -> Column:
 
 def stored_folder(data_type: str, root: str, run: str, layout: str = "symbol", buckets: int = BUCKETS) -> Column:
     """Where a run stores a series, as a path that ``spark.read.parquet`` takes (``year=*`` for all years)."""
-    values = {"year": F.lit("*"), "run": _folder_name(F.lit(run)), "symbol_bucket": symbol_bucket(F.col("symbol"), buckets).cast("string")}
+    values = {"year": F.lit("*"), "run": folder_name(F.lit(run)), "symbol_bucket": symbol_bucket(F.col("symbol"), buckets).cast("string")}
     levels = [
-        F.concat(F.lit(f"{c}="), values[c] if c in values else _folder_name(F.col(c)))
+        F.concat(F.lit(f"{c}="), values[c] if c in values else folder_name(F.col(c)))
         for c in partition_columns(data_type, layout)
     ]
     return F.concat_ws("/", F.lit(table_path(root, data_type)), *levels)
@@ -139,16 +145,21 @@ def write_canonical(
         out = out.withColumn("year", F.year(ts))
     if "symbol_bucket" in folders:
         out = out.withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), buckets))
-    inside = [c for c in schemas.SERIES_KEYS[data_type] if c not in folders]
     out = out.hint("rebalance", *(c for c in folders if c != "run"))
     out = with_version(out, data_type, created_at, start, end).withColumn("run", F.lit(run))
+    _write_in_order(out, data_type, root, folders)
+
+
+def _write_in_order(out: DataFrame, data_type: str, root: str, folders: tuple[str, ...]) -> None:
+    """The rows as foldered zstd Parquet, in time order inside each file."""
     # The writer keeps this order only where it sees it start with the folder columns as they are. A constant among them
     # (the run, a feed's one timeframe) would drop out of the sort, and a nullable text be converted after it.
     for c in folders:
         if out.schema[c].dataType.typeName() == "string":
             out = out.withColumn(c, F.coalesce(F.when(F.monotonically_increasing_id() >= 0, F.col(c)), F.lit("")))
+    inside = [c for c in schemas.SERIES_KEYS[data_type] if c not in folders]
     (
-        out.sortWithinPartitions(*folders, *inside, ts)
+        out.sortWithinPartitions(*folders, *inside, schemas.TIME_COLUMN[data_type])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -171,26 +182,111 @@ def write_catalog(df: DataFrame, table: str, root: str, run: str) -> None:
     )
 
 
-def compact(spark: SparkSession, data_type: str, root: str, into: str, rows: DataFrame) -> None:
-    """Store ``rows`` (current rows with their hash and created_at, from any number of runs) as the one run ``into``.
+def run_changes_path(root: str) -> str:
+    return f"{root.rstrip('/')}/catalog/runs"
+
+
+def run_changes(spark: SparkSession, root: str, as_of: datetime | None = None) -> DataFrame | None:
+    """(data_type, commit, run, state, by, made_at) of the commits until ``as_of``; None where nothing was ever committed."""
+    schema = T.StructType(list(schemas.RUN_CHANGES.fields)).add("data_type", "string").add("commit", "string")
+    try:
+        changes = spark.read.schema(schema).parquet(run_changes_path(root))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return changes if as_of is None else changes.where(F.col("made_at") <= F.lit(as_of).cast("timestamp"))
+
+
+def in_force(changes: DataFrame, data_type: str) -> DataFrame:
+    """(run) of the runs that a table's changes leave. A run's name is used once, so a replaced one never comes back."""
+    own = changes.where(F.col("data_type") == data_type)
+    return own.groupBy("run").agg(F.bool_or(F.col("state") == "replaced").alias("gone")).where("not gone").select("run")
+
 
-    Readers of a compacted table read ``run=into`` and the runs after it; the old runs' folders can then be removed by the
-    store's own retention. Small files of many runs become files of about the advisory size.
+def commit_runs(
+    spark: SparkSession, data_type: str, root: str, commit: str, made_at: datetime, added: str, replaced: DataFrame | None = None
+) -> None:
+    """Make ``added`` part of a table, and ``replaced`` (run) no longer, at once: one file that is there or is not.
+
+    A commit is named, so that a retry replaces its own. Commits that only add never conflict; one process compacts a table.
     """
-    layout, buckets = stored_layout(spark, root, data_type) or ("symbol", BUCKETS)
-    folders, ts = partition_columns(data_type, layout), schemas.TIME_COLUMN[data_type]
-    out = rows.withColumn("run", F.lit(into))
-    if "year" in folders:
-        out = out.withColumn("year", F.year(ts))
-    if "symbol_bucket" in folders:
-        out = out.withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), buckets))
-    inside = [c for c in schemas.SERIES_KEYS[data_type] if c not in folders]
+    rows = spark.range(1).select(F.lit(added).alias("run"), F.lit("added").alias("state"))
+    rows = rows.withColumn("by", F.lit(None).cast("string"))
+    if replaced is not None:
+        gone = replaced.select("run", F.lit("replaced").alias("state"), F.lit(added).alias("by"))
+        rows = rows.unionByName(gone)
+    rows = rows.withColumns({"made_at": F.lit(made_at).cast("timestamp"), "data_type": F.lit(data_type), "commit": F.lit(commit)})
     (
-        out.hint("rebalance", *(c for c in folders if c != "run"))
-        .sortWithinPartitions(*folders, *inside, ts)
+        rows.coalesce(1)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .partitionBy(*folders)
-        .parquet(table_path(root, data_type))
+        .partitionBy("data_type", "commit")
+        .parquet(run_changes_path(root))
     )
+
+
+def write_compacted(rows: DataFrame, data_type: str, root: str, into: str) -> None:
+    """Store rows of any number of runs, with their hash and created_at, as the one run ``into``: files of about the advisory
+    size, in the order and folders of every other write."""
+    layout, buckets = stored_layout(rows.sparkSession, root, data_type) or ("symbol", BUCKETS)
+    folders = partition_columns(data_type, layout)
+    out = rows.withColumn("run", F.lit(into))
+    if "year" in folders:
+        out = out.withColumn("year", F.year(schemas.TIME_COLUMN[data_type]))
+    if "symbol_bucket" in folders:
+        out = out.withColumn("symbol_bucket", symbol_bucket(F.col("symbol"), buckets))
+    _write_in_order(out.hint("rebalance", *(c for c in folders if c != "run")), data_type, root, folders)
+
+
+def remove_run(spark: SparkSession, root: str, data_type: str, run: str) -> None:
+    """Delete the folder of one run of a table, through the store's own file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_path(root, data_type, run))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def moved(changes: DataFrame) -> DataFrame:
+    """(data_type, run, by): where the rows of replaced runs are now. ``compact`` names runs that were replaced before again,
+    so a chain of compactions is one step."""
+    gone = changes.where("state = 'replaced'").groupBy("data_type", "run")
+    return gone.agg(F.max_by("by", "made_at").alias("by"))
+
+
+def compact(
+    spark: SparkSession, data_type: str, root: str, into: str, rows: DataFrame | None = None, at: datetime | None = None
+) -> DataFrame:
+    """Write the runs in force as the one run ``into``, and swap them. Returns the replaced runs (run).
+
+    ``rows`` are the rows to keep, by default all versions in force; ``at`` (default: after the last commit) is the moment from which
+    readers take the new run. Which runs are folded is fixed before any row is read: a run that is committed meanwhile stays as
+    it is. Until the commit, readers see the old runs; after it the new one; the old folders are left to ``expire``.
+    """
+    changes = run_changes(spark, root)
+    if changes is None:
+        raise ValueError("nothing was committed to this table")
+    plan = f"{run_changes_path(root)}_plans/{data_type}/{into}"
+    in_force(changes, data_type).coalesce(1).write.mode("overwrite").parquet(plan)
+    folded = spark.read.schema("run string").parquet(plan)
+    if rows is None:
+        from marketlake.sources.lake import live_rows, read_canonical, read_catalog
+
+        stored = read_canonical(spark, root, data_type)
+        rows = live_rows(stored, read_catalog(spark, root, "registry"), read_catalog(spark, root, "tombstones"))
+    write_compacted(rows.join(folded, "run", "left_semi"), data_type, root, into)
+    # Runs that went into a folded one are now where that goes.
+    before = changes.where((F.col("data_type") == data_type) & (F.col("state") == "replaced")).select("run").distinct()
+    last = changes.agg(F.max("made_at") + F.expr("INTERVAL 1 MICROSECOND")).first()[0]
+    commit_runs(spark, data_type, root, into, at or last, into, folded.unionByName(before).distinct())
+    return folded
+
+
+def expire(spark: SparkSession, data_type: str, root: str, before: datetime) -> list[str]:
+    """Delete the folders of runs that were replaced at or before a moment; the table can then only be read as of later ones."""
+    changes = run_changes(spark, root, before)
+    if changes is None:
+        return []
+    gone = changes.where((F.col("data_type") == data_type) & (F.col("state") == "replaced")).select("run").distinct()
+    names = [r.run for r in gone.collect()]  # one name per removed folder
+    for run in names:
+        remove_run(spark, root, data_type, run)
+    return sorted(names)

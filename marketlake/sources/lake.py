@@ -1,16 +1,30 @@
-"""Reading the stored tables back."""
+"""Reading the stored tables back, now or as of an earlier moment, and keeping their runs in order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from marketlake import schemas
 from marketlake.operators.catalog import latest_version
 from marketlake.operators.resample import arrival_order
-from marketlake.sinks.store import BUCKETS, CATALOG_TABLES, partition_columns, run_of, run_path, stored_layout, symbol_bucket, table_path
+from marketlake.sinks.store import (
+    BUCKETS,
+    CATALOG_TABLES,
+    folder_name,
+    in_force,
+    moved,
+    partition_columns,
+    run_changes,
+    run_of,
+    run_path,
+    stored_layout,
+    symbol_bucket,
+    table_path,
+)
 
 
 def stored_schema(data_type: str, layout: str = "symbol") -> T.StructType:
@@ -23,6 +37,22 @@ def stored_schema(data_type: str, layout: str = "symbol") -> T.StructType:
     return schema
 
 
+def snapshots(spark: SparkSession, root: str, data_type: str) -> DataFrame:
+    """The moments as of which a table can be read: (made_at, commit, n_added, n_replaced)."""
+    changes = run_changes(spark, root)
+    if changes is None:
+        return schemas.empty(spark, schemas.struct(made_at="timestamp", commit="string", n_added="long", n_replaced="long"))
+    count = lambda state: F.count(F.when(F.col("state") == state, 1))
+    own = changes.where(F.col("data_type") == data_type).groupBy("made_at", "commit")
+    return own.agg(count("added").alias("n_added"), count("replaced").alias("n_replaced"))
+
+
+def runs_in_force(spark: SparkSession, root: str, data_type: str, as_of: datetime | None = None) -> DataFrame:
+    """(run) of the runs that make up a table, now or as of a moment."""
+    changes = run_changes(spark, root, as_of)
+    return schemas.empty(spark, schemas.struct(run="string")) if changes is None else in_force(changes, data_type)
+
+
 def read_canonical(
     spark: SparkSession,
     root: str,
@@ -31,11 +61,14 @@ def read_canonical(
     start: str | None = None,
     end: str | None = None,
     run: str | None = None,
+    as_of: datetime | None = None,
 ) -> DataFrame:
     """A stored table; symbols (or series), range and run select its folders.
 
-    The layout is the one the table was written with. The time filter itself stays with the range reads: here ``start`` and
-    ``end`` only prune years. With ``run``, nothing but that run's folder is listed; a run that stored nothing is empty.
+    Only runs in force are read, as of ``as_of`` where that is given: neither those that were replaced nor what a run that never
+    committed left behind. A table without any commit is read whole. The layout is the one the table was written with. The
+    time filter itself stays with the range reads: here ``start`` and ``end`` only prune years. With ``run``, nothing but
+    that run's folder is listed, committed or not; a run that stored nothing is empty.
     """
     layout, buckets = stored_layout(spark, root, data_type) or ("symbol", BUCKETS)
     reader = spark.read.schema(stored_schema(data_type, layout)).option("basePath", table_path(root, data_type))
@@ -45,6 +78,9 @@ def read_canonical(
         if run is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return schemas.empty(spark, stored_schema(data_type, layout))
+    changes = run_changes(spark, root, as_of) if run is None else None
+    if changes is not None:
+        df = df.join(in_force(changes, data_type), "run", "left_semi").select(*df.columns)
     folders = partition_columns(data_type, layout)
     key = "series" if data_type == "macro" else "symbol"
     if names is not None:
@@ -83,8 +119,12 @@ def current_rows(stored: DataFrame, registry: DataFrame, invalidated: DataFrame
     return ordered.groupBy(*keys).agg(*(F.max_by(c, "_age").alias(c) for c in values)).select(*names)
 
 
-def read_catalog(spark: SparkSession, root: str, table: str, run: str | None = None) -> DataFrame:
-    """``registry``, ``ingestion_log``, ``events`` or ``tombstones``; empty where nothing was written."""
+def read_catalog(spark: SparkSession, root: str, table: str, run: str | None = None, as_of: datetime | None = None) -> DataFrame:
+    """``registry``, ``ingestion_log``, ``events`` or ``tombstones``; empty where nothing was written.
+
+    The registry says where every version is now: a run that was folded into another is named by that one. ``as_of`` gives
+    the registry, and the places, of an earlier moment.
+    """
     schema = T.StructType(list(CATALOG_TABLES[table].fields)).add("run", "string")
     reader = spark.read.schema(schema).option("basePath", table_path(root, table))
     try:
@@ -93,7 +133,21 @@ def read_catalog(spark: SparkSession, root: str, table: str, run: str | None = N
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return schemas.empty(spark, CATALOG_TABLES[table])
-    return df.drop("run")
+    df = df.drop("run")
+    if table != "registry":
+        return df
+    if as_of is not None:
+        df = df.where(F.col("created_at") <= F.lit(as_of).cast("timestamp"))
+    changes = run_changes(spark, root, as_of)
+    return df if changes is None else relocated(df, changes)
+
+
+def relocated(registry: DataFrame, changes: DataFrame) -> DataFrame:
+    """Registry rows with the places their versions moved to."""
+    old, own = run_of(F.col("storage_uri")), moved(changes).withColumnRenamed("run", "_run")
+    rows = registry.withColumn("_run", old).join(own, ["data_type", "_run"], "left")
+    place = F.replace("storage_uri", F.concat(F.lit("/run="), folder_name(F.col("_run")), F.lit("/")), F.concat(F.lit("/run="), folder_name(F.col("by")), F.lit("/")))
+    return rows.withColumn("storage_uri", F.when(F.col("by").isNull(), F.col("storage_uri")).otherwise(place)).select(*registry.columns)
 
 
 def _place(path: Column) -> Column:

@@ -15,7 +15,8 @@ from marketlake.operators.calendar import weekday_calendar
 from marketlake.operators.normalize import normalize_bars
 from marketlake.operators.reads import get_bars, get_macro, get_news, latest_fundamentals
 from marketlake.plans.ingest import Request, ingest
-from marketlake.sinks.store import compact, write_canonical
+from marketlake.sinks import store
+from marketlake.sinks.store import compact, expire, run_path, write_canonical
 from marketlake.sources import feeds, lake, providers
 from tests import samples
 
@@ -348,3 +349,92 @@ class TestProviders:
             providers.provider_for("ohlcv", "nobody")
         with pytest.raises(ValueError):
             providers.provider_for("weather")
+
+
+class TestRuns:
+    """Which runs make up a table: commits, compaction, reading as of a moment, expiry."""
+
+    DAYS = (("r1", 3, 0, "2024-01-15"), ("r2", 5, 1, "2024-01-31"), ("r3", 1, 3, "2024-01-20"))
+
+    def ingest(self, spark, folder, runs):
+        calendar = weekday_calendar(spark, "2024-01-01", "2024-01-31")
+        for run, n, days, end in runs:
+            raw = feed(spark, n).withColumn("Volume", F.lit(str(n)))
+            ingest(raw, Request("ohlcv", folder, run, NOW + timedelta(days=days), "2024-01-01", end), calendar)
+
+    def rows(self, spark, folder, as_of=None):
+        registry = lake.read_catalog(spark, folder, "registry", as_of=as_of)
+        rows = lake.current_rows(lake.read_canonical(spark, folder, "ohlcv", as_of=as_of), registry)
+        return sorted((r.symbol, r.timestamp, r.volume) for r in rows.collect())
+
+    def test_compaction_swaps_runs_and_keeps_earlier_moments(self, spark, folder):
+        self.ingest(spark, folder, self.DAYS[:2])
+        before = self.rows(spark, folder)
+        folded = compact(spark, "ohlcv", folder, "c1", at=NOW + timedelta(days=2))
+        assert sorted(r.run for r in folded.collect()) == ["r1", "r2"]
+        assert [r.run for r in lake.runs_in_force(spark, folder, "ohlcv").collect()] == ["c1"]
+        assert self.rows(spark, folder) == before
+        self.ingest(spark, folder, self.DAYS[2:])
+        after = self.rows(spark, folder)
+        assert [v for *_, v in after] == [1.0, 5.0, 5.0, 5.0, 5.0] * 2
+        assert sorted(r.run for r in lake.runs_in_force(spark, folder, "ohlcv").collect()) == ["c1", "r3"]
+        assert self.rows(spark, folder, NOW + timedelta(days=1)) == before
+        assert {v for *_, v in self.rows(spark, folder, NOW)} == {3.0}
+        assert expire(spark, "ohlcv", folder, NOW + timedelta(days=1)) == []
+        assert expire(spark, "ohlcv", folder, NOW + timedelta(days=2)) == ["r1", "r2"]
+        assert self.rows(spark, folder) == after and not os.path.exists(run_path(folder, "ohlcv", "r1"))
+        lost, unknown = lake.reconcile(lake.read_catalog(spark, folder, "registry"), lake.stored_files(spark, folder, "ohlcv"))
+        assert lost.count() == unknown.count() == 0
+        told = {r.commit: (r.n_added, r.n_replaced) for r in lake.snapshots(spark, folder, "ohlcv").collect()}
+        assert told == {"r1": (1, 0), "r2": (1, 0), "c1": (1, 2), "r3": (1, 0)}
+
+    def test_a_chain_of_compactions(self, spark, folder):
+        self.ingest(spark, folder, self.DAYS[:1])
+        compact(spark, "ohlcv", folder, "c=1")
+        self.ingest(spark, folder, self.DAYS[1:2])
+        compact(spark, "ohlcv", folder, "c 2", at=NOW + timedelta(days=2))
+        rows = self.rows(spark, folder)
+        assert len(rows) == 10 and {v for *_, v in rows} == {5.0}
+        assert {r.storage_uri.split("/run=")[1].split("/")[0] for r in lake.read_catalog(spark, folder, "registry").collect()} == {"c 2"}
+        assert expire(spark, "ohlcv", folder, NOW + timedelta(days=2)) == ["c=1", "r1", "r2"]
+        assert self.rows(spark, folder) == rows
+
+    def test_a_run_that_never_committed_is_not_read(self, spark, folder):
+        self.ingest(spark, folder, self.DAYS[:1])
+        write_canonical(samples.bars(spark, 5), "ohlcv", folder, "broken", F.lit(NOW))
+        assert {r.run for r in lake.read_canonical(spark, folder, "ohlcv").select("run").distinct().collect()} == {"r1"}
+        # A retry of a run replaces its own commit.
+        self.ingest(spark, folder, self.DAYS[:1])
+        assert lake.snapshots(spark, folder, "ohlcv").count() == 1
+
+    def test_a_run_committed_meanwhile_stays(self, spark, folder, monkeypatch):
+        self.ingest(spark, folder, self.DAYS[:1])
+        write = store.write_compacted
+
+        def slow(*args):
+            self.ingest(spark, folder, self.DAYS[1:2])
+            write(*args)
+
+        monkeypatch.setattr(store, "write_compacted", slow)
+        compact(spark, "ohlcv", folder, "c1", at=NOW + timedelta(days=2))
+        assert sorted(r.run for r in lake.runs_in_force(spark, folder, "ohlcv").collect()) == ["c1", "r2"]
+        assert {v for *_, v in self.rows(spark, folder)} == {5.0} and len(self.rows(spark, folder)) == 10
+
+    def test_compacted_files_are_in_order_and_few(self, spark, folder):
+        self.ingest(spark, folder, self.DAYS[:2])
+        compact(spark, "ohlcv", folder, "c1")
+        files = lake.stored_files(spark, folder, "ohlcv").where("path LIKE '%run=c1%'")
+        assert files.count() == 2  # one per symbol
+        for f in files.collect():
+            at = [r.timestamp for r in spark.read.parquet(f.path).collect()]
+            assert at == sorted(at)
+        with pytest.raises(ValueError, match="nothing was committed"):
+            compact(spark, "news", f"{folder}/none", "c1")
+
+    def test_tombstoned_versions_are_not_kept(self, spark, folder):
+        self.ingest(spark, folder, self.DAYS[:1])
+        registry = lake.read_catalog(spark, folder, "registry")
+        gone = catalog.invalidate(registry, F.lit(NOW + timedelta(hours=1)), symbol="AAPL")
+        store.write_catalog(gone, "tombstones", folder, "t1")
+        compact(spark, "ohlcv", folder, "c1")
+        assert {r.symbol for r in lake.read_canonical(spark, folder, "ohlcv").collect()} == {"MSFT"}
