@@ -242,10 +242,12 @@ def ingestion_log(
     started_at: Column,
     completed_at: Column,
     failures: DataFrame | None = None,
+    rejects: DataFrame | None = None,
 ) -> DataFrame:
     """One log row per series: success where a dataset was registered, failed where rows came in vain.
 
-    ``raw_counts`` is (series…, rows_fetched); ``failures`` is (series…, error) for feeds that raised.
+    ``raw_counts`` is (series…, rows_fetched); ``failures`` is (series…, error) for feeds that raised; ``rejects`` is (series…,
+    reason) of records that could not be read: they are the error of a series that has nothing else, and an issue of others.
     """
     keys = list(schemas.SERIES_KEYS[data_type])
     done = registered.select(
@@ -256,6 +258,15 @@ def ingestion_log(
         log = log.join(failures.select(*keys, "error"), keys, "full_outer")
     else:
         log = log.withColumn("error", F.lit(None).cast("string"))
+    if rejects is not None:
+        counted = rejects.groupBy(*keys, "reason").agg(F.count("*").alias("n"))
+        said = F.array_sort(F.collect_list(F.concat(F.lit("rejected: "), F.col("n").cast("string"), F.lit(" x "), F.col("reason"))))
+        # As many texts as there are reasons.
+        log = log.join(counted.groupBy(*keys).agg(said.alias("_rejected")), keys, "full_outer")
+        issues = F.concat(F.coalesce("issues", F.array().cast("array<string>")), F.coalesce("_rejected", F.array().cast("array<string>")))
+        alone = F.when(F.col("hash").isNull() & F.col("rows_fetched").isNull(), F.array_join("_rejected", "; "))
+        log = log.withColumns({"issues": F.when(F.size(issues) > 0, issues), "error": F.coalesce("error", alone)})
+        log = log.withColumn("rows_fetched", F.coalesce("rows_fetched", F.lit(0)))
     ok = F.col("hash").isNotNull() & F.col("error").isNull()
     log = log.withColumns(
         {

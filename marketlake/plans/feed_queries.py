@@ -16,6 +16,7 @@ from marketlake.plans.lake_queries import run_stream
 from marketlake.plans.oracle_views import over
 from marketlake.session import shared_folder
 from marketlake.sinks.store import write_canonical, write_catalog
+from marketlake.sources import feeds
 from marketlake.sources.feeds import read_raw_bars
 from marketlake.sources.lake import read_canonical
 from marketlake.streaming import alerts, bars as bar_streams, events as event_streams
@@ -69,6 +70,30 @@ def stored_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("n_out_of_order"))
 
 
+def malformed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every record of four feeds with broken responses, items, snapshots and lines: per feed, symbol and reason their
+    number; no reason: they gave a row."""
+    news, fundamentals = views.broken_news_responses(spark, sf_dir), views.broken_fundamentals(spark, sf_dir)
+    rss = feeds.rss_records(views.broken_rss_feeds(spark, sf_dir).select("symbol", "body"))
+    path, columns = f"{shared_folder(spark)}/lines", [F.coalesce(f.name, F.lit("")).cast("string") for f in feeds.RAW_BARS]
+    cut = F.when(F.expr("seq % 113 = 0"), F.concat_ws(",", *columns[:2])).otherwise(F.concat_ws(",", *columns))
+    views.raw_bars(spark, sf_dir).select(cut).write.text(path)
+    lines, bad_lines = feeds.split_malformed(feeds.read_raw_bars(spark, path, keep_malformed=True, header="false"))
+    bad_snapshots = feeds.rejected_fundamentals(fundamentals)
+    read = {
+        "news": (feeds.parse_news_json(news), feeds.rejected_news(news)),
+        "rss": (feeds.parse_rss_items(feeds.read_rss_items(rss)), feeds.rejected_rss(rss)),
+        "fundamentals": (feeds.parse_fundamentals_json(fundamentals, views.as_of()).where("coalesce(market_cap, eps) is not null"), bad_snapshots),
+        "bars": (lines, bad_lines),
+    }
+    out = None
+    for feed, (kept, rejected) in read.items():
+        both = kept.select("symbol", F.lit("").alias("reason")).unionByName(rejected.select("symbol", "reason"))
+        told = both.groupBy(F.lit(feed).alias("feed"), F.coalesce("symbol", F.lit("")).alias("symbol"), "reason").agg(F.count("*").alias("n"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = views.ticks(spark, sf_dir, "user_id").withColumn("provider", F.lit("yahoo"))
     return symbol_universe(bars, views.raw_news(spark, sf_dir))
@@ -156,6 +181,7 @@ QUERIES = {
     "nan_prices": nan_prices,
     "absent_columns": absent_columns,
     "stored_order": stored_order,
+    "malformed_feeds": malformed_feeds,
     "provider_symbols": provider_symbols,
     "provider_symbol_lists": provider_symbol_lists,
     "stream_bars_in_files": stream_bars_in_files,
@@ -182,6 +208,20 @@ def _oracles() -> dict[str, str]:
             SELECT 'news without source and url' AS feed, symbol, count(*) AS n, 0::BIGINT AS n_source FROM news GROUP BY symbol
             UNION ALL SELECT f, '', 0::BIGINT, 0::BIGINT FROM (VALUES ('bars without Close'), ('bars without a time'), ('news without headline')) t(f)"""),
         "stored_order": over(["canonical_bars"], "SELECT symbol, count(*) AS n, 0::BIGINT AS n_out_of_order FROM canonical_bars GROUP BY symbol"),
+        "malformed_feeds": """
+            WITH news AS (
+                SELECT upper(lang) AS symbol, doc_id // 100 AS page, doc_id FROM documents
+            ), pages AS (
+                SELECT DISTINCT symbol, CASE page % 5 WHEN 1 THEN 'malformed JSON' WHEN 2 THEN 'no articles' WHEN 3 THEN 'no body' END AS reason, page FROM news
+            ), told AS (
+                SELECT 'news' AS feed, symbol, reason FROM pages WHERE reason IS NOT NULL
+                UNION ALL SELECT 'news', symbol, CASE WHEN doc_id % 11 = 0 THEN 'no usable time' ELSE '' END FROM news WHERE page % 5 IN (0, 4)
+                UNION ALL SELECT 'rss', symbol, CASE WHEN doc_id % 7 = 1 THEN 'malformed XML' WHEN doc_id % 11 = 0 THEN 'no usable time' ELSE '' END FROM news
+                UNION ALL SELECT 'fundamentals', c_name, CASE WHEN o_orderkey % 11 = 0 THEN 'malformed JSON' WHEN o_orderkey % 13 = 0 THEN 'no body' ELSE '' END
+                FROM orders JOIN customer ON o_custkey = c_custkey
+                UNION ALL SELECT 'bars', CASE WHEN event_id % 113 = 0 THEN '' ELSE 'S' || (user_id % 20) END, CASE WHEN event_id % 113 = 0 THEN 'malformed line' ELSE '' END
+                FROM events)
+            SELECT feed, symbol, reason, count(*) AS n FROM told GROUP BY ALL""",
         "provider_symbols": "SELECT DISTINCT upper(lang) AS symbol FROM documents WHERE lang IS NOT NULL",
         "provider_symbol_lists": """
             SELECT provider, count(*) AS n, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM (

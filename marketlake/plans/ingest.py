@@ -55,14 +55,17 @@ def quality_of(stored: DataFrame, data_type: str, now: Column, calendar: DataFra
     return None
 
 
-def ingest(raw: DataFrame, request: Request, calendar: DataFrame | None = None) -> DataFrame:
+def ingest(raw: DataFrame, request: Request, calendar: DataFrame | None = None, rejects: DataFrame | None = None) -> DataFrame:
     """Run one request and return its registry rows, as stored. A run that fails is logged, then raised.
 
+    ``rejects`` are the feed's records that could not be read, as the ``rejected_…`` twins of the parsers give them, with the
+    series they belong to: they are stored with their reasons, and the log names them.
+
     The raw rows are landed first, as the run's raw zone: a paid or rate-limited feed is read once, whatever is retried. The
     canonical rows are written from there, and checks read the stored run: a lost executor costs a scan, not the run.
     """
     try:
-        return _ingest(raw, request, calendar)
+        return _ingest(raw, request, calendar, rejects)
     except Exception as error:
         _record_failure(raw.sparkSession, request, str(error))
         raise
@@ -76,7 +79,7 @@ def land(raw: DataFrame, r: Request) -> DataFrame:
     return raw.sparkSession.read.schema(raw.schema).parquet(path)
 
 
-def _ingest(raw: DataFrame, request: Request, calendar: DataFrame | None) -> DataFrame:
+def _ingest(raw: DataFrame, request: Request, calendar: DataFrame | None, rejects: DataFrame | None) -> DataFrame:
     r, spark, now = request, raw.sparkSession, F.lit(request.now)
     keys = schemas.SERIES_KEYS[r.data_type]
     raw = land(raw, r)
@@ -95,7 +98,13 @@ def _ingest(raw: DataFrame, request: Request, calendar: DataFrame | None) -> Dat
     registered = read_catalog(spark, r.root, "registry", part)
     upper = [F.upper(k).alias(k) if k in ("series", "symbol") else F.col(k) for k in keys]
     fetched = raw.groupBy(*upper).agg(F.count("*").alias("rows_fetched"))
-    log = ingestion_log(r.data_type, fetched, registered, now, now)
+    if rejects is not None:
+        known = {"data_type": F.lit(r.data_type), "rejected_at": now}
+        absent = [c for c in ("provider", "symbol", "series") if c not in rejects.columns]
+        full = rejects.withColumns(known | {c: F.lit(None).cast("string") for c in absent})
+        write_catalog(full.withColumns({c: F.upper(c) for c in ("symbol", "series")}), "rejects", r.root, part)
+        rejects = read_catalog(spark, r.root, "rejects", part)
+    log = ingestion_log(r.data_type, fetched, registered, now, now, rejects=rejects)
     write_catalog(log, "ingestion_log", r.root, part)
 
     log = read_catalog(spark, r.root, "ingestion_log", part)

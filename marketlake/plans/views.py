@@ -156,6 +156,28 @@ def news_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged.groupBy("symbol", "page").agg(body.alias("body"))
 
 
+def broken_news_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The news responses, of every five pages one cut off, one an error message and one without a body."""
+    broken = F.when(F.expr("page % 5 = 1"), F.expr("left(body, length(body) div 2)")).when(F.expr("page % 5 = 2"), '{"status": "error"}')
+    body = broken.when(F.expr("page % 5 = 3"), None).otherwise(F.col("body"))
+    return news_responses(spark, sf_dir).select("symbol", "page", body.alias("body"))
+
+
+def broken_rss_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS responses of at most 100 items each, of which some lack their end or have no usable date."""
+    cut = F.when(F.expr("id % 7 = 1"), F.replace("xml", F.lit("</item>"), F.lit(""))).when(F.expr("id % 11 = 0"), F.regexp_replace("xml", "<pubDate>.*</pubDate>", "<pubDate>soon</pubDate>"))
+    items = rss_items(spark, sf_dir).withColumn("id", F.regexp_extract("xml", "news.example/([0-9]+)</link>", 1).cast("long"))
+    items = items.select("symbol", F.expr("id div 100").alias("page"), cut.otherwise(F.col("xml")).alias("xml"))
+    body = F.concat(F.lit("<rss><channel><title>news</title>"), F.array_join(F.collect_list("xml"), "\n"), F.lit("</channel></rss>"))
+    return items.groupBy("symbol", "page").agg(body.alias("body"))
+
+
+def broken_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fundamentals' responses, some cut off, some without a body."""
+    body = F.when(F.expr("seq % 11 = 0"), F.left("body", F.lit(5))).when(F.expr("seq % 13 = 0"), None).otherwise(F.col("body"))
+    return raw_fundamentals(spark, sf_dir).withColumn("body", body)
+
+
 def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One RSS item of XML per document."""
     escaped = F.col("text")

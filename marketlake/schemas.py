@@ -43,6 +43,11 @@ INGESTION_LOG = struct(
 )
 EVENTS = struct(event="string", payload="string", published_at="timestamp")
 
+#: Records of a feed that could not be taken in, and why.
+REJECTS = struct(
+    data_type="string", provider="string", symbol="string", series="string", record="string", reason="string", rejected_at="timestamp"
+)
+
 #: One row per run that a commit added to a table, or replaced by another.
 RUN_CHANGES = struct(run="string", state="string", by="string", made_at="timestamp")
 

@@ -23,6 +23,7 @@ CATALOG_TABLES = {
     "ingestion_log": schemas.INGESTION_LOG,
     "events": schemas.EVENTS,
     "tombstones": schemas.TOMBSTONES,
+    "rejects": schemas.REJECTS,
 }
 
 #: Symbol buckets of the "bucket" layout.

@@ -1,4 +1,8 @@
-"""Raw feeds: bars, news (JSON and RSS), fundamentals and macro series, for all symbols at once."""
+"""Raw feeds: bars, news (JSON and RSS), fundamentals and macro series, for all symbols at once.
+
+Whatever a parser leaves out, its ``rejected_…`` twin returns as (keys…, record, reason), for the rejects of an ingestion run: every
+response is accounted for by rows, by rejects, or by both.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,9 @@ RAW_BARS = schemas.struct(
 RAW_MACRO = schemas.struct(series_id="string", date="string", value="string")
 RSS_ITEM = schemas.struct(title="string", link="string", pubDate="string")
 
+#: Where Spark's readers leave a record that they can't read; the parsers here name the reason.
+CORRUPT = "_corrupt_record"
+
 NEWS_RESPONSE = "articles ARRAY<STRUCT<title STRING, publishedAt STRING, source STRUCT<name STRING>, url STRING>>"
 
 # Fixed value: the source name of articles that come by RSS.
@@ -48,28 +55,59 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType, **opti
 
 
 def read_raw_bars(
-    spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = RAW_BARS, **options: str
+    spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = RAW_BARS, keep_malformed: bool = False, **options: str
 ) -> DataFrame:
-    """Bars as delivered, from CSV, JSON or Parquet files."""
+    """Bars as delivered, from CSV, JSON or Parquet files. ``keep_malformed`` adds the text of lines that have not the feed's
+    columns, for ``split_malformed``; else such lines come as far as they can be read."""
+    if keep_malformed and fmt in ("csv", "json"):
+        schema = T.StructType(schema.fields).add(CORRUPT, "string")
+        # Whatever a query reads, lines are judged on all of their columns.
+        options = {"columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"} | options
     return _read(spark, path, fmt, schema, **options)
 
 
+def split_malformed(raw: DataFrame, keys: Sequence[str] = ("symbol",)) -> tuple[DataFrame, DataFrame]:
+    """(records that could be read, the others as (keys…, record, reason)) of a feed read with ``keep_malformed``."""
+    if CORRUPT not in raw.columns:
+        return raw, raw.limit(0).select(*keys, F.lit("").alias("record"), F.lit("").alias("reason"))
+    good = F.col(CORRUPT).isNull()
+    rejected = raw.where(~good).select(*keys, F.col(CORRUPT).alias("record"), F.lit("malformed line").alias("reason"))
+    return raw.where(good).drop(CORRUPT), rejected
+
+
 def read_raw_macro(spark: SparkSession, path: str, fmt: str = "csv", **options: str) -> DataFrame:
     """Macro points as delivered: ``series_id, date, value``."""
     return _read(spark, path, fmt, RAW_MACRO, **options)
 
 
+def _carried(df: DataFrame, names: Sequence[str] = ("symbol", "provider")) -> list[str]:
+    """Which of the columns that name a record's series the feed has."""
+    return [c for c in names if c in df.columns]
+
+
+def _absent(body: str) -> Column:
+    return F.col(body).isNull() | (F.trim(F.col(body)) == "")
+
+
+def _read_responses(responses: DataFrame, body: str, language: str | None) -> DataFrame:
+    """Responses with their ``articles`` and, where these could not be read, or not in full, the ``reason``."""
+    if language is not None and "language" in responses.columns:
+        responses = responses.where(F.col("language") == language)
+    parsed = F.from_json(body, f"{NEWS_RESPONSE}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT})
+    read = responses.withColumn("parsed", parsed)
+    broken, none = F.col("parsed")[CORRUPT].isNotNull(), F.col("parsed.articles").isNull()
+    reason = F.when(_absent(body), "no body").when(none & broken, "malformed JSON").when(none, "no articles")
+    reason = reason.when(broken, "malformed in part")
+    return read.withColumns({"articles": F.col("parsed.articles"), "reason": reason})
+
+
 def parse_news_json(responses: DataFrame, body: str = "body", language: str | None = "en") -> DataFrame:
     """Articles from JSON responses (``symbol, body`` and maybe ``language``): all of every response.
 
     Articles without a usable time are skipped, a null title becomes empty. A response is one page of
-    upstream already, so nothing is cut here.
+    upstream already, so nothing is cut here. What is left out, ``rejected_news`` has.
     """
-    if language is not None and "language" in responses.columns:
-        responses = responses.where(F.col("language") == language)
-    return responses.select(
-        "symbol", F.explode(F.from_json(body, NEWS_RESPONSE)["articles"]).alias("a")
-    ).select(
+    return _read_responses(responses, body, language).select("symbol", F.explode("articles").alias("a")).select(
         F.coalesce("a.title", F.lit("")).alias("headline"),
         iso_z_timestamp(F.col("a.publishedAt")).alias("published_at"),
         F.col("a.source.name").alias("source"),
@@ -78,16 +116,61 @@ def parse_news_json(responses: DataFrame, body: str = "body", language: str | No
     ).where(F.col("published_at").isNotNull())
 
 
+def rejected_news(responses: DataFrame, body: str = "body", language: str | None = "en") -> DataFrame:
+    """(symbol, …, record, reason) of whole responses that have no articles, of those read in part, and of single articles
+    without a usable time. Row by row, one pass."""
+    read = _read_responses(responses, body, language)
+    kind = "array<struct<record: string, reason: string>>"
+    whole = F.when(F.col("reason").isNotNull(), F.array(F.struct(F.col(body).alias("record"), "reason")))
+    undated = F.filter("articles", lambda a: iso_z_timestamp(a.publishedAt).isNull())
+    single = F.transform(undated, lambda a: F.struct(F.to_json(a).alias("record"), F.lit("no usable time").alias("reason")))
+    found = F.concat(*(F.coalesce(x.cast(kind), F.array().cast(kind)) for x in (whole, single)))
+    return read.select(*_carried(responses), F.inline(found))
+
+
 def read_news_rss(spark: SparkSession, path: str, symbol: str | None = r"([^/]+)\.xml$") -> DataFrame:
     """RSS files of many symbols, one row per item, with the file it is from.
 
-    ``symbol`` is the pattern whose first group takes the symbol out of the file's path (default: the file's name).
+    ``symbol`` is the pattern whose first group takes the symbol out of the file's path (default: the file's name). The reader gives up
+    on a file at its first broken item; ``read_rss_records`` does not.
     """
     items = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
     items = items.withColumn("path", F.col("_metadata.file_path"))
     return items if symbol is None else items.withColumn("symbol", F.upper(F.url_decode(F.regexp_extract("path", symbol, 1))))
 
 
+def rss_records(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Every item of RSS responses as a text (``xml``) of its own, with the other columns of its response: a broken item takes no
+    other along. An item goes from where it starts to its end, or to the next start where it has none. A response without
+    any item is one row without an ``xml``."""
+    rest = [c for c in responses.columns if c != body]
+    parts = F.split(body, r"(?i)(?=<item[\s>/])")
+    cut = responses.select(*rest, F.size(parts).alias("_n"), F.posexplode(parts).alias("_at", "_part")).where("_at > 0 OR _n = 1")
+    ended = F.regexp_replace("_part", r"(?is)^(<item(?:\s[^>]*)?(?:/>|>.*?</item\s*>)).*$", "$1")
+    return cut.select(*rest, F.when(F.col("_part").rlike(r"(?i)^<item[\s>/]"), ended).alias("xml"))
+
+
+def read_rss_records(spark: SparkSession, path: str, symbol: str = r"([^/]+)\.xml$") -> DataFrame:
+    """(path, symbol, xml) of every item of RSS files, as ``rss_records`` has them. A file, which is one response, must fit a task."""
+    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    return rss_records(files.withColumn("symbol", F.upper(F.url_decode(F.regexp_extract("path", symbol, 1)))))
+
+
+def read_rss_items(records: DataFrame, xml: str = "xml") -> DataFrame:
+    """Items (title, link, pubDate) of their texts, and the ``reason`` why one gives no article, if so."""
+    fields = ", ".join(f"{f.name} STRING" for f in RSS_ITEM)
+    item = F.from_xml(xml, f"{fields}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT})
+    read = records.withColumn("item", item)
+    reason = F.when(_absent(xml), "no items").when(F.col("item")[CORRUPT].isNotNull(), "malformed XML")
+    reason = reason.when(rfc2822_timestamp(F.col("item.pubDate")).isNull(), "no usable time")
+    return read.select(*records.columns, *(F.col(f"item.{f.name}").alias(f.name) for f in RSS_ITEM), reason.alias("reason"))
+
+
+def rejected_rss(records: DataFrame, xml: str = "xml") -> DataFrame:
+    """(symbol, …, record, reason) of items that give no article."""
+    return read_rss_items(records, xml).where(F.col("reason").isNotNull()).select(*_carried(records), F.col(xml).alias("record"), "reason")
+
+
 def parse_rss_items(items: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Articles from RSS items (``title, link, pubDate`` and ``symbol``) of ``start`` to the end of ``end``.
 
@@ -125,6 +208,13 @@ def parse_fundamentals_json(responses: DataFrame, now: Column, body: str = "body
     )
 
 
+def rejected_fundamentals(responses: DataFrame, body: str = "body") -> DataFrame:
+    """(symbol, …, record, reason) of responses that are no JSON object: ``parse_fundamentals_json`` knows only their symbol."""
+    info = F.from_json(body, "MAP<STRING, STRING>")
+    reason = F.when(_absent(body), "no body").when(info.isNull(), "malformed JSON")
+    return responses.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*_carried(responses), F.col(body).alias("record"), "reason")
+
+
 def series_dimension(spark: SparkSession, ids: Mapping[str, str] = MACRO_SERIES_IDS) -> DataFrame:
     return spark.createDataFrame(list(ids.items()), "series STRING, series_id STRING")
 

@@ -438,3 +438,70 @@ class TestRuns:
         store.write_catalog(gone, "tombstones", folder, "t1")
         compact(spark, "ohlcv", folder, "c1")
         assert {r.symbol for r in lake.read_canonical(spark, folder, "ohlcv").collect()} == {"MSFT"}
+
+
+class TestMalformed:
+    """Records that could not be read leave a trace."""
+
+    BODIES = {
+        "A": '{"articles": [{"title": "t", "publishedAt": "2024-01-02T10:00:00Z"}, {"title": "u", "publishedAt": "soon"}]}',
+        "B": '{"articles": [{"title": "t", "publi', "C": '{"status": "error"}', "D": None, "E": " ", "F": "[1]", "G": '{"articles": []}',
+        "H": '{"articles": [{"title": "t", "source": "text", "publishedAt": "2024-01-02T10:00:00Z"}]}',
+    }
+
+    def test_every_response_is_accounted_for(self, spark):
+        df = spark.createDataFrame(list(self.BODIES.items()), "symbol STRING, body STRING")
+        assert sorted(r.symbol for r in feeds.parse_news_json(df).collect()) == ["A", "H"]
+        got = {(r.symbol, r.reason): r.record for r in feeds.rejected_news(df).collect()}
+        assert set(got) == {
+            ("A", "no usable time"), ("B", "malformed JSON"), ("C", "no articles"), ("D", "no body"), ("E", "no body"),
+            ("F", "malformed JSON"), ("H", "malformed in part"),
+        }
+        assert got["B", "malformed JSON"] == self.BODIES["B"] and json.loads(got["A", "no usable time"])["title"] == "u"
+        assert feeds.rejected_news(df.limit(0)).count() == 0
+
+    def test_rss_files(self, spark, folder):
+        items = ["<item><title>a</title><pubDate>Tue, 02 Jan 2024 00:00:00 GMT</pubDate></item>", "<item><title>b</tit></item>", "<item><title>c</title>",
+                 "<item a='1'><title>d &amp; e</title><pubDate>Wed, 03 Jan 2024 00:00:00 GMT</pubDate></item>", "<item/>", "<item><title>f & g</title></item>"]
+        for name, body in (("aapl", "<rss><channel>" + "\n".join(items) + "</channel></rss>"), ("none", "<html>sorry</html>"), ("cut", "<rss><item><title>x")):
+            with open(f"{folder}/{name}.xml", "w") as f:
+                f.write(body)
+        records = feeds.read_rss_records(spark, f"{folder}/*.xml")
+        articles = feeds.parse_rss_items(feeds.read_rss_items(records))
+        assert sorted((r.symbol, r.headline) for r in articles.collect()) == [("AAPL", "a"), ("AAPL", "d & e")]
+        got = sorted((r.symbol, r.reason, (r.record or "").strip()) for r in feeds.rejected_rss(records).collect())
+        assert got == sorted([
+            ("AAPL", "malformed XML", items[1]), ("AAPL", "malformed XML", items[2]), ("AAPL", "no usable time", items[4]),
+            ("AAPL", "malformed XML", items[5]), ("NONE", "no items", ""), ("CUT", "malformed XML", "<item><title>x"),
+        ])
+
+    def test_fundamentals(self, spark):
+        df = spark.createDataFrame([("A", '{"marketCap": 1}'), ("B", '{"mark'), ("C", None), ("D", "[]")], "symbol STRING, body STRING")
+        got = {(r.symbol, r.reason) for r in feeds.rejected_fundamentals(df).collect()}
+        assert got == {("B", "malformed JSON"), ("C", "no body"), ("D", "malformed JSON")}
+
+    @pytest.mark.parametrize("fmt", ["csv", "json"])
+    def test_lines_of_bars(self, spark, folder, fmt):
+        rows = feed(spark).select([F.col(f.name).cast(f.dataType) for f in feeds.RAW_BARS])
+        rows.coalesce(1).write.format(fmt).options(header="true").save(f"{folder}/raw")
+        with open(f"{folder}/raw/part-more.{fmt}", "w") as f:
+            f.write((",".join(feeds.RAW_BARS.fieldNames()) + "\n2024-01-02,1\n") if fmt == "csv" else '{"Date": "2024-01-02", \n')
+        good, bad = feeds.split_malformed(feeds.read_raw_bars(spark, f"{folder}/raw", fmt, keep_malformed=True))
+        assert good.columns == rows.columns and good.exceptAll(rows).count() == 0 and good.count() == 10
+        assert [(r.symbol, r.reason) for r in bad.collect()] == [(None, "malformed line")] and "2024-01-02" in bad.first().record
+        assert good.select("symbol").count() == 10 and bad.select("reason").count() == 1  # whatever columns are read
+        none, nothing = feeds.split_malformed(rows)
+        assert none.count() == 10 and nothing.count() == 0
+
+    def test_an_ingestion_run_keeps_and_logs_them(self, spark, folder):
+        named = spark.createDataFrame([(k, b, "news") for k, b in self.BODIES.items()], "symbol STRING, body STRING, provider STRING")
+        raw = feeds.parse_news_json(named).withColumn("provider", F.lit("news"))
+        ingest(raw, Request("news", folder, "r1", NOW), rejects=feeds.rejected_news(named))
+        kept = lake.read_catalog(spark, folder, "rejects")
+        assert kept.count() == 7 and {(r.data_type, r.rejected_at) for r in kept.collect()} == {("news", NOW)}
+        log = {r.symbol: r for r in lake.read_catalog(spark, folder, "ingestion_log").collect()}
+        assert log["A"].status == "success" and log["A"].issues == ["rejected: 1 x no usable time"]
+        assert (log["B"].status, log["B"].error, log["B"].rows_fetched) == ("failed", "rejected: 1 x malformed JSON", 0)
+        assert set(log) == set("ABCDEFH")
+        told = {json.loads(r.payload)["symbol"] for r in lake.read_catalog(spark, folder, "events").where("event = 'IngestionFailed'").collect()}
+        assert told == set("BCDEF")
