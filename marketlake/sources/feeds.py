@@ -71,7 +71,9 @@ def split_malformed(raw: DataFrame, keys: Sequence[str] = ("symbol",)) -> tuple[
     if CORRUPT not in raw.columns:
         return raw, raw.limit(0).select(*keys, F.lit("").alias("record"), F.lit("").alias("reason"))
     good = F.col(CORRUPT).isNull()
-    rejected = raw.where(~good).select(*keys, F.col(CORRUPT).alias("record"), F.lit("malformed line").alias("reason"))
+    # The readers refuse a query on nothing but the corrupt column: this condition, always true, reads another one.
+    other = F.length(F.coalesce(F.col(next(c for c in raw.columns if c != CORRUPT)).cast("string"), F.lit(""))) >= 0
+    rejected = raw.where(~good & other).select(*keys, F.col(CORRUPT).alias("record"), F.lit("malformed line").alias("reason"))
     return raw.where(good).drop(CORRUPT), rejected
 
 
