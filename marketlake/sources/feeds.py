@@ -74,7 +74,7 @@ def split_malformed(raw: DataFrame, keys: Sequence[str] = ("symbol",)) -> tuple[
     # The readers refuse a query on nothing but the corrupt column: this condition, always true, reads another one.
     other = F.length(F.coalesce(F.col(next(c for c in raw.columns if c != CORRUPT)).cast("string"), F.lit(""))) >= 0
     rejected = raw.where(~good & other).select(*keys, F.col(CORRUPT).alias("record"), F.lit("malformed line").alias("reason"))
-    return raw.where(good).drop(CORRUPT), rejected
+    return raw.where(good & other).drop(CORRUPT), rejected
 
 
 def read_raw_macro(spark: SparkSession, path: str, fmt: str = "csv", **options: str) -> DataFrame:
