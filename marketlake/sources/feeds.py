@@ -60,7 +60,7 @@ def read_raw_bars(
     """Bars as delivered, from CSV, JSON or Parquet files. ``keep_malformed`` adds the text of lines that have not the feed's
     columns, for ``split_malformed``; else such lines come as far as they can be read."""
     if keep_malformed and fmt in ("csv", "json"):
-        schema = T.StructType(schema.fields).add(CORRUPT, "string")
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         # Whatever a query reads, lines are judged on all of their columns.
         options = {"columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"} | options
     return _read(spark, path, fmt, schema, **options)
