@@ -19,7 +19,7 @@ from marketlake.sinks.store import write_canonical, write_catalog
 from marketlake.sources import feeds
 from marketlake.sources.feeds import read_raw_bars
 from marketlake.sources.lake import read_canonical
-from marketlake.streaming import alerts, bars as bar_streams, events as event_streams
+from marketlake.streaming import alerts, bars as bar_streams, events as event_streams, windows
 
 _SHOWN = ("symbol", "timestamp", *schemas.PRICES, "volume")
 #: Files, and so micro-batches, that a registered stream reads.
@@ -109,14 +109,38 @@ def provider_symbol_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("provider", F.size("symbols").cast("bigint").alias("n"), F.array_join("symbols", ",").alias("symbols"))
 
 
+#: Rows of a file that a registered stream reads, where its spans are large enough for several.
+FILE_ROWS = 250_000
+
+
 def in_files(df: DataFrame, path: str, at: str, files: int = FILES) -> DataFrame:
-    """``df`` as files of equal time spans that arrive one after the other, and the stream of them, a file per micro-batch."""
+    """``df`` as ``files`` equal time spans that arrive one after the other, and the stream of them, a span per micro-batch.
+
+    A span is written in parallel, as many files for each; rows without a time come with the last one.
+    """
     first, last = df.agg(F.unix_micros(F.min(at)), F.unix_micros(F.max(at))).first()
     spark, width = df.sparkSession, ((last or 0) - (first or 0)) // files + 1
+    span = F.coalesce(F.floor((F.unix_micros(at) - (first or 0)) / width), F.lit(files - 1)).cast("int")
+    sizes = [r["count"] for r in df.groupBy(span.alias("span")).count().collect()]
+    # Dealt out evenly, so that no file of a span is missing: a micro-batch takes so many files.
+    each = max(1, min(-(-max(sizes, default=0) // FILE_ROWS), min(sizes, default=0) // 1000))
     for k in range(files):
-        part = df.where(F.floor((F.unix_micros(at) - (first or 0)) / width) == k)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.where(span == k).repartition(each).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
+
+
+def in_batches(spark: SparkSession, df: DataFrame, batch: F.Column, closing: DataFrame, build, mode: str = "append") -> DataFrame:
+    """What a stream gives over ``df`` in the batches 0, 1, … that a column names, and then over ``closing``: rows far in the
+    future, after which nothing stays open. ``build`` makes the streaming query of the raw stream. Each batch is written in
+    parallel, and one run of the query, which goes on from the last one's checkpoint."""
+    root, numbered = shared_folder(spark), df.withColumn("_batch", batch)
+    last = numbered.agg(F.max("_batch")).first()[0]
+    out = None
+    for k in range((last if last is not None else -1) + 2):
+        part = numbered.where(F.col("_batch") == k).drop("_batch") if last is not None and k <= last else closing.select(*df.columns)
+        part.write.mode("append").parquet(f"{root}/in")
+        out = _stateful(spark, build(spark.readStream.schema(df.schema).parquet(f"{root}/in")), mode, root)
+    return out
 
 
 def stream_bars_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,13 +166,13 @@ def stream_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(iso_seconds(F.col("window_start")).alias("window_start"), "event", "data_type", "n")
 
 
-def _stateful(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+def _stateful(spark: SparkSession, stream: DataFrame, mode: str, root: str | None = None) -> DataFrame:
     """Run a stream with Python state, which needs the RocksDB state store."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return run_stream(stream, spark, mode)
+        return run_stream(stream, spark, mode, root)
     finally:
         spark.conf.set(name, before)
 
@@ -176,6 +200,40 @@ def stream_price_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", iso_day(F.col("timestamp")).alias("day"), *schemas.PRICES, "prior_close")
 
 
+#: A tick after all that the given table can hold: it moves the watermark past every bar.
+_FAR = "2100-01-01"
+
+
+def _far_tick(spark: SparkSession, ticks: DataFrame) -> DataFrame:
+    values = {"symbol": F.lit("~"), "ts": F.lit(_FAR).cast("timestamp"), "seq": F.lit(0).cast("long"), "price": F.lit(0.0)}
+    return spark.range(1).select(*(values[c].cast(ticks.schema[c].dataType).alias(c) for c in ticks.columns))
+
+
+def _unordered(at: str, seq: str) -> F.Column:
+    """Which of three batches a row comes in: rows are held back by up to a day, so that the batches' times overlap."""
+    held = F.col(at) + F.make_dt_interval(hours=(F.col(seq) % 5) * 6)
+    return F.when(held < F.lit("2024-01-11").cast("timestamp"), 0).when(held < F.lit("2024-01-21").cast("timestamp"), 1).otherwise(2)
+
+
+def stream_late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars and late ticks of a stream in three unordered batches: together, every tick of the input once."""
+    ticks = views.ticks(spark, sf_dir)
+    build = lambda s: windows.bars_and_late_ticks(s, "1d", delay="2 hours")
+    found = in_batches(spark, ticks, _unordered("ts", "seq"), _far_tick(spark, ticks), build)
+    late = windows.late_ticks(found).groupBy("symbol", "timestamp").agg(F.count("*").cast("double").alias("volume"), F.sum("seq").alias("seqs"))
+    bars = windows.closed_bars(found, "1d", "yahoo").select(F.lit("bar").alias("kind"), *_SHOWN)
+    told = bars.unionByName(late.withColumn("kind", F.lit("late")), allowMissingColumns=True)
+    return told.withColumns({"timestamp": iso_seconds(F.col("timestamp")), "seqs": F.coalesce("seqs", F.lit(-1))})
+
+
+def stream_bars_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of calendar months from a stream in several batches, after the last month was over."""
+    ticks = views.ticks(spark, sf_dir)
+    build = lambda s: windows.bars_and_late_ticks(s, "1m", delay="2 days")
+    found = in_batches(spark, ticks, _unordered("ts", "seq"), _far_tick(spark, ticks), build)
+    return _shown(windows.closed_bars(found, "1m", "yahoo"))
+
+
 QUERIES = {
     **{f"raw_bars_{fmt}": _format(fmt) for fmt in ("csv", "json", "parquet")},
     "nan_prices": nan_prices,
@@ -186,6 +244,8 @@ QUERIES = {
     "provider_symbol_lists": provider_symbol_lists,
     "stream_bars_in_files": stream_bars_in_files,
     "stream_first_arrivals": stream_first_arrivals,
+    "stream_late_ticks": stream_late_ticks,
+    "stream_bars_1m": stream_bars_1m,
     "stream_event_log": stream_event_log,
     "stream_outages": stream_outages,
     "stream_spikes": stream_spikes,
@@ -231,6 +291,24 @@ def _oracles() -> dict[str, str]:
         "stream_bars_in_files": lake_queries.ORACLES["stream_bars"],
         "stream_first_arrivals": over(["typed_bars"], """
             SELECT DISTINCT symbol, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM typed_bars"""),
+        # The watermark of a batch is two hours behind the latest tick of those before it; the last batch closes all.
+        "stream_late_ticks": over(["ticks"], """
+            , placed AS (
+                SELECT *, date_trunc('day', ts) AS day, CASE WHEN ts + to_hours((6 * (seq % 5))::INTEGER) < TIMESTAMP '2024-01-11' THEN 0
+                    WHEN ts + to_hours((6 * (seq % 5))::INTEGER) < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch
+                FROM ticks),
+            marks AS (SELECT b AS batch, (SELECT max(ts) FROM placed WHERE batch < b) - INTERVAL 2 HOUR AS mark FROM range(3) t(b)),
+            judged AS (SELECT placed.*, coalesce(day + INTERVAL 1 DAY <= mark, false) AS late FROM placed JOIN marks USING (batch))
+            SELECT 'bar' AS kind, symbol, strftime(day, '%Y-%m-%dT%H:%M:%S') AS timestamp, first(price ORDER BY ts, seq) AS open, max(price) AS high,
+                min(price) AS low, last(price ORDER BY ts, seq) AS close, count(*)::DOUBLE AS volume, -1::BIGINT AS seqs
+            FROM judged WHERE NOT late GROUP BY symbol, day
+            UNION ALL
+            SELECT 'late', symbol, strftime(day, '%Y-%m-%dT%H:%M:%S'), NULL, NULL, NULL, NULL, count(*)::DOUBLE, sum(seq)::BIGINT
+            FROM judged WHERE late GROUP BY symbol, day"""),
+        "stream_bars_1m": over(["ticks"], """
+            SELECT symbol, strftime(date_trunc('month', ts), '%Y-%m-%dT%H:%M:%S') AS timestamp, first(price ORDER BY ts, seq) AS open, max(price) AS high,
+                min(price) AS low, last(price ORDER BY ts, seq) AS close, count(*)::DOUBLE AS volume
+            FROM ticks GROUP BY symbol, date_trunc('month', ts)"""),
         "stream_event_log": lake_queries.ORACLES["stream_event_counts"],
         "stream_outages": catalog_queries.ORACLES["outages"],
         "stream_spikes": over(["bars_1d"], """

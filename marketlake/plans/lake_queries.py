@@ -131,9 +131,10 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.select(F.lit("lost").alias("side"), "symbol").unionByName(unknown.select(F.lit("unknown").alias("side"), symbol))
 
 
-def run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is into Parquet files, a folder per micro-batch, and read them."""
-    root = shared_folder(spark)
+def run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append", root: str | None = None) -> DataFrame:
+    """Run a stream over all there is into Parquet files, a folder per micro-batch, and read them. A ``root`` that an earlier
+    run had goes on from its checkpoint."""
+    root = root or shared_folder(spark)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
