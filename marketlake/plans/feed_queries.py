@@ -186,6 +186,17 @@ def stream_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.withColumns(times).select("provider", "started_at", "ended_at", "n_failures")
 
 
+def stream_unordered_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outages of attempts that come in three unordered batches: those of the whole log."""
+    log = views.attempts(spark, sf_dir)
+    values = {"provider": F.lit("~"), "status": F.lit("success"), "completed_at": F.lit(_FAR)}
+    closing = spark.range(1).select(*(values.get(c, F.lit(None)).cast(log.schema[c].dataType).alias(c) for c in log.columns))
+    build = lambda s: alerts.unordered_outages(s, ["provider"], "log_id", "2 days", gap_seconds=43_200)
+    found = in_batches(spark, log, _unordered("completed_at", "log_id"), closing, build)
+    times = {c: iso_created_at(F.col(c)) for c in ("started_at", "ended_at")}
+    return found.where("kind = 'outage'").withColumns(times).select("provider", "started_at", "ended_at", "n_failures")
+
+
 def stream_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily closes that moved by more than the threshold, over several micro-batches."""
     bars = in_files(resample_bars(views.ticks(spark, sf_dir), "1d", "yahoo"), f"{shared_folder(spark)}/in", "timestamp")
@@ -248,6 +259,7 @@ QUERIES = {
     "stream_bars_1m": stream_bars_1m,
     "stream_event_log": stream_event_log,
     "stream_outages": stream_outages,
+    "stream_unordered_outages": stream_unordered_outages,
     "stream_spikes": stream_spikes,
     "stream_price_spikes": stream_price_spikes,
 }
@@ -311,6 +323,7 @@ def _oracles() -> dict[str, str]:
             FROM ticks GROUP BY symbol, date_trunc('month', ts)"""),
         "stream_event_log": lake_queries.ORACLES["stream_event_counts"],
         "stream_outages": catalog_queries.ORACLES["outages"],
+        "stream_unordered_outages": catalog_queries.ORACLES["outages"],
         "stream_spikes": over(["bars_1d"], """
             SELECT symbol, strftime(timestamp, '%Y-%m-%d') AS day, close, prior_close
             FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY timestamp) AS prior_close FROM bars_1d)

@@ -147,7 +147,7 @@ def run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append", roo
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
 
 
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,114 @@ def outage_alerts(
     )
 
 
+class _UnorderedOutageProcessor(StatefulProcessor):
+    """Keeps the attempts that the watermark has not passed, packed by arrival, and the open run of failures behind it."""
+
+    def __init__(self, keys: list[str], threshold: int, gap_seconds: int) -> None:
+        self.keys, self.threshold, self.gap = keys, threshold, gap_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "rows BINARY")
+        self.run = handle.getValueState("run", "n LONG, started LONG, ended LONG")
+
+    def _out(self, key, kind: str, rows: list[tuple]) -> pd.DataFrame:
+        names = ["started", "ended", "n_failures"]
+        found = pd.DataFrame(rows, columns=names).astype({"n_failures": "Int64"}).assign(kind=kind, **dict(zip(self.keys, key)))
+        return found[["kind", *self.keys, *names]]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark, last = timerValues.getCurrentWatermarkInMs(), None
+        for part in rows:
+            packed = part[["at", "place", "failed"]].to_numpy(np.int64)
+            late = packed[:, 0] // 1000 <= mark
+            if late.any():
+                yield self._out(key, "late", [(at, at, None) for at in packed[late, 0].tolist()])
+            if not late.all():
+                self.held.appendValue((packed[~late].tobytes(),))
+                last = max(last or 0, int(packed[~late, 0].max()))
+        if last is not None:
+            self.handle.registerTimer(last // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, ended = timerValues.getCurrentWatermarkInMs(), []
+        if self.held.exists():
+            attempts = np.concatenate([np.frombuffer(r[0], np.int64).reshape(-1, 3) for r in self.held.get()])
+            due = attempts[:, 0] // 1000 <= mark
+            if due.any():
+                ended = self._ended(attempts[due])
+                if due.all():
+                    self.held.clear()
+                else:
+                    self.held.put([(attempts[~due].tobytes(),)])
+        if self.run.exists():
+            n, started, last = self.run.get()
+            if (last + self.gap) // 1000 < mark:  # nothing can follow it any more
+                ended.append((started, last, n))
+                self.run.clear()
+            else:
+                self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        found = [run for run in ended if run[2] >= self.threshold]
+        if found:
+            yield self._out(key, "outage", found)
+
+    def _ended(self, attempts: np.ndarray) -> list[tuple]:
+        """Runs that end among these attempts, all before the watermark; the one that may go on is kept."""
+        attempts = attempts[np.lexsort((attempts[:, 1], attempts[:, 0]))]
+        at, failed = attempts[:, 0], attempts[:, 2].astype(bool)
+        n, started, last = self.run.get() if self.run.exists() else (0, 0, 0)
+        before, after_failure = np.concatenate([[last], at[:-1]]), np.concatenate([[n > 0], failed[:-1]])
+        number = np.cumsum(failed & ~(after_failure & (at - before <= self.gap)))
+        # Number 0 goes on with the kept run; every other number is a run of its own.
+        runs = []
+        cuts = [0, *np.flatnonzero(np.diff(number, prepend=0)).tolist(), len(at)]
+        for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            own = at[low:high][failed[low:high]].tolist()
+            kept = k == 0 and n > 0
+            runs.append((n * kept + len(own), started if kept else own[0] if own else 0, own[-1] if own else last))
+        runs = [(s, e, c) for c, s, e in runs if c > 0]
+        if failed[-1]:
+            s, e, c = runs.pop()
+            self.run.update((c, s, e))
+        else:
+            self.run.clear()
+        return runs
+
+
+def unordered_outages(
+    attempts: DataFrame,
+    keys: Sequence[str] = ("provider", "data_type", "symbol"),
+    place: str | None = None,
+    delay: str = "1 hour",
+    threshold: int = FAILURE_THRESHOLD,
+    gap_seconds: int = RESET_SECONDS,
+) -> DataFrame:
+    """Outages (``kind`` outage: keys…, started_at, ended_at, n_failures), once they are over, of attempts that come in any order
+    within ``delay``; and attempts that came later than that (``kind`` late: their time as started_at). Append mode.
+
+    What ``outages`` finds over all attempts that are not late, ``place`` ordering those of one moment. A key holds its attempts of
+    the last ``delay`` as packed numbers, and one open run; timers at the watermark end runs, and an idle key leaves no state.
+    """
+    names = ", ".join(f"{k} STRING" for k in keys)
+    placed = (
+        attempts.where(F.col("completed_at").isNotNull())
+        .withWatermark("completed_at", delay)
+        # As a plain number, which Spark doesn't judge by the watermark.
+        .select(
+            *keys, F.unix_micros("completed_at").alias("at"), (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("place"),
+            (F.col("status") == "failed").alias("failed"),
+        )
+    )
+    found = placed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_UnorderedOutageProcessor(list(keys), threshold, gap_seconds),
+        outputStructType=f"kind STRING, {names}, started LONG, ended LONG, n_failures LONG",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    times = {c: F.timestamp_micros(c[:-3]) for c in ("started_at", "ended_at")}
+    return found.withColumns(times).select("kind", *keys, "started_at", "ended_at", "n_failures")
+
+
 class _SpikeProcessor(StatefulProcessor):
     """Keeps the last close of a series."""
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marketlake.operators.outages import outages
 from marketlake.operators.resample import resample_bars
 from marketlake.plans.feed_queries import in_batches, in_files
-from marketlake.streaming import windows
+from marketlake.streaming import alerts, windows
 from tests.test_streaming import same
 
 TICK = "symbol STRING, ts TIMESTAMP, seq LONG, price DOUBLE"
@@ -62,3 +63,36 @@ def test_an_empty_input_and_rows_without_a_time(spark, folder):
     query = stream.writeStream.format("memory").queryName("timeless").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     same(spark.table("timeless"), rows)
+
+
+LOG = "provider STRING, completed_at TIMESTAMP, log_id LONG, status STRING"
+
+
+def stream_outages(spark, log, batch, delay="30 days", **how):
+    closing = spark.createDataFrame([("~", FAR, 0, "success")], LOG)
+    build = lambda s: alerts.unordered_outages(s, ["provider"], "log_id", delay, **how)
+    return in_batches(spark, log, batch.cast("int"), closing, build)
+
+
+def test_attempts_in_any_order_give_the_batch_outages(spark):
+    rng, at = np.random.default_rng(4), datetime(2024, 1, 1)
+    rows = []
+    for provider in "PQR":
+        moments = np.cumsum(rng.choice([0, 1, 20, 59, 60, 61, 500], 300))
+        rows += [(provider, at + timedelta(seconds=int(m)), i, "failed" if rng.random() < 0.85 else "success") for i, m in enumerate(moments)]
+    log = spark.createDataFrame([*rows, ("P", None, 1, "failed")], LOG)
+    found = stream_outages(spark, log, F.crc32(F.concat("provider", F.col("log_id").cast("string")).cast("binary")) % 3, threshold=3)
+    assert found.where("kind = 'late'").count() == 0
+    want = outages(log, ["provider"], ["log_id"], threshold=3)
+    same(found.drop("kind"), want)
+
+
+def test_late_attempts_come_out_and_runs_end_at_the_gap(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("P", at + timedelta(seconds=10 * i), i, "failed") for i in range(6)] + [("Q", at + timedelta(hours=5), 50, "success")]
+    # Batch 1: two attempts of P an hour before the watermark, and one that starts a run of its own.
+    rows += [("P", at + timedelta(seconds=5 + i), 100 + i, "failed") for i in range(2)] + [("P", at + timedelta(hours=6), 110, "failed")]
+    found = stream_outages(spark, spark.createDataFrame(rows, LOG), (F.col("log_id") >= 100), "1 hour").collect()
+    told = sorted((r.kind, r.started_at, r.ended_at, r.n_failures) for r in found)
+    late = [("late", at + timedelta(seconds=5 + i), at + timedelta(seconds=5 + i), None) for i in range(2)]
+    assert told == [*late, ("outage", at, at + timedelta(seconds=50), 6)]
