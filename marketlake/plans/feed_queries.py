@@ -15,10 +15,12 @@ from marketlake.plans import views
 from marketlake.plans.lake_queries import run_stream
 from marketlake.plans.oracle_views import over
 from marketlake.session import shared_folder
+from marketlake.sinks.event_sink import append_events, committed_batches
 from marketlake.sinks.store import write_canonical, write_catalog
 from marketlake.sources import feeds
 from marketlake.sources.feeds import read_raw_bars
-from marketlake.sources.lake import read_canonical
+from marketlake.sources.lake import read_canonical, read_catalog
+from marketlake.streaming.lineage import lineage_stream
 from marketlake.streaming import alerts, bars as bar_streams, events as event_streams, windows
 
 _SHOWN = ("symbol", "timestamp", *schemas.PRICES, "volume")
@@ -197,6 +199,44 @@ def stream_unordered_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("kind = 'outage'").withColumns(times).select("provider", "started_at", "ended_at", "n_failures")
 
 
+def stream_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log and the registry as two streams of three batches each, the registry's a batch behind: what ``lineage`` gives."""
+    root, registry = shared_folder(spark), views.registry(spark, sf_dir)
+    log = registry.select("hash", "created_at", "provider", "data_type", F.lit("success").alias("status"))
+    kept = registry.where("quality_passed").select("hash", "created_at", "storage_uri", F.col("rows").cast("long").alias("rows"), "quality_passed")
+    batch = F.floor(F.dayofmonth("created_at") / 11)  # days 1 to 10, 11 to 21, 22 to 31
+
+    def far(df: DataFrame) -> DataFrame:
+        values = {"hash": F.lit("~"), "created_at": F.lit(_FAR)}
+        return spark.range(1).select(*(values.get(c, F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns))
+
+    out = None
+    for k in range(5):
+        for name, df, turn in (("log", log, k), ("registry", kept, k - 1)):
+            part = far(df) if k == 4 else df.where(batch == turn)
+            part.write.mode("append").parquet(f"{root}/{name}")
+        streams = (spark.readStream.schema(df.schema).parquet(f"{root}/{name}") for name, df in (("log", log), ("registry", kept)))
+        out = run_stream(lineage_stream(*streams, delay="15 days"), spark, root=root)
+    return out.where("hash <> '~'").select(
+        "hash", iso_created_at(F.col("created_at")).alias("created_at"), "provider", "data_type",
+        F.coalesce("rows", F.lit(-1)).alias("rows"), F.col("storage_uri").isNull().alias("orphan"),
+    )
+
+
+def replayed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures per day and data type in the event log that a stream wrote, ended, and wrote all over again."""
+    root, failed = shared_folder(spark), events.failed_events(views.attempts(spark, sf_dir))
+    for turn in range(2):
+        # Its first checkpoint lost, the second run begins at the first file.
+        stream = in_files(failed, f"{root}/in", "published_at") if turn == 0 else stream
+        append_events(stream, root, "replay", f"{root}/checkpoint-{turn}").awaitTermination()
+    told = events.parse_events(read_catalog(spark, root, "events"))
+    counts = told.groupBy(F.to_date("published_at").cast("string").alias("day"), "data_type").agg(F.count("*").alias("n"))
+    # And what the sink noted of its batches says the same.
+    noted = committed_batches(spark, root).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+    return counts.unionByName(noted.select(F.lit("noted").alias("day"), F.lit("").alias("data_type"), "n"))
+
+
 def stream_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily closes that moved by more than the threshold, over several micro-batches."""
     bars = in_files(resample_bars(views.ticks(spark, sf_dir), "1d", "yahoo"), f"{shared_folder(spark)}/in", "timestamp")
@@ -260,6 +300,8 @@ QUERIES = {
     "stream_event_log": stream_event_log,
     "stream_outages": stream_outages,
     "stream_unordered_outages": stream_unordered_outages,
+    "stream_lineage": stream_lineage,
+    "replayed_events": replayed_events,
     "stream_spikes": stream_spikes,
     "stream_price_spikes": stream_price_spikes,
 }
@@ -323,6 +365,10 @@ def _oracles() -> dict[str, str]:
             FROM ticks GROUP BY symbol, date_trunc('month', ts)"""),
         "stream_event_log": lake_queries.ORACLES["stream_event_counts"],
         "stream_outages": catalog_queries.ORACLES["outages"],
+        "replayed_events": over(["attempts"], """
+            SELECT strftime(completed_at, '%Y-%m-%d') AS day, data_type, count(*) AS n FROM attempts WHERE status = 'failed' GROUP BY ALL
+            UNION ALL SELECT 'noted', '', count(*) FROM attempts WHERE status = 'failed'"""),
+        "stream_lineage": catalog_queries.ORACLES["lineage"],
         "stream_unordered_outages": catalog_queries.ORACLES["outages"],
         "stream_spikes": over(["bars_1d"], """
             SELECT symbol, strftime(timestamp, '%Y-%m-%d') AS day, close, prior_close

@@ -11,6 +11,7 @@ from marketlake.operators.outages import outages
 from marketlake.operators.resample import resample_bars
 from marketlake.plans.feed_queries import in_batches, in_files
 from marketlake.streaming import alerts, windows
+from marketlake.streaming.lineage import lineage_stream
 from tests.test_streaming import same
 
 TICK = "symbol STRING, ts TIMESTAMP, seq LONG, price DOUBLE"
@@ -96,3 +97,24 @@ def test_late_attempts_come_out_and_runs_end_at_the_gap(spark):
     told = sorted((r.kind, r.started_at, r.ended_at, r.n_failures) for r in found)
     late = [("late", at + timedelta(seconds=5 + i), at + timedelta(seconds=5 + i), None) for i in range(2)]
     assert told == [*late, ("outage", at, at + timedelta(seconds=50), 6)]
+
+
+def test_lineage_of_streams(spark, folder):
+    day = datetime(2024, 1, 1)
+    log = "hash STRING, created_at TIMESTAMP, status STRING"
+    reg = "hash STRING, created_at TIMESTAMP, storage_uri STRING, rows LONG, quality_passed BOOLEAN"
+    steps = [
+        ([("a", day, "success"), ("b", day, "success"), (None, None, "failed")], [("c", day, "u0", 1, True)]),
+        ([("c", day, "success")], [("a", day, "u1", 2, True), ("b", day + timedelta(hours=1), "u2", 3, False)]),
+        ([("~", FAR, "success")], [("~", FAR, "far", 0, True)]),
+    ]
+    seen = []
+    for logs, regs in steps:
+        spark.createDataFrame(logs, log).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        spark.createDataFrame(regs, reg).coalesce(1).write.mode("append").parquet(f"{folder}/reg")
+        streams = (spark.readStream.schema(s).parquet(f"{folder}/{n}") for n, s in (("log", log), ("reg", reg)))
+        query = lineage_stream(*streams).writeStream.foreachBatch(lambda df, _: seen.extend(tuple(r) for r in df.collect()))
+        query.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(repr, (r for r in seen if r[0] != "~"))) == sorted(map(repr, [
+        (None, None, "failed", None, None, None), ("a", day, "success", "u1", 2, True), ("c", day, "success", "u0", 1, True), ("b", day, "success", None, None, None),
+    ]))
