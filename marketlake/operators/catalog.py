@@ -6,6 +6,7 @@ append-only.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -175,6 +176,40 @@ def page(registry: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0) -> Dat
     return newest.limit(offset + limit).offset(offset) if offset else newest.limit(limit)
 
 
+#: Characters of the sort key that one pass of ``deep_page`` tells apart, and rows that its last step may skip.
+_STEP, ROWS_AT_ONCE = 3, 100_000
+
+
+def deep_page(registry: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
+    """The page that ``page`` gives, at any offset: no task holds more than ``rows_at_once`` + ``limit`` rows.
+
+    Newest first and then by hash, rows have one text as sort key. Counts per next characters of it, at most some thousands a pass, find
+    the part of the registry in which the page begins; what comes before that is counted, not sorted. Where more rows than
+    that share one whole key, they are equal in order, and as many are skipped.
+    """
+    if not 1 <= limit <= MAX_PAGE or offset < 0:
+        raise ValueError(f"limit must be 1..{MAX_PAGE} and offset not negative")
+    newest = F.lit(2**63 - 1) - F.unix_micros("created_at")
+    at = F.when(F.col("created_at").isNotNull(), F.lower(F.lpad(F.hex(newest), 16, "0"))).otherwise("~")
+    keyed = registry.withColumn("_key", F.concat(at, F.coalesce("hash", F.lit(""))))
+    low, high, longest, n = keyed.agg(F.min("_key"), F.max("_key"), F.max(F.length("_key")), F.count("*")).first()
+    if offset >= n:
+        return registry.limit(0)
+    prefix, skip = os.path.commonprefix([low, high]), offset
+    while n > rows_at_once and len(prefix) < longest:
+        part = F.substring("_key", len(prefix) + 1, _STEP).alias("part")
+        counts = keyed.where(F.col("_key").startswith(prefix)).groupBy(part).agg(F.count("*").alias("n"))
+        for row in sorted(counts.collect()):
+            if skip < row.n:
+                break
+            skip -= row.n
+        if not row.part:
+            break
+        prefix, n = prefix + row.part, row.n
+    rest = keyed.where(F.col("_key") >= prefix).orderBy("_key").drop("_key")
+    return rest.limit(skip + limit).offset(skip) if skip else rest.limit(limit)
+
+
 def to_records(registry: DataFrame) -> DataFrame:
     """Registry rows in output form: ``created_at`` as ISO text."""
     return registry.withColumn("created_at", iso_created_at(F.col("created_at")))

@@ -48,6 +48,13 @@ def list_datasets_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hash", "symbol", "timeframe", "rows", "columns", "quality_passed", "created_at")
 
 
+def list_datasets_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last but one fifty of the whole registry, most of which comes before."""
+    registry = views.registry(spark, sf_dir)
+    rows = catalog.to_records(catalog.deep_page(registry, limit=50, offset=max(0, registry.count() - 100), rows_at_once=200))
+    return rows.select("hash", "data_type", "rows", "quality_passed", "created_at")
+
+
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.latest_version(views.registry(spark, sf_dir))
     return rows.select("hash", "rows", "quality_passed", iso_created_at(F.col("created_at")).alias("created_at"))
@@ -134,6 +141,7 @@ QUERIES = {
     "plan_ingestion": plan_ingestion,
     "resolve": resolve,
     "list_datasets_page": list_datasets_page,
+    "list_datasets_deep_page": list_datasets_deep_page,
     "latest_version": latest_version,
     "invalidate": invalidate,
     "invalidate_symbol": invalidate_symbol,
@@ -220,6 +228,10 @@ ORACLES = {
         SELECT hash, symbol, timeframe, rows, columns, quality_passed, {_iso('created_at')}
         FROM (SELECT * FROM stored_registry WHERE data_type = 'ohlcv' AND provider = 'yahoo'
               ORDER BY created_at DESC, hash LIMIT 50 OFFSET 20)"""),
+    "list_datasets_deep_page": over(["stored_registry"], f"""
+        SELECT hash, data_type, rows, quality_passed, {_iso('created_at')}
+        FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, hash) AS place, count(*) OVER () AS n FROM stored_registry)
+        WHERE place > n - 100 AND place <= n - 50"""),
     "latest_version": over(["latest"], f"SELECT hash, rows, quality_passed, {_iso('created_at')} FROM latest"),
     "invalidate": over(["latest"], f"""
         SELECT hash, data_type, {_iso('created_at')} FROM latest

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from marketlake import schemas
 from marketlake.operators import events, quality
 from marketlake.operators.catalog import ingestion_log, register_datasets
+from marketlake.operators.day_sets import day_sets
 from marketlake.operators.normalize import (
     normalize_bars,
     normalize_fundamentals,
@@ -35,6 +36,8 @@ class Request:
     start: str | None = None
     end: str | None = None
     layout: str = "symbol"
+    #: Keep the days that each version covers, so that coverage over many runs needs no bars.
+    coverage: bool = False
 
 
 def normalize(raw: DataFrame, data_type: str, now: Column) -> DataFrame:
@@ -96,6 +99,10 @@ def _ingest(raw: DataFrame, request: Request, calendar: DataFrame | None, reject
     write_catalog(registered, "registry", r.root, part)
 
     registered = read_catalog(spark, r.root, "registry", part)
+    if r.coverage:
+        sets = day_sets(canonical, keys, schemas.TIME_COLUMN[r.data_type])
+        of_version = registered.select("hash", "created_at", "data_type", *(c for c in ("symbol", "timeframe", "series") if c not in keys), *keys)
+        write_catalog(sets.join(of_version, list(keys)), "coverage", r.root, part)
     upper = [F.upper(k).alias(k) if k in ("series", "symbol") else F.col(k) for k in keys]
     fetched = raw.groupBy(*upper).agg(F.count("*").alias("rows_fetched"))
     if rejects is not None:

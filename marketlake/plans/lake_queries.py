@@ -9,18 +9,18 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlake.functions import iso_seconds
-from marketlake.operators import events
+from marketlake.functions import iso_created_at, iso_seconds
+from marketlake.operators import day_sets, events
 from marketlake.operators.calendar import exchange_calendar
-from marketlake.operators.catalog import invalidate
+from marketlake.operators.catalog import invalidate, with_request_hash
 from marketlake.operators.reads import get_bars
 from marketlake.plans import views
 from marketlake.plans.ingest import Request, ingest
 from marketlake.plans.oracle_views import over
 from marketlake.schemas import PRICES
 from marketlake.session import shared_folder
-from marketlake.sinks.store import compact, expire
-from marketlake.sources.lake import current_rows, read_canonical, read_catalog, reconcile, stored_files
+from marketlake.sinks.store import compact, expire, write_catalog
+from marketlake.sources.lake import current_rows, lookup_hashes, read_canonical, read_catalog, reconcile, stored_coverage, stored_files
 from marketlake.streaming.bars import first_by_seq, tumbling_bars
 from marketlake.streaming.events import running_counts
 from marketlake.streaming.ingest import ingest_stream
@@ -95,6 +95,32 @@ def compacted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(odd, allowMissingColumns=True)
 
 
+def merged_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the bars of three runs cover, and the trading days they lack, from the day sets that the runs stored: no bar is read."""
+    root, raw = shared_folder(spark), views.raw_bars(spark, sf_dir)
+    # Every seventh day is dropped, another one for each symbol; each run has every third of the others.
+    day = F.dayofmonth(F.substring("Date", 1, 10).cast("date"))
+    raw = raw.where((F.substring("symbol", 2, 9).cast("int") + day) % 7 != 0)
+    calendar, keys = _trading_days(spark), ["symbol", "timeframe", "provider"]
+    for k in range(3):
+        at = datetime(2024, 2, 1 + k, tzinfo=timezone.utc)
+        ingest(raw.where(day % 3 == k), Request("ohlcv", root, f"r{k}", at, f"2024-01-0{k + 1}", views.END, coverage=True))
+    sets = stored_coverage(spark, root, "ohlcv")
+    days = day_sets.covered(sets, keys).select("symbol", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_day", "last_day")), "n_days")
+    lacking = day_sets.missing_days(sets, calendar, keys).groupBy("symbol").agg(F.count("*").alias("n_missing"), F.min("day").cast("string").alias("first_missing"))
+    return days.join(lacking, "symbol", "left").withColumns({"n_missing": F.coalesce("n_missing", F.lit(0)), "first_missing": F.coalesce("first_missing", F.lit(""))})
+
+
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions of the datasets of five symbols, out of a stored registry."""
+    root = shared_folder(spark)
+    write_catalog(views.registry(spark, sf_dir), "registry", root, "r1")
+    names = spark.createDataFrame([(f"S{n}", t) for n in (1, 2, 3, 5, 8) for t in ("1d", "1h")], "symbol STRING, timeframe STRING")
+    wanted = with_request_hash(names.withColumns({"data_type": F.lit("ohlcv"), "start": F.lit(views.START), "end": F.lit(views.END)}))
+    rows = lookup_hashes(spark, root, [r.hash for r in wanted.select("hash").collect()])  # of ten requests
+    return rows.select("hash", "symbol", "timeframe", "rows", iso_created_at(F.col("created_at")).alias("created_at"))
+
+
 def ingest_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds after a stream of files, one per micro-batch, that repeats all it sent before."""
     root = shared_folder(spark)
@@ -175,6 +201,8 @@ QUERIES = {
     "stored_bars": stored_bars,
     "stored_versions": stored_versions,
     "compacted_bars": compacted_bars,
+    "merged_coverage": merged_coverage,
+    "lookup_hashes": lookup,
     "ingest_stream_bars": ingest_stream_bars,
     "ingest_news": ingest_news,
     "reconcile": reconciled,
@@ -202,6 +230,23 @@ ORACLES = {
         SELECT symbol, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, open, high, low, close,
                CASE WHEN timestamp >= TIMESTAMP '2024-01-10' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS volume
         FROM canonical_bars"""),
+    "merged_coverage": """
+        WITH days AS (
+            SELECT DISTINCT 'S' || (user_id % 20) AS symbol, CAST(ts AS DATE) AS day FROM events
+            WHERE event_id % 101 <> 0 AND (user_id % 20 + day(ts)) % 7 <> 0
+        ), ends AS (SELECT symbol, min(day) AS lo, max(day) AS hi, count(*) AS n FROM days GROUP BY symbol
+        ), trading AS (
+            SELECT CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(d)
+            WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-15')
+        ), lacking AS (
+            SELECT symbol, day FROM ends, trading WHERE day BETWEEN lo AND hi AND NOT EXISTS (SELECT 1 FROM days WHERE days.symbol = ends.symbol AND days.day = trading.day))
+        SELECT e.symbol, strftime(lo, '%Y-%m-%d') AS first_day, strftime(hi, '%Y-%m-%d') AS last_day, n AS n_days, count(l.day) AS n_missing,
+               coalesce(strftime(min(l.day), '%Y-%m-%d'), '') AS first_missing
+        FROM ends e LEFT JOIN lacking l ON l.symbol = e.symbol GROUP BY ALL""",
+    "lookup_hashes": over(["stored_registry"], """
+        SELECT hash, symbol, timeframe, rows, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(created_at) % 1000000 = 0 THEN ''
+               ELSE strftime(created_at, '.%f') END || '+00:00' AS created_at
+        FROM stored_registry WHERE symbol IN ('S1', 'S2', 'S3', 'S5', 'S8')"""),
     "compacted_bars": over(["canonical_bars"], """
         , phases AS (SELECT * FROM (VALUES ('compacted', TIMESTAMP '2024-01-25'), ('as of', NULL), ('expired', TIMESTAMP '2024-01-25')) t(phase, third))
         SELECT phase, symbol, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, open, high, low, close,

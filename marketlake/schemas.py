@@ -48,6 +48,12 @@ REJECTS = struct(
     data_type="string", provider="string", symbol="string", series="string", record="string", reason="string", rejected_at="timestamp"
 )
 
+#: The days that a version covers: one bit per day, of 32,768 days from ``bucket`` on.
+COVERAGE = struct(
+    hash="string", created_at="timestamp", provider="string", data_type="string", symbol="string", timeframe="string", series="string",
+    bucket="long", first_day="date", last_day="date", days="binary",
+)
+
 #: One row per run that a commit added to a table, or replaced by another.
 RUN_CHANGES = struct(run="string", state="string", by="string", made_at="timestamp")
 

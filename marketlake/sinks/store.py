@@ -24,8 +24,13 @@ CATALOG_TABLES = {
     "events": schemas.EVENTS,
     "tombstones": schemas.TOMBSTONES,
     "rejects": schemas.REJECTS,
+    "coverage": schemas.COVERAGE,
 }
 
+# Random keys that are looked up one by one: statistics don't help there, a bloom filter per row group does. A dictionary
+# of values that don't repeat would only keep Parquet from writing one.
+_LOOKED_UP = {"parquet.bloom.filter.enabled#hash": "true", "parquet.enable.dictionary#hash": "false"}
+
 #: Symbol buckets of the "bucket" layout.
 BUCKETS = 256
 
@@ -169,13 +174,16 @@ def _write_in_order(out: DataFrame, data_type: str, root: str, folders: tuple[st
     )
 
 
-def write_catalog(df: DataFrame, table: str, root: str, run: str) -> None:
-    """Add rows to a catalog table."""
+def write_catalog(df: DataFrame, table: str, root: str, run: str, **options: str) -> None:
+    """Add rows to a catalog table. ``options`` are Parquet's, besides a bloom filter on the hash where there is one."""
+    schema = CATALOG_TABLES[table]
+    looked_up = _LOOKED_UP if "hash" in schema.fieldNames() else {}
     (
-        schemas.conform(df, CATALOG_TABLES[table])
+        schemas.conform(df, schema)
         .withColumn("run", F.lit(run))
         .hint("rebalance")
         .write.mode("overwrite")
+        .options(**looked_up, **options)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy("run")

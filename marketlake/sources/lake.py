@@ -142,6 +142,18 @@ def read_catalog(spark: SparkSession, root: str, table: str, run: str | None = N
     return df if changes is None else relocated(df, changes)
 
 
+def lookup_hashes(spark: SparkSession, root: str, hashes: Sequence[str], table: str = "registry") -> DataFrame:
+    """The rows of a catalog table for a few hashes. The condition reaches the scan, which passes over row groups whose bloom filter
+    has none of them."""
+    return read_catalog(spark, root, table).where(F.col("hash").isin(*hashes))
+
+
+def stored_coverage(spark: SparkSession, root: str, data_type: str) -> DataFrame:
+    """The day sets of a table's versions in force, as the runs that kept them stored them."""
+    live = latest_version(read_catalog(spark, root, "registry"), read_catalog(spark, root, "tombstones")).select("hash", "created_at")
+    return read_catalog(spark, root, "coverage").where(F.col("data_type") == data_type).join(live, ["hash", "created_at"], "left_semi")
+
+
 def relocated(registry: DataFrame, changes: DataFrame) -> DataFrame:
     """Registry rows with the places their versions moved to."""
     old, own = run_of(F.col("storage_uri")), moved(changes).withColumnRenamed("run", "_run")
