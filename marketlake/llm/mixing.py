@@ -105,7 +105,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
 
     Rates are rounded per (source, size), whole words carried from larger to smaller sizes, so a source ends within
     about half its smallest document of its target. Within a (source, size) the copies that are not one for each
-    document go to the smallest hashes of doc_id: reruns agree.
+    document go to the smallest hashes of doc_id and text: reruns agree, and of rows that repeat both as many get one.
 
     Skew: sizes are counted before anything else, so Newton steps and rounding see one row per distinct size (at most
     as many per source as its longest document has words). Ranks inside one (source, size), which may hold a third of
@@ -113,19 +113,39 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     row per (source, size).
 
     Null text has size 0 and counts as one copy of nothing; so do empty texts. Null is a source of its own, last in
-    order. Rows that repeat an id are taken alike; an empty table gives an empty result. Columns with the new names
+    order. Repeated ids and rows, null ids among them, change no total; an empty table gives an empty result. Columns with the new names
     are replaced.
     """
-    sized = docs.drop("size", "source_size", "target", "copies", "taken").withColumns({"size": word_count(), "_h": F.xxhash64("doc_id")})
+    sized = docs.drop("size", "source_size", "target", "copies", "taken").withColumns({"size": word_count(), "_h": F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11)})
     slim = stored(sized.select("source", "size", "_h"))
     sizes = stored(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = stored(source_targets(sources, weights, share, cap))
     plan = _thresholds(slim, _copies(sizes, targets, cap), cell_rows)
     out = sized.join(plan, sized.source.eqNullSafe(plan._source) & (F.col("size") == F.col("_size")))
-    extra = F.coalesce(F.shiftrightunsigned("_h", 11) <= F.col("_last"), F.lit(False)).cast("bigint")
-    out = out.withColumn("copies", F.col("_base") + extra).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[c for c in sized.columns if c != "_h"], "source_size", "target", "copies", "taken")
+    # At the last hash some of its rows get a copy more: all of them, unless rows repeat.
+    repeats = F.col("_at_last") < F.col("_tied")
+    tied = F.coalesce((F.col("_h") == F.col("_last")) & repeats, F.lit(False))
+    extra = F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False)).cast("bigint")
+    done = out.where(~tied).withColumn("copies", F.col("_base") + extra)
+    names = [c for c in sized.columns if c != "_h"]
+    shown = [*names, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    if plan.where(repeats).isEmpty():
+        return done.select(*shown)
+    return done.select(*shown).unionByName(_numbered(out.where(tied)).withColumn("copies", F.col("_base") + (F.col("_rank") <= F.col("_at_last")).cast("bigint")).select(*shown))
+
+
+def _numbered(rows: DataFrame, salts: int = 64) -> DataFrame:
+    """Repeated rows of each (source, size) with a number from 1 (``_rank``). They are alike, so any numbers do; a group of them
+    is counted in parts, of which no task holds more than one."""
+    parts = stored(rows.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))))
+    group = ["_source", "_size"]
+    sums = parts.groupBy(*group, "_salt").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*group).orderBy("_salt")) - F.col("_c")
+    sums = sums.select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_salt").alias("_t"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy("_h"))
+    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_salt") == F.col("_t"))
+    return parts.withColumn("_own", own).join(sums, same).withColumn("_rank", F.col("_before") + F.col("_own"))
 
 
 def _copies(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
@@ -142,23 +162,25 @@ def _copies(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
 
 
 def _thresholds(slim: DataFrame, copies: DataFrame, cell_rows: int) -> DataFrame:
-    """Per (source, size): copies for every document, and the last hash that gets one more."""
+    """Per (source, size): copies for every document, the last hash that gets one more, how many rows have that hash (``_tied``), and
+    how many of them get it (``_at_last``). Rows of one hash are folded before they are ranked."""
     uneven = copies.where(F.col("copies") % F.col("n") > 0).select("id", F.col("source").alias("_s"), F.col("size").alias("_z"), "n", (F.col("copies") % F.col("n")).alias("more"))
-    place = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))
-    cell = F.floor(place * F.ceil(F.col("n") / cell_rows))
-    rows = slim.join(uneven, slim.source.eqNullSafe(uneven._s) & (slim["size"] == uneven._z)).select("id", "n", "more", "_h", cell.alias("cell"))
-    counts = rows.groupBy("id", "cell").agg(F.count("*").alias("c"))
+    cell = F.floor(F.col("_h") / F.lit(float(1 << 53)) * F.ceil(F.col("n") / cell_rows))
+    rows = slim.join(uneven, slim.source.eqNullSafe(uneven._s) & (slim["size"] == uneven._z)).select("id", "more", "_h", cell.alias("cell"))
+    hashes = rows.groupBy("id", "more", "cell", "_h").agg(F.count("*").alias("c"))
+    counts = hashes.groupBy("id", "cell").agg(F.sum("c").alias("c"))
     before = F.sum("c").over(Window.partitionBy("id").orderBy("cell")) - F.col("c")
     counts = counts.select("id", "cell", before.alias("before"))
-    order = F.struct(F.shiftrightunsigned("_h", 11), "_h")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id", "cell").orderBy(order))).join(counts, ["id", "cell"])
-    last = ranked.where(F.col("before") + F.col("rank") == F.col("more")).select(F.col("id").alias("_id"), F.shiftrightunsigned("_h", 11).alias("_last"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("id", "cell").orderBy("_h"))
+    ranked = hashes.join(counts, ["id", "cell"]).withColumn("upto", upto)
+    last = ranked.where((F.col("upto") >= F.col("more")) & (F.col("upto") - F.col("c") < F.col("more")))
+    last = last.select(F.col("id").alias("_id"), F.col("_h").alias("_last"), F.col("c").alias("_tied"), (F.col("more") - F.col("upto") + F.col("c")).alias("_at_last"))
     out = copies.join(last, copies.id == last._id, "left")
-    return stored(
-        out.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", F.floor(F.col("copies") / F.col("n")).alias("_base"), "_last")
-    )
+    whole = F.floor(F.col("copies") / F.col("n")).alias("_base")
+    return stored(out.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", whole, "_last", "_tied", "_at_last"))
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every document as often as its copies say; the columns stay."""
+    """``docs`` with every document as often as its copies say; the columns stay. Rows are treated as in ``mixed``: texts without words
+    stay once, and an empty table gives an empty result."""
     return mixed(docs, **how).withColumn("_k", F.explode(F.array_repeat("copies", F.col("copies").cast("int")))).select(*docs.columns)
