@@ -11,8 +11,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -34,8 +34,9 @@ WINDOW = 10
 #: entity in fewer texts, the terms that occur in no document but close to it do.
 SUPPORT = 3
 THRESHOLD = 0.8
-#: Bits of the filter that tells tasks which terms need counting over the corpus: a fixed size; more terms let more others pass.
-FILTER_BITS = 1 << 22
+#: A filter tells tasks which terms matter over the corpus: so many bits for each of them, so that about one in as many others passes
+#: at any size, and at most so many in one filter. More terms take several filters, and a pass over the texts for each.
+BITS_PER_TERM, MOST_BITS = 32, 1 << 28
 _FLUSH = 200_000
 
 
@@ -127,18 +128,25 @@ def _finder(window: int):
     return run
 
 
-def _bit(term: str) -> int:
-    return xxhash.xxh64_intdigest(term) % FILTER_BITS
+def _passes(shared):
+    """Does a term pass a filter? The hash is Spark's own ``xxhash64`` of a text."""
+    mask, words = shared.value
+
+    def ask(term: str) -> bool:
+        bit = xxhash.xxh64_intdigest(term, 42) & mask
+        return bool(words[bit >> 3] >> (bit & 7) & 1)
+
+    return ask
 
 
 def _term_counter(shared):
     """(term, documents with it) of a partition, for terms that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, count = shared.value, Counter()
+        wanted, count = _passes(shared), Counter()
 
         def flush() -> pa.RecordBatch:
-            kept = {t: n for t, n in count.items() if wanted[(b := _bit(t)) >> 3] >> (b & 7) & 1}
+            kept = {t: n for t, n in count.items() if wanted(t)}
             count.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["term", "n"])
 
@@ -156,7 +164,7 @@ def _places(shared):
     """(text's hashes, term, start, end) of the terms that pass the filter, outside identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, passes = shared.value, {}
+        wanted, passes = _passes(shared), {}
         for batch in pieces(batches, "_bytes"):
             at, terms, starts, ends = [], [], [], []
             for i, raw in enumerate(batch.column("_bytes").to_pylist()):
@@ -165,7 +173,7 @@ def _places(shared):
                     passes.clear()
                 for word in set(_TERM.findall(text)):
                     if word not in passes:
-                        passes[word] = bool(wanted[(b := _bit(word.lower())) >> 3] >> (b & 7) & 1)
+                        passes[word] = wanted(word.lower())
                 if not any(passes[m[0]] for m in _TERM.finditer(text)):
                     continue
                 for a, z in _outside(text, identifiers(text)):
@@ -181,22 +189,28 @@ def _places(shared):
     return run
 
 
-def _marked(bits: Iterator[int]) -> bytes:
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b in bits:
-        out[b >> 3] |= 1 << (b & 7)
-    return out.tobytes()
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique([_bit(t) for t in batch.column("term").to_pylist()]).astype(np.int64))], names=["bit"])
+def _filters(terms: DataFrame) -> list:
+    """Filters that together pass the distinct terms, on all tasks. Their bits are set by Spark's bitmap aggregate; what the driver
+    collects of one filter is its size."""
+    terms = stored(terms.select("term").distinct())
+    n = terms.count()
+    parts = -(-n * BITS_PER_TERM // MOST_BITS) or 1
+    bits = min(MOST_BITS, 1 << max(15, (n * BITS_PER_TERM // parts).bit_length()))
+    out = []
+    for part in range(parts):
+        own = terms.where(F.pmod(F.xxhash64("term", F.lit("part")), F.lit(parts)) == part)
+        bit = F.xxhash64("term").bitwiseAND(F.lit(bits - 1))
+        rows = own.groupBy(F.shiftright(bit, 15).alias("bucket")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("words"))
+        words = bytearray(bits // 8)
+        for r in rows.toLocalIterator():
+            words[r.bucket << 12 : (r.bucket + 1) << 12] = r.words
+        out.append(terms.sparkSession.sparkContext.broadcast((bits - 1, bytes(words))))
+    return out
 
 
-def _filter(terms: DataFrame):
-    """The filter of the terms, on all tasks."""
-    bits = terms.select("term").distinct().mapInArrow(_bits, "bit bigint").distinct()
-    return terms.sparkSession.sparkContext.broadcast(_marked(r.bit for r in bits.toLocalIterator()))
+def _over(filters: list, rows: DataFrame, run, schema: str) -> DataFrame:
+    """What a map finds with each of the filters; a row that passes by chance, in any of them, is for a join to drop."""
+    return reduce(DataFrame.unionByName, [mapped(rows, run(f), schema) for f in filters])
 
 
 def _text_hashes():
@@ -212,15 +226,16 @@ def find(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, s
     Of an identifier in fewer different texts: the words which no document has without having them close to it.
 
     Three maps read the texts: one finds identifiers and what stands close to them, one counts the documents of the terms that
-    matter, one finds the places of those that disclose; the terms are named by a filter of fixed size. Pairs are folded per
-    task before they move. An entity in every document has
+    matter, one finds the places of those that disclose; the terms are named by filters that grow with their number. Pairs are
+    folded per task before they move. An entity in every document has
     no information content and discloses nothing.
 
     Null texts are empty; a text without identifiers has empty arrays. Repeated rows each get their spans and count as
     documents, but as one text for the support. An empty table gives an empty result. Columns with the new names are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "terms")]
-    texts = docs.select(*keep, utf8_bytes().alias("_bytes"), *_text_hashes())
+    # The rows' own columns as one, so that none of their names clashes.
+    texts = docs.select(F.struct(*keep).alias("_row") if keep else F.lit(None).cast("int").alias("_row"), utf8_bytes().alias("_bytes"), *_text_hashes())
     schema = texts.drop("_bytes").withColumns(
         {"base": F.lit(None).cast("array<struct<kind: string, start: bigint, end: bigint>>"), "close": F.lit(None).cast(_TERMS), "entities": F.lit(None).cast("array<bigint>")}
     )
@@ -233,17 +248,16 @@ def find(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, s
     with_entity = stored(in_texts.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count("*").alias("entity_texts")))
     rare = F.col("entity_texts") < support
     pairs = stored(pairs.join(with_entity, "entity").where(rare | (F.col("texts") >= support)))
-    wanted = _filter(pairs)
-    with_term = mapped(docs.select(utf8_bytes().alias("_bytes")), _term_counter(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("with_term"))
-    joined = pairs.join(with_term, "term")
+    counted = _over(_filters(pairs), docs.select(utf8_bytes().alias("_bytes")), _term_counter, "term string, n bigint")
+    joined = pairs.join(counted.groupBy("term").agg(F.sum("n").alias("with_term")), "term")
     disclosure = 1 + F.log(F.col("both") / F.col("with_term")) / F.log(total / F.col("with_entity"))
     discloses = F.when(rare, F.col("both") == F.col("with_term")).otherwise(disclosure >= threshold)
     told = stored(joined.where(discloses & (F.col("with_entity") < total)).select("term").distinct())
     # Where a term stands follows from the text alone, so that places go back to the rows by text.
-    places = mapped(docs.select(utf8_bytes().alias("_bytes"), *_text_hashes()), _places(_filter(told)), "_th bigint, _th2 bigint, term string, start bigint, end bigint")
+    places = _over(_filters(told), docs.select(utf8_bytes().alias("_bytes"), *_text_hashes()), _places, "_th bigint, _th2 bigint, term string, start bigint, end bigint")
     spans = places.join(told, "term").groupBy("_th", "_th2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     out = found.join(spans, ["_th", "_th2"], "left")
-    return out.select(*keep, "base", F.coalesce("terms", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("terms"))
+    return out.select(*(["_row.*"] if keep else []), "base", F.coalesce("terms", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("terms"))
 
 
 def _replacer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +279,10 @@ def _replacer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sanitised(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with identifiers and disclosing terms replaced in the text; the columns stay, and texts without any."""
-    found = find(docs, **how)
+    """``docs`` with identifiers and disclosing terms replaced in the text; the columns stay, and texts without any, null ones
+    among them. Rows are treated as in ``find``; repeated rows alike, and an empty table gives an empty result."""
+    found = find(docs.select(F.struct("*").alias("_doc"), "text"), keep=["_doc"], **how).withColumn("text", F.col("_doc.text"))
     clean = found.where((F.size("base") == 0) & (F.size("terms") == 0))
     touched = found.where((F.size("base") > 0) | (F.size("terms") > 0)).withColumn("_bytes", utf8_bytes())
-    return clean.select(*docs.columns).unionByName(mapped(touched, _replacer, touched.drop("_bytes").schema).select(*docs.columns))
+    changed = mapped(touched, _replacer, touched.drop("_bytes").schema).withColumn("_doc", F.col("_doc").withField("text", F.col("text")))
+    return clean.select("_doc.*").unionByName(changed.select("_doc.*"))

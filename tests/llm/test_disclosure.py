@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from marketlake.llm import privacy
-from tests.llm.test_operators import WORDS
+from tests.llm.test_operators import WORDS, odd  # noqa: F401
 
 
 def test_places_far_from_identifiers_and_in_other_documents(spark):
@@ -24,3 +24,21 @@ def test_places_far_from_identifiers_and_in_other_documents(spark):
     assert found[106] == found[107] == found[108] == []
     clean = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
     assert len(clean) == len(rows) and not any("zorblatt" in (t or "").lower() for t in clean.values())
+
+
+def test_names_that_clash(spark, odd):  # noqa: F811
+    docs = odd.selectExpr("*", "doc_id AS close", "text AS entities", "lang AS _th", "source AS base", "1 AS terms", "text AS _bytes", "lang AS _row", "lang AS _doc")
+    found = privacy.find(docs)
+    assert found.columns == [c for c in docs.columns if c not in ("base", "terms")] + ["base", "terms"] and found.count() == odd.count()
+    clean = privacy.sanitised(docs)
+    assert clean.columns == docs.columns
+    plain = {(r.doc_id, r.text) for r in privacy.sanitised(odd).collect()}
+    assert {(r.doc_id, r.text) for r in clean.collect()} == plain and {r.base for r in clean.collect()} == {r.source for r in odd.collect()}
+
+
+def test_several_filters_give_what_one_gives(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = lambda: sorted((r.doc_id, str(r.base), str(r.terms)) for r in privacy.find(docs, ["doc_id"]).collect())
+    once = rows()
+    monkeypatch.setattr(privacy, "MOST_BITS", 1 << 17)
+    assert rows() == once
