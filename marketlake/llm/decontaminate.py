@@ -211,13 +211,17 @@ def _cutter(max_span: int):
     return cut
 
 
-def remove_hits(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 0, max_coverage: float = 0.5) -> DataFrame:
+def remove_hits(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 0, max_coverage: float = 0.5, least_words: int = 1) -> DataFrame:
     """``docs`` with benchmark passages taken out; the columns stay.
 
     A document of whose words more than ``max_coverage`` are hit goes. From others, every hit run of more than
-    ``max_span`` words is cut out of the text, from its first word to its last. Documents without hits, null texts
-    among them, stay as they are.
+    ``max_span`` words is cut out of the text, from its first word to its last. Items of fewer than ``least_words`` words are left
+    out: a word or two of a test are found in any text. Documents without hits, null texts among them, stay as they are;
+    repeated rows of either table change nothing, and an empty item table leaves all.
     """
+    if least_words > 1:
+        words = F.filter(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+        items = items.where(F.size(words) >= least_words)
     hits = benchmark_hits(docs, items, window).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
     hits = hits.withColumn("_bytes", F.col("text").cast("binary"))
     return mapped(hits, _cutter(max_span), hits.schema).select(*docs.columns)

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from marketlake.llm.common import mapped, pieces, utf8_bytes
 
-#: Bounds of what is learned: documents read per language, bytes of one dictionary, dictionaries per language, languages.
-SAMPLE_DOCS, DICTIONARY_BYTES, DICTIONARIES, LANGUAGES = 600, 112 << 10, 1, 64
+#: Bounds of what is learned: documents read per language, bytes of one dictionary, dictionaries per language, and bytes of all
+#: dictionaries together, which many languages share: every labelled language is learned.
+SAMPLE_DOCS, DICTIONARY_BYTES, DICTIONARIES, BUDGET_BYTES = 600, 112 << 10, 1, 64 * (112 << 10)
 LEVEL = 6
 UNDECIDED = "und"
 #: A margin is narrow below this share of the encoded size, of which ``MARGIN_BYTES`` count at most: what a dictionary saves
@@ -38,13 +39,17 @@ def plain(text: str) -> str:
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, dictionaries: int = DICTIONARIES) -> dict[str, list[bytes]]:
     """Language to dictionaries, most frequent language first, from rows (doc_id, text, lang) with a text and a lang.
 
-    Fitted on a bounded sample, for the ``LANGUAGES`` most frequent languages: of the documents whose hash falls into the
+    Fitted on a bounded sample, for every language: of the documents whose hash falls into the
     share of hashes that one and a half times ``sample_docs`` documents are expected in, the ``sample_docs`` with the smallest.
     Counting is one aggregate; the texts of the sample alone come to the driver, each cut where all dictionaries could
-    hold no more. The hash is over id and text, so rows of one id don't come in together.
+    hold no more. The hash is over id and text, so rows of one id don't come in together. Dictionaries are cut where all of them
+    would exceed ``BUDGET_BYTES``, equally, so that what is broadcast stays bounded.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"))
-    last = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    last = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not last:
+        return {}
+    dictionary_bytes = max(1024, min(dictionary_bytes, BUDGET_BYTES // (len(last) * dictionaries)))
     within = F.lit(False)
     for r in last:
         # In whole numbers: the largest hash itself is no double.
@@ -135,6 +140,10 @@ def held_out():
 
 
 def accepted_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` without those whose language is undecided; the columns stay. So go narrow margins and texts in no learned language."""
+    """``docs`` without those whose language is undecided; the columns stay. So go narrow margins, texts in no learned language, null
+    texts and texts without a letter. Repeated rows are judged alike, and an empty table gives an empty result. Where no row is
+    labelled, nothing is known of any language, and all documents stay."""
     model = learn((docs if labelled is None else labelled).where(~held_out()))
+    if not model:
+        return docs
     return identified(docs, model).where("accepted").select(*docs.columns)
