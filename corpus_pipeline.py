@@ -21,8 +21,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the benchmark passages; those that are mostly benchmark go."""
-    return decontaminate.remove_hits(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without the benchmark passages, of items of five words or more; those that are mostly benchmark go."""
+    return decontaminate.remove_hits(docs, table(spark, sf_dir, "benchmark"), least_words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
