@@ -15,7 +15,7 @@ from functools import reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marketlake.llm.common import mapped, pieces, stored, utf8_bytes
 
@@ -247,12 +247,20 @@ def find(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, s
     in_texts = found.select("_th", F.explode("entities").alias("entity")).groupBy("entity", "_th").agg(F.count("*").alias("n"))
     with_entity = stored(in_texts.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count("*").alias("entity_texts")))
     rare = F.col("entity_texts") < support
-    pairs = stored(pairs.join(with_entity, "entity").where(rare | (F.col("texts") >= support)))
+    pairs = pairs.join(with_entity, "entity").where(rare | (F.col("texts") >= support))
+
+    def discloses(documents) -> Column:
+        """Does the term give the entity away if so many documents have it? The more have it, the less."""
+        share = 1 + F.log(F.col("both") / documents) / F.nullif(F.log(total / F.col("with_entity")), F.lit(0.0))
+        return F.when(rare, F.col("both") >= documents).otherwise(share >= threshold) & (F.col("with_entity") < total)
+
+    # At least the texts in which a term is close to any identifier have it. Where these are too many already, as for all
+    # frequent words, nothing needs to be counted.
+    near = close.select("term", "_th").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    pairs = stored(pairs.join(near, "term").where(discloses(F.col("near"))).drop("near"))
     counted = _over(_filters(pairs), docs.select(utf8_bytes().alias("_bytes")), _term_counter, "term string, n bigint")
     joined = pairs.join(counted.groupBy("term").agg(F.sum("n").alias("with_term")), "term")
-    disclosure = 1 + F.log(F.col("both") / F.col("with_term")) / F.log(total / F.col("with_entity"))
-    discloses = F.when(rare, F.col("both") == F.col("with_term")).otherwise(disclosure >= threshold)
-    told = stored(joined.where(discloses & (F.col("with_entity") < total)).select("term").distinct())
+    told = stored(joined.where(discloses(F.col("with_term"))).select("term").distinct())
     # Where a term stands follows from the text alone, so that places go back to the rows by text.
     places = _over(_filters(told), docs.select(utf8_bytes().alias("_bytes"), *_text_hashes()), _places, "_th bigint, _th2 bigint, term string, start bigint, end bigint")
     spans = places.join(told, "term").groupBy("_th", "_th2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
