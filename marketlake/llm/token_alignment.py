@@ -27,8 +27,8 @@ from marketlake.llm.common import mapped, pieces, stored
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed value: how byte-level BPE of this family cuts a text into words before merging.
 _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of text that are aligned at a time, and that share a page of distinct pairs.
-SLICE_BYTES, PAGE_BYTES = 2 << 20, 8 << 20
+#: Bytes of text that are aligned at a time (a hundred times that is a worker's memory for them), and that share a page of distinct pairs.
+SLICE_BYTES, PAGE_BYTES = 256 << 10, 8 << 20
 
 
 def _shown_bytes() -> dict[str, int]:
@@ -199,8 +199,10 @@ def _aligner(files):
 
         def closed(last: pa.RecordBatch) -> pa.RecordBatch:
             """The batch with the page's links in its last row."""
-            keys = np.sort(np.concatenate(seen))
-            keys, docs = _runs(keys)
+            keys, docs = (np.concatenate(c) for c in zip(*seen, strict=True))
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+            keys, docs = keys[order[first]], np.add.reduceat(docs[order], first) if len(first) else docs
             ends = np.zeros(last.num_rows, np.int64)
             ends[-1:] = len(keys)
             return last.set_column(last.schema.get_field_index("_page_links"), "_page_links", _lists(_SEEN, [keys // base, keys % base, docs], ends))
@@ -223,8 +225,8 @@ def _aligner(files):
             new["_page_links"] = _lists(_SEEN, [np.empty(0, np.int64)] * 3, np.zeros(len(texts), np.int64))
             kept = {n: batch.column(n) for n in batch.schema.names if n != "_text"}
             held = pa.RecordBatch.from_arrays([*kept.values(), *new.values()], names=[*kept, *new])
-            # One entry per text and link; of a page, only distinct links and their numbers of texts leave the task.
-            seen.append(found["link_a"] * base + found["link_b"])
+            # Of a slice, and then of a page, only distinct links and their numbers of texts are kept.
+            seen.append(_runs(np.sort(found["link_a"] * base + found["link_b"])))
             size += sum(map(len, filter(None, texts)))
         if held is not None:
             yield closed(held)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -107,3 +111,21 @@ def test_pages_of_any_size_give_the_same_counts(spark, sf):
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         ta.ByteTokens(b'{"model": {}, "normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": false, "use_regex": true}}')
+
+
+def test_memory_of_a_page(monkeypatch):
+    """What a worker needs beside its tokenizers follows the slice, not the rows it is handed; a page's links are still counted once."""
+    monkeypatch.setattr(ta, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    files = tuple(pathlib.Path(f).read_bytes() for f in (ta.BYTE_BPE, ta.PIECE_BPE))
+    text = " ".join(f"word{i % 977} and {i}" for i in range(2_000))
+    batch = pa.record_batch({"doc_id": pa.array(range(60)), "_text": pa.array([text.encode()] * 60)})
+    run = ta._aligner(SimpleNamespace(value=files))
+    list(run(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    found = [b.column("_page_links").to_pylist() for b in run(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    links = [links for rows in found for links in rows if links]
+    one = ta.aligned_texts([text], ta.sides(*files))
+    assert len(links) == 1 and [(l["a"], l["b"], l["docs"]) for l in links[0]] == [(a, b, 60) for a, b in zip(one["link_a"], one["link_b"])]
