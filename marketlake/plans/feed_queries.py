@@ -12,7 +12,7 @@ from marketlake.operators.reads import get_bars
 from marketlake.operators.resample import resample_bars
 from marketlake.operators.universe import symbol_lists, symbol_universe, symbols_of
 from marketlake.plans import views
-from marketlake.plans.lake_queries import run_stream
+from marketlake.plans.lake_queries import files_of, run_stream
 from marketlake.plans.oracle_views import over
 from marketlake.session import shared_folder
 from marketlake.sinks.event_sink import append_events, committed_batches
@@ -111,10 +111,6 @@ def provider_symbol_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("provider", F.size("symbols").cast("bigint").alias("n"), F.array_join("symbols", ",").alias("symbols"))
 
 
-#: Rows of a file that a registered stream reads, where its spans are large enough for several.
-FILE_ROWS = 250_000
-
-
 def in_files(df: DataFrame, path: str, at: str, files: int = FILES) -> DataFrame:
     """``df`` as ``files`` equal time spans that arrive one after the other, and the stream of them, a span per micro-batch.
 
@@ -125,7 +121,7 @@ def in_files(df: DataFrame, path: str, at: str, files: int = FILES) -> DataFrame
     span = F.coalesce(F.floor((F.unix_micros(at) - (first or 0)) / width), F.lit(files - 1)).cast("int")
     sizes = [r["count"] for r in df.groupBy(span.alias("span")).count().collect()]
     # Dealt out evenly, so that no file of a span is missing: a micro-batch takes so many files.
-    each = max(1, min(-(-max(sizes, default=0) // FILE_ROWS), min(sizes, default=0) // 1000))
+    each = files_of(sizes)
     for k in range(files):
         df.where(span == k).repartition(each).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)

@@ -121,14 +121,28 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hash", "symbol", "timeframe", "rows", iso_created_at(F.col("created_at")).alias("created_at"))
 
 
+#: Rows of a file of a stream's input, about.
+FILE_ROWS = 250_000
+
+
+def files_of(sizes: list[int]) -> int:
+    """How many files each of a stream's micro-batches is written as, given their rows: as many for all, none of them empty."""
+    return max(1, min(-(-max(sizes, default=0) // FILE_ROWS), min(sizes, default=0) // 1000))
+
+
 def ingest_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What holds after a stream of files, one per micro-batch, that repeats all it sent before."""
+    """What holds after a stream of micro-batches, each all rows of half of the symbols, that repeats all it sent before."""
     root = shared_folder(spark)
     raw = views.raw_bars(spark, sf_dir)
-    for turn in range(2):
-        raw.repartition(2, "symbol").write.mode("append").parquet(f"{root}/feed")
+    half = F.pmod(F.hash("symbol"), F.lit(2))
+    counted = {r.half: r["count"] for r in raw.groupBy(half.alias("half")).count().collect()}
+    each = files_of([counted.get(k, 0) for k in range(2)])
+    for _turn in range(2):
+        for k in range(2):
+            # In parallel, and read so: a micro-batch takes so many files.
+            raw.where(half == k).repartition(each).write.mode("append").parquet(f"{root}/feed")
     query = ingest_stream(
-        spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed"), "ohlcv", f"{root}/lake", f"{root}/checkpoint"
+        spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", each).parquet(f"{root}/feed"), "ohlcv", f"{root}/lake", f"{root}/checkpoint"
     )
     query.awaitTermination()
     rows = current_rows(read_canonical(spark, f"{root}/lake", "ohlcv"), read_catalog(spark, f"{root}/lake", "registry"))
