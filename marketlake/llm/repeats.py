@@ -1,17 +1,18 @@
 """Exact repeats of long byte strings, by suffix arrays of shards that equal strings are sure to share.
 
 Any 200-byte string contains 32-byte grams; the one with the smallest hash is its anchor, and equal strings have equal
-anchors at equal places. So a string can only repeat where its anchor's gram repeats, and all strings with one gram can go to
-one shard. A shard builds the suffix array of the contexts around its anchors (Larsson-Sadakane refinement in numpy) and the
-common prefixes of neighbours (Kasai's walk, over all contexts in step): strings with a neighbour that shares 200 bytes
-repeat. A gram with too many different contexts is cut into several shards, whose distinct strings are then merged by
-binary search.
+anchors at equal places. So a string can only repeat where its key repeats, the 116 bytes that all strings with this anchor in
+the same half share, and all strings with one key can go to one shard. A shard builds the suffix array of the contexts around
+its anchors (Larsson-Sadakane refinement in numpy) and the common prefixes of neighbours (Kasai's walk, over all contexts in
+step): strings with a neighbour that shares 200 bytes repeat. A key with too many different contexts is told apart by longer
+keys, of the strings with the anchor in the same quarter of that half and so on, down to the whole string: none is compared
+across shards.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ from marketlake.llm.common import mapped, pieces, stored, utf8_bytes
 
 WINDOW, GRAM = 200, 32
 _SPAN = WINDOW - GRAM + 1  # grams in a window
+#: Places of the anchor in a window that go by one key; longer keys, where too many contexts have one: the last is a whole window.
+PLACES, FINER = 85, (22, 5, 1)
 #: Bytes that a task scans at a time; longer texts are scanned in overlapping pieces of this size.
 SCAN_BYTES = 512 << 10
-#: Bytes of contexts in one suffix array, and different contexts of one gram in one shard.
+#: Bytes of contexts in one suffix array, and different contexts of one key in one shard.
 SHARD_BYTES, SHARD_CONTEXTS = 512 << 10, 1024
 _FIRST = 7  # bytes compared by the first sort
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -53,7 +56,8 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, gram) of every run of windows with one anchor. ``ends``: where the texts in ``raw`` end."""
+    """(first start, last start, key) of every run of windows with one anchor, in one half of them all. ``ends``: where the texts
+    in ``raw`` end. The key is a hash of the bytes that all windows with this anchor in this half share."""
     none = np.empty(0, np.int64)
     if len(raw) < WINDOW:
         return none, none, none
@@ -68,9 +72,25 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(starts):
         return none, none, none
     own = chosen[starts]
-    new = np.r_[True, (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)]
+    half = (own - starts) // PLACES
+    new = np.r_[True, (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1) | (half[1:] != half[:-1])]
     first = np.flatnonzero(new)
-    return starts[first], starts[np.r_[first[1:], len(starts)] - 1], h[own[first]].view(np.int64)
+    shared = own[first] - PLACES * half[first]
+    key = h[shared]
+    for step in range(GRAM - 4, WINDOW - PLACES - GRAM + 2, GRAM - 4):  # grams that overlap, to the end of what is shared
+        key = (key ^ key >> np.uint64(29)) * _M2 + h[shared + step]
+    return starts[first], starts[np.r_[first[1:], len(starts)] - 1], key.view(np.int64)
+
+
+def finer(body: bytes, places: int) -> Iterator[tuple[int, int, int]]:
+    """(first start, last start, key) of the windows in a context of one anchor, cut where ``places`` of the anchor share a longer key."""
+    anchor, n = int(np.argmin(gram_hashes(np.frombuffer(body, np.uint8, WINDOW)) >> np.uint64(32))), len(body) - WINDOW + 1
+    start = 0
+    while start < n:
+        shared = anchor - (anchor - start) // places * places
+        last = min(n - 1, shared)
+        yield start, last, xxhash.xxh3_64_intdigest(body[shared : shared + WINDOW - places + 1]) - (1 << 63)
+        start = last + 1
 
 
 def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -199,41 +219,26 @@ def repeated_starts(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return order[many], order[first]
 
 
-_RUNS = "id bigint, digest bigint, start bigint, end bigint, window binary, single boolean"
+_RUNS = "id bigint, digest bigint, start bigint, end bigint"
 
 
 def _shard_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated runs of contexts that stand for one place; for shards of a divided gram, also their distinct windows."""
+    """Repeated runs of contexts that stand for one place. All contexts of a key come together."""
 
     def search(t: pa.Table) -> pa.RecordBatch:
         bodies = t.column("body").to_pylist()
-        joined = b"".join(bodies)
         ends = np.cumsum([len(b) for b in bodies])
         begins = np.r_[0, ends[:-1]]
-        many, distinct = repeated_starts(np.frombuffer(joined, np.uint8), ends)
-        alone, divided = t.column("copies").to_numpy() == 1, t.column("parts").to_numpy() > 1
+        many = np.sort(repeated_starts(np.frombuffer(b"".join(bodies), np.uint8), ends)[0])
+        alone = t.column("copies").to_numpy() == 1
         ids, digests, starts = t.column("id").to_numpy(), t.column("digest").to_numpy(), t.column("start").to_numpy()
-        many = np.sort(many)
         text = np.searchsorted(ends, many, "right")
         many, text = many[alone[text]], text[alone[text]]
         new = np.flatnonzero(np.r_[True, (many[1:] != many[:-1] + 1) | (text[1:] != text[:-1])][: len(many)])
         last = np.r_[new[1:], len(many)][: len(new)] - 1
         own = text[new]
         a, z = many[new] - begins[own] + starts[own], many[last] - begins[own] + starts[own] + WINDOW
-        told = np.zeros(len(joined) + 1, bool)
-        told[many] = True
-        text = np.searchsorted(ends, distinct, "right")
-        distinct, text = distinct[divided[text]], text[divided[text]]
-        windows = [hashlib.blake2b(joined[d : d + WINDOW], digest_size=16).digest() for d in distinct.tolist()]
-        single = ~told[distinct] & alone[text]
-        b = distinct - begins[text] + starts[text]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[ids[own], ids[text]]), pa.array(np.r_[digests[own], digests[text]]), pa.array(np.r_[a, b]), pa.array(np.r_[z, b + WINDOW]),
-                pa.array([None] * len(own) + windows, pa.binary()), pa.array(np.r_[np.zeros(len(own), bool), single]),
-            ],
-            names=["id", "digest", "start", "end", "window", "single"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(digests[own]), pa.array(a), pa.array(z)], names=["id", "digest", "start", "end"])
 
     held, size = [], 0
     for batch in batches:
@@ -243,8 +248,8 @@ def _shard_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if size < SHARD_BYTES:
                 continue
             t = pa.Table.from_batches(held)
-            shard = t.column("shard").to_numpy()
-            whole = int(np.flatnonzero(shard != shard[-1])[-1]) + 1 if shard[0] != shard[-1] else 0
+            key = t.column("gram").to_numpy()
+            whole = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
             if whole:
                 yield search(t.slice(0, whole))
                 held = t.slice(whole).to_batches()
@@ -253,31 +258,6 @@ def _shard_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield search(pa.Table.from_batches(held))
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of divided grams, in order: those that another shard has, too. A window comes at most once from a shard."""
-
-    def found(t: pa.Table) -> pa.RecordBatch:
-        windows = np.array(t.column("window").to_pylist(), "S16")
-        twice = np.searchsorted(windows, windows, "right") - np.searchsorted(windows, windows, "left") > 1
-        t = t.filter(pa.array(twice & t.column("single").to_numpy(zero_copy_only=False))).select(["id", "digest", "start", "end"])
-        return t.combine_chunks().to_batches()[0] if len(t) else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["id", "digest", "start", "end"])
-
-    held = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(h.num_rows for h in held) < 200_000:
-            continue
-        t = pa.Table.from_batches(held)
-        windows = t.column("window").to_pylist()
-        whole = next((k for k in range(len(windows) - 1, 0, -1) if windows[k - 1] != windows[-1]), 0)
-        if whole:
-            yield found(t.slice(0, whole))
-            held = t.slice(whole).to_batches()
-    if held:
-        yield found(pa.Table.from_batches(held))
-
-
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as zstandard frames: what the joins below move."""
     coder = zstandard.ZstdCompressor(level=3)
@@ -287,6 +267,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), packed], names=[*names, "packed"])
 
 
+_BODIES = "id bigint, digest bigint, gram bigint, copies bigint, start bigint, n int, many boolean, body binary"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the wanted anchors of each text."""
     coder = zstandard.ZstdDecompressor()
@@ -295,16 +278,37 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             text = coder.decompress(row["packed"])
             for w in row["wanted"]:
-                out.append((row["id"], row["digest"], w["gram"], w["copies"], w["start"], text[w["start"] : w["start"] + w["n"] + WINDOW - 1]))
+                body = text[w["start"] : w["start"] + w["n"] + WINDOW - 1]
+                out.append((row["id"], row["digest"], w["gram"], w["copies"], w["start"], w["n"], w["many"], body))
                 if len(out) >= 20_000:
-                    yield _context_batch(out)
+                    yield _rows(out, _BODIES)
                     out = []
-        yield _context_batch(out)
+        yield _rows(out, _BODIES)
+
 
+_FINER_ROWS = "id bigint, digest bigint, gram bigint, context bigint, copies bigint, start bigint, n int, body binary"
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ("id", "digest", "gram", "copies", "start", "body")
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i == 5 else pa.int64()) for i in range(6)], names=list(names))
+
+def _finer_rows(places: int):
+    """Contexts cut by longer keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                for a, z, key in finer(row["body"], places):
+                    body = row["body"][a : z + WINDOW]
+                    context = xxhash.xxh3_64_intdigest(body) - (1 << 63)
+                    out.append((row["id"], row["digest"], key, context, row["copies"], row["start"] + a, z - a + 1, body))
+            yield _rows(out, _FINER_ROWS)
+
+    return run
+
+
+def _rows(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    types = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, kinds = zip(*(c.split(" ") for c in columns.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[kind]) for i, kind in enumerate(kinds)], names=list(names))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,24 +346,44 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # One gram, one context: all its places are copies of each other.
     alike = twice.where("_one").select(*run)
     unlike = twice.where("not _one").drop("_one")
-    kinds = stored(unlike.groupBy("gram", "context").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("id", "digest", "start", "n"))))
+    kinds = stored(_kinds(unlike.withColumn("copies", F.lit(1)), "id", "digest", "start", "n"))
     copied = kinds.where("copies > 1").select("gram", "context")
     copies = unlike.join(copied, ["gram", "context"]).select(*run)
-    wanted = kinds.groupBy("id", "digest").agg(F.collect_list(F.struct("gram", "copies", "start", "n")).alias("wanted"))
+    wanted = kinds.join(_crowded(kinds), "gram").groupBy("id", "digest")
+    wanted = wanted.agg(F.collect_list(F.struct("gram", "copies", "start", "n", "many")).alias("wanted"))
     texts = _packed_texts(docs.select(*_row_key(), utf8_bytes().alias("_bytes")).where(F.length("_bytes") >= WINDOW))
     # Equal rows would give the same contexts twice: one of each is enough to read them from.
-    bodies = mapped(texts.join(wanted, ["id", "digest"]), _contexts, "id bigint, digest bigint, gram bigint, copies bigint, start bigint, body binary")
-    parts = kinds.groupBy("gram").agg(F.ceil(F.count("*") / SHARD_CONTEXTS).alias("parts"))
-    sharded = bodies.join(parts, "gram").withColumn("shard", F.xxhash64("gram", F.pmod(F.xxhash64("body"), "parts")))
-    sharded = sharded.repartition("shard").sortWithinPartitions("shard", "id", "digest", "start")
-    sharded = sharded.select("shard", "id", "digest", "copies", "start", "parts", "body")
-    found = stored(mapped(sharded, _shard_search, _RUNS))
-    windows = found.where("window is not null").select("id", "digest", "start", "end", "window", "single")
-    merged = windows.repartition("window").sortWithinPartitions("window").mapInArrow(_merge, "id bigint, digest bigint, start bigint, end bigint")
-    spans = alike.unionByName(copies).unionByName(found.where("window is null").select("id", "digest", "start", "end")).unionByName(merged)
+    bodies = stored(mapped(texts.join(wanted, ["id", "digest"]), _contexts, _BODIES))
+    spans, shards = [alike, copies], [bodies.where("not many")]
+    for places in FINER:
+        bodies = bodies.where("many")
+        if bodies.isEmpty():
+            break
+        cut = stored(mapped(bodies, _finer_rows(places), _FINER_ROWS))
+        kinds = stored(_kinds(cut, "id", "digest", "start", "n", "body"))
+        copied = kinds.where("copies > 1").select("gram", "context")
+        # A context that stood for several places is told of already.
+        spans.append(cut.where("copies = 1").join(copied, ["gram", "context"]).select(*run))
+        bodies = stored(kinds.join(_crowded(kinds), "gram"))
+        shards.append(bodies.where("not many"))
+    columns = ["gram", "id", "digest", "copies", "start", "body"]
+    sharded = reduce(DataFrame.unionByName, [s.select(*columns) for s in shards])
+    sharded = sharded.repartition("gram").sortWithinPartitions("gram", "id", "digest", "start")
+    spans.append(mapped(sharded, _shard_search, _RUNS))
+    spans = reduce(DataFrame.unionByName, spans)
     return spans.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def _kinds(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per different context of a key: for how many places it stands, and what one of them has in ``columns``."""
+    return rows.groupBy("gram", "context").agg(F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in columns))
+
+
+def _crowded(kinds: DataFrame) -> DataFrame:
+    """The keys with more than one different context, and whether they are too many for a shard."""
+    return kinds.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram", (F.col("_n") > SHARD_CONTEXTS).alias("many"))
+
+
 def _row_key() -> list:
     return [F.coalesce("doc_id", F.lit(-(2**63))).cast("bigint").alias("id"), F.xxhash64("text").alias("digest")]
 
@@ -378,7 +402,7 @@ def without_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     as each occurs elsewhere. Very long texts are scanned in pieces. An empty table gives an empty result. Columns with
     the new names are replaced.
 
-    Moved: about 1/85 of the positions as anchors, once by gram; the contexts of grams that repeat with different
+    Moved: about 1/60 of the positions as anchors, once by key; the contexts of keys that repeat with different
     surroundings; the texts, compressed, twice. Exact copies and shared passages fold by hash before any suffix is sorted.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "n_bytes", "removed", "kept")]

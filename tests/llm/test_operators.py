@@ -174,6 +174,31 @@ def test_a_passage_in_very_many_texts_is_divided_and_merged(spark, monkeypatch):
     assert _repeats(repeats.without_repeats(docs)) == want
 
 
+def test_texts_meet_where_they_share_a_long_key(spark, monkeypatch):
+    line = prose(7, 12)[:60]
+    texts = [f"{prose(100 + i, 45)} {line} {prose(900 + i, 45)}".encode() for i in range(40)]
+    keys = [set(repeats.anchors(np.frombuffer(t, np.uint8), np.array([len(t)]))[2].tolist()) for t in texts]
+    assert sum(map(len, keys)) == len(set().union(*keys))
+    # Cuts of a context cover it; windows are equal where their longest keys are.
+    passage = prose(8, 20)[:130]
+    windows = {places: {} for places in (*repeats.FINER, 1)}
+    for text in [f"{prose(100 + i, 25)} {passage} {prose(500 + i // 2, 25)}".encode() for i in range(20)]:
+        for a, z, _ in zip(*map(np.ndarray.tolist, repeats.anchors(np.frombuffer(text, np.uint8), np.array([len(text)])))):
+            for places in windows:
+                cuts = list(repeats.finer(text[a : z + 200], places))
+                assert [s for x, y, _ in cuts for s in range(x, y + 1)] == list(range(z - a + 1)) and max(y - x for x, y, _ in cuts) < places
+                for x, y, key in cuts:
+                    for s in range(a + x, a + y + 1):
+                        windows[places].setdefault(text[s : s + 200], set()).add(key)
+    assert all(len(k) == 1 for told in windows.values() for k in told.values())
+    assert len({k for (k,) in windows[1].values()}) == len(windows[1])
+    # However few contexts a shard may have, down to whole windows, the result is the same.
+    texts = [f"{prose(100 + i % 37, 40)} {prose(8, 40)[: 150 + i]} {prose(500 + i // 2, 25)}" for i in range(40)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr(repeats, "SHARD_CONTEXTS", 1)
+    assert _repeats(repeats.without_repeats(docs)) == sorted((i // 2, *x) for i, x in enumerate(brute.without_repeats(texts)))
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(5)
     texts = [bytes(rng.integers(0, 3, n).astype(np.uint8)) for n in (40, 1, 8, 7, 60)] + [b"\0" * 30, b"\0" * 30, b"abab" * 9]
