@@ -2,7 +2,10 @@
 
 A bar is a state of a few numbers under (symbol, its start), closed by a timer at its end: so windows may have any width, the state
 of a closed bar is gone, and a hot symbol is as many groups as it has open bars. Spark's own windows drop a tick behind the watermark
-without a trace; here the same watermark decides, but the tick comes out as a row of its own.
+without a without a trace; here the same watermark decides, but the tick comes out as a row of its own.
+
+Ticks come to the state packed: each task folds its ticks of a bar, an Arrow batch at a time, and sends the fold with the ticks as bytes.
+Only those of a closed bar are unpacked.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +32,10 @@ _OUT = (
     "tick_at TIMESTAMP, price DOUBLE, seq LONG"
 )
 _BAR = "n LONG, first_at LONG, first_seq LONG, open DOUBLE, last_at LONG, last_seq LONG, close DOUBLE, high DOUBLE, low DOUBLE"
+_PACKED = f"symbol STRING, start LONG, end LONG, {_BAR}, ticks BINARY"
+_TICK = np.dtype([("at", "<i8"), ("seq", "<i8"), ("price", "<f8")])
+#: Bytes of rows that come to the state at a time: packed rows are long, which a count of rows doesn't bound.
+_BATCH_BYTES = 4 << 20
 #: A null place in the feed's order is before all others.
 _NO_SEQ = -(1 << 63)
 
@@ -45,6 +53,32 @@ def _frame(kind: str, symbol: str, start: int, n: int, **columns) -> pd.DataFram
     return pd.DataFrame(rows, index=range(n))[["kind", "symbol", "timestamp", "open", "high", "low", "close", "volume", "tick_at", "price", "seq"]]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per bar of a batch: the fold of its ticks, and the ticks themselves, in order."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ticks = np.empty(batch.num_rows, _TICK)
+        for name in _TICK.names:
+            ticks[name] = batch.column(name).to_numpy()
+        symbol = batch.column("symbol").dictionary_encode(null_encoding="encode").indices.to_numpy()
+        start, end = batch.column("start").to_numpy(), batch.column("end").to_numpy()
+        order = np.lexsort((ticks["seq"], ticks["at"], start, symbol))
+        ticks, symbol, start = ticks[order], symbol[order], start[order]
+        first = np.flatnonzero(np.r_[True, (symbol[1:] != symbol[:-1]) | (start[1:] != start[:-1])])
+        stop = np.r_[first[1:], len(ticks)]
+        head, tail, price = ticks[first], ticks[stop - 1], ticks["price"]
+        offsets = pa.array(np.r_[0, stop * _TICK.itemsize].astype(np.int32))
+        columns = {
+            "symbol": batch.column("symbol").take(pa.array(order[first])), "start": start[first], "end": end[order[first]], "n": stop - first,
+            "first_at": head["at"], "first_seq": head["seq"], "open": head["price"], "last_at": tail["at"], "last_seq": tail["seq"], "close": tail["price"],
+            # As everywhere, a price that is no number is above all others.
+            "high": np.maximum.reduceat(price, first), "low": np.fmin.reduceat(price, first),
+            "ticks": pa.Array.from_buffers(pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(ticks.tobytes())]),
+        }
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns.values()], names=list(columns))
+
+
 class _BarProcessor(StatefulProcessor):
     """Keeps one open bar."""
 
@@ -54,20 +88,19 @@ class _BarProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         symbol, start, end = key
         if end // 1000 <= timerValues.getCurrentWatermarkInMs():
-            for ticks in rows:
-                at, seq = pd.to_datetime(ticks["at"], unit="us"), ticks["seq"].astype("Int64").where(ticks["seq"] != _NO_SEQ)
-                yield _frame("late", symbol, start, len(ticks), tick_at=at.to_numpy(), price=ticks["price"].to_numpy(), seq=seq.to_numpy())
+            for packed in rows:
+                ticks = np.frombuffer(b"".join(packed["ticks"]), _TICK)
+                at, seq = pd.to_datetime(ticks["at"], unit="us"), pd.Series(ticks["seq"], dtype="Int64").where(ticks["seq"] != _NO_SEQ)
+                yield _frame("late", symbol, start, len(ticks), tick_at=at.to_numpy(), price=ticks["price"], seq=seq.to_numpy())
             return
         known = self.bar.get() if self.bar.exists() else None
         if known is None:
             self.handle.registerTimer(end // 1000)
-        for ticks in rows:
-            order = np.lexsort((ticks["seq"].to_numpy(), ticks["at"].to_numpy()))
-            head, tail, price = ticks.iloc[order[0]], ticks.iloc[order[-1]], ticks["price"].to_numpy()
-            # As everywhere, a price that is no number is above all others.
-            high = float("nan") if np.isnan(price).any() else float(price.max())
-            low = float(np.nanmin(price)) if not np.isnan(price).all() else float("nan")
-            own = (len(ticks), int(head["at"]), int(head["seq"]), float(head["price"]), int(tail["at"]), int(tail["seq"]), float(tail["price"]), high, low)
+        for packed in rows:
+            head = packed.iloc[np.lexsort((packed["first_seq"].to_numpy(), packed["first_at"].to_numpy()))[0]]
+            tail = packed.iloc[np.lexsort((packed["last_seq"].to_numpy(), packed["last_at"].to_numpy()))[-1]]
+            first, last = (int(head["first_at"]), int(head["first_seq"]), float(head["open"])), (int(tail["last_at"]), int(tail["last_seq"]), float(tail["close"]))
+            own = (int(packed["n"].sum()), *first, *last, float(np.maximum.reduce(packed["high"].to_numpy())), float(np.fmin.reduce(packed["low"].to_numpy())))
             known = own if known is None else self._joined(tuple(known), own)
         self.bar.update(known)
 
@@ -91,7 +124,8 @@ def bars_and_late_ticks(
     """Closed bars (``kind`` bar) and ticks whose bar was closed when they came (``kind`` late: tick_at, price, seq), append mode.
 
     The watermark is ``delay`` behind the latest tick of the micro-batches before, over all symbols. Every tick with a time and a price
-    is in a bar or late, once; bars that the watermark has not passed are open. Needs the RocksDB state store.
+    is in a bar or late, once; bars that the watermark has not passed are open. Needs the RocksDB state store. The session's Arrow
+    batches are bounded in bytes from here on.
     """
     start = bar_start(F.col(ts), timeframe)
     placed = (
@@ -103,7 +137,8 @@ def bars_and_late_ticks(
             F.unix_micros(ts).alias("at"), F.col(price).cast("double").alias("price"), F.coalesce(F.col(seq).cast("long"), F.lit(_NO_SEQ)).alias("seq"),
         )
     )
-    found = placed.groupBy("symbol", "start", "end").transformWithStateInPandas(
+    ticks.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+    found = placed.mapInArrow(_packed, _PACKED).groupBy("symbol", "start", "end").transformWithStateInPandas(
         statefulProcessor=_BarProcessor(), outputStructType=_OUT, outputMode="Append", timeMode="EventTime"
     )
     # Pandas has one mark for no number and no value. Here prices are never absent: what a row has none of, its kind tells.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlake.operators.outages import outages
@@ -66,6 +67,26 @@ def test_an_empty_input_and_rows_without_a_time(spark, folder):
     same(spark.table("timeless"), rows)
 
 
+def test_ticks_come_to_the_state_a_row_per_bar():
+    rng, none = np.random.default_rng(6), windows._NO_SEQ
+    n = 5_000
+    rows = [(None if k == 2 else "AB"[k], int(s) * 100, int(s) * 100 + 100, int(at), float(p), int(q)) for k, s, at, p, q in zip(
+        rng.integers(0, 3, n), rng.integers(0, 4, n), rng.integers(0, 50, n), rng.choice([np.nan, 1.0, 2.0, 3.0], n, p=[0.001, 0.333, 0.333, 0.333]), rng.permutation(n))]
+    rows += [("C", 0, 100, 7, np.nan, none), ("C", 0, 100, 7, np.nan, 3)]
+    names = ("symbol", "start", "end", "at", "price", "seq")
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=list(names))
+    (got,) = windows._packed(iter([batch, batch.slice(0, 0)]))
+    assert got.num_rows == 13
+    for r in got.to_pylist():
+        own = sorted((row[3:] for row in rows if row[:3] == (r["symbol"], r["start"], r["end"])), key=lambda t: (t[0], t[2]))
+        prices = [p for _, p, _ in own if p == p]
+        fold = [r[c] for c in ("n", "first_at", "first_seq", "open", "last_at", "last_seq", "close", "high", "low")]
+        high = max(prices) if len(prices) == len(own) else np.nan
+        want = [len(own), own[0][0], own[0][2], own[0][1], own[-1][0], own[-1][2], own[-1][1], high, min(prices, default=np.nan)]
+        assert repr(list(map(float, fold))) == repr(list(map(float, want)))
+        assert [(int(t["at"]), repr(float(t["price"])), int(t["seq"])) for t in np.frombuffer(r["ticks"], windows._TICK)] == [(a, repr(p), q) for a, p, q in own]
+
+
 LOG = "provider STRING, completed_at TIMESTAMP, log_id LONG, status STRING"
 
 
